@@ -1,0 +1,120 @@
+"""Pattern tables evaluated over node arrays with Spark array functions.
+
+The patterns stay data: one literal array of path patterns per profile, walked
+by one small expression. Adding patterns does not grow the plan. All
+expressions read the node array from the column ``nodes``.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from pageloom.profiles import COMMON_FIELDS, FIELDS, Pattern, SiteProfile
+
+_STEP = "struct<tag: string, attr: string, op: string, value: string, child: boolean>"
+_PATTERN = f"struct<field: string, take: string, steps: array<{_STEP}>>"
+
+
+def _row(field: str, pattern: Pattern) -> dict:
+    return {
+        "field": field,
+        "take": "title_tag" if field == "title" and pattern.regex else pattern.take,
+        "steps": [
+            {"tag": s.tag, "attr": s.attr, "op": s.op, "value": s.value, "child": s.child}
+            for s in pattern.steps
+        ],
+    }
+
+
+def pattern_table(profiles: Sequence[SiteProfile], profile: Column) -> Column:
+    """Path patterns of the row's profile; regexes of other fields stay literal."""
+    table = {
+        p.name: [
+            _row(field, pattern)
+            for field in FIELDS
+            for pattern in getattr(p, field)
+            if pattern.steps or field == "title"
+        ]
+        + [_row(field, pattern) for field, ps in COMMON_FIELDS.items() for pattern in ps]
+        for p in profiles
+    }
+    literal = F.from_json(F.lit(json.dumps(table)), f"map<string, array<{_PATTERN}>>")
+    return F.try_element_at(literal, profile)
+
+
+def fixed_patterns(**fields: Sequence[Pattern]) -> Column:
+    """Pattern array for a few given fields, the same for every row."""
+    rows = [_row(field, p) for field, patterns in fields.items() for p in patterns]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_PATTERN}>")
+
+
+def below_sql(i: str) -> str:
+    """Descendants of node ``i``; -1 stands for the page itself."""
+    last = f"(CASE WHEN {i} < 0 THEN size(nodes) - 1 ELSE get(nodes, {i}).last END)"
+    return f"slice(nodes, {i} + 2, {last} - {i})"
+
+
+def texts_below_sql(i: str, direct: str = "false") -> str:
+    """Text pieces under node ``i``, only its own ones when ``direct``."""
+    return (
+        f"transform(filter({below_sql(i)},"
+        f" t -> t.tag = '#text' AND (NOT {direct} OR t.parent = {i})), t -> t.value)"
+    )
+
+
+# Does node n satisfy step s?
+_TEST_SQL = r"""
+  (CASE WHEN s.tag = '*' THEN n.tag <> '#text' ELSE n.tag = s.tag END)
+  AND (CASE
+    WHEN s.attr = '' THEN true
+    WHEN try_element_at(n.attrs, s.attr) IS NULL THEN false
+    WHEN s.op = 'equals' THEN try_element_at(n.attrs, s.attr) = s.value
+    WHEN s.op = 'contains' THEN contains(try_element_at(n.attrs, s.attr), s.value)
+    ELSE contains(
+      concat(' ', trim(regexp_replace(try_element_at(n.attrs, s.attr), r'\s+', ' ')), ' '),
+      s.value)
+  END)"""
+
+# Indexes a path selects, once each and in page order.
+_WALK_SQL = f"""
+  aggregate(p.steps, array(-1), (outers, s) -> sort_array(array_distinct(flatten(
+    transform(outers, o -> transform(
+      filter({below_sql("o")}, n -> {_TEST_SQL} AND (NOT s.child OR n.parent = o)),
+      n -> n.pos))))))"""
+
+
+def matches(patterns: str, title_tag: str = "cast(null as string)") -> Column:
+    """``ARRAY<STRUCT<field, found, texts>>`` in pattern order, misses left out.
+
+    ``found`` are node indexes, ``texts`` what the pattern takes from them; both
+    arguments name columns. The title-tag pattern takes its text from
+    ``title_tag``.
+    """
+    attribute = "try_element_at(get(nodes, i).attrs, substr(p.take, 2))"
+    texts = f"""CASE
+        WHEN p.take = 'element' THEN cast(array() AS array<string>)
+        WHEN p.take = 'title_tag' THEN array({title_tag})
+        WHEN startswith(p.take, '@') THEN
+          filter(transform(f, i -> {attribute}), v -> v IS NOT NULL)
+        ELSE flatten(transform(f, i -> {texts_below_sql("i", "(p.take = 'text')")}))
+      END"""
+    return F.expr(
+        f"""filter(
+          transform({patterns}, p -> transform(array({_WALK_SQL}), f ->
+            named_struct('field', p.field, 'found', filter(f, i -> i >= 0), 'texts', {texts}))[0]),
+          m -> size(m.found) > 0 OR size(m.texts) > 0)"""
+    )
+
+
+def nodes_of(field: str) -> str:
+    """SQL: node indexes of all of a field's patterns, in pattern order."""
+    return f"flatten(transform(filter(found, m -> m.field = '{field}'), m -> m.found))"
+
+
+def texts_of(field: str) -> str:
+    """SQL: texts of all of a field's patterns, in pattern order."""
+    return f"flatten(transform(filter(found, m -> m.field = '{field}'), m -> m.texts))"
