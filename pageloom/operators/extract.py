@@ -18,26 +18,22 @@ from pageloom.profiles import (
     override,
 )
 
-_NODES, _PROFILE, _HTML = (F.col(c) for c in ("nodes", "profile", "html"))
-_NO_TEXT = F.lit("")
-
-
 def drop_unparsed(pages: DataFrame) -> DataFrame:
     """Pages the extraction can read; missing and unreadable bodies go."""
-    return pages.filter(text.is_parseable(_HTML))
+    return pages.filter(text.is_parseable(F.col("html")))
 
 
 def count_unparsed(pages: DataFrame) -> DataFrame:
     """Pages and dropped pages per blog, for the run report."""
     return pages.groupBy("blog").agg(
         F.count(F.lit(1)).alias("pages"),
-        F.count_if(~text.is_parseable(_HTML)).alias("dropped"),
+        F.count_if(~text.is_parseable(F.col("html"))).alias("dropped"),
     )
 
 
 def interstitials(pages: DataFrame) -> DataFrame:
     """Interstitial token of every page that carries one."""
-    return pages.withColumn("token", text.interstitial_token(_HTML)).filter(
+    return pages.withColumn("token", text.interstitial_token(F.col("html"))).filter(
         F.col("token").isNotNull()
     )
 
@@ -65,13 +61,13 @@ def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -
         .withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(
             {
-                "nodes": html_nodes(_HTML),
-                "title_tag": text.html_unescape(text.title_tag(_HTML)),
+                "nodes": html_nodes(F.col("html")),
+                "title_tag": text.html_unescape(text.title_tag(F.col("html"))),
             }
         )
-        .filter(_NODES.isNotNull())
+        .filter(F.col("nodes").isNotNull())
         .withColumn(
-            "patterns", select.pattern_table(profiles, _PROFILE)
+            "patterns", select.pattern_table(profiles, F.col("profile"))
         )
         .withColumn("found", select.matches("patterns", "title_tag"))
         .drop("patterns")
@@ -85,7 +81,7 @@ def title_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
         f"""get(filter(transform(filter(found, m -> m.field = 'title'), m -> {first}),
             t -> length(t) > 1), 0)"""
     )
-    return override(title, _PROFILE, "title_override", tuple(profiles))
+    return override(title, F.col("profile"), "title_override", tuple(profiles))
 
 
 def date_raw_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
@@ -96,12 +92,12 @@ def date_raw_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
         if regexes:
             hits = [
                 F.nullif(
-                    F.concat_ws(" ", *(F.regexp_extract(_HTML, r, i) for i in (1, 2, 3))),
+                    F.concat_ws(" ", *(F.regexp_extract(F.col("html"), r, i) for i in (1, 2, 3))),
                     F.lit("  "),
                 )
                 for r in regexes
             ]
-            raw = F.coalesce(raw, F.when(_PROFILE == profile.name, F.coalesce(*hits)))
+            raw = F.coalesce(raw, F.when(F.col("profile") == profile.name, F.coalesce(*hits)))
     return raw
 
 
@@ -131,7 +127,7 @@ def ignored_url_column(url: Column, profiles: Sequence[SiteProfile] = PROFILES)
             rules.setdefault(rule, []).append(profile.name)
     hit = F.lit(False)
     for rule, users in rules.items():
-        applies = F.lit(True) if len(users) == len(profiles) else _PROFILE.isin(*users)
+        applies = F.lit(True) if len(users) == len(profiles) else F.col("profile").isin(*users)
         hit = hit | (applies & url.rlike(f"^(?:{rule})"))
     return hit
 
@@ -176,7 +172,7 @@ def _cleanup(c: Column, profiles: Sequence[SiteProfile]) -> Column:
     result = markup.remove_patterns(c, list(common))
     for chain, users in special:
         result = F.when(
-            _PROFILE.isin(*users), markup.remove_patterns(c, list(chain))
+            F.col("profile").isin(*users), markup.remove_patterns(c, list(chain))
         ).otherwise(result)
     return result
 
@@ -210,7 +206,7 @@ def content_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
     )
     cleaned = F.aggregate(
         pieces,
-        _NO_TEXT,
+        F.lit(""),
         lambda best, piece: F.when(best != "", best).otherwise(
             markup.reduce_markup(_cleanup(piece, profiles))
         ),
@@ -298,7 +294,7 @@ def extract_fields(
             {
                 "title": title_column(profiles),
                 "date_raw": date_raw_column(profiles),
-                "page_language": text.detect_language(_HTML, _PROFILE),
+                "page_language": text.detect_language(F.col("html"), F.col("profile")),
                 "tags": tags_column(),
                 "content": content_column(profiles),
                 "comments": comments_column(cfg),
@@ -337,7 +333,7 @@ def extract_articles(
             "language", F.coalesce("language", "page_language")
         )
     date_as_title = [p.name for p in profiles if p.date_as_title]
-    date_language = override(F.col("language"), _PROFILE, "language_override", tuple(profiles))
+    date_language = override(F.col("language"), F.col("profile"), "language_override", tuple(profiles))
     return (
         fields.withColumn(
             "date",
@@ -346,7 +342,7 @@ def extract_articles(
         .withColumn(
             "title",
             F.when(
-                _PROFILE.isin(*date_as_title),
+                F.col("profile").isin(*date_as_title),
                 dates.title_or_date(F.col("title"), F.col("blog_title"), F.col("date")),
             ).otherwise(F.col("title")),
         )
@@ -375,7 +371,7 @@ def blog_metadata(pages: DataFrame) -> DataFrame:
     readable = drop_unparsed(pages)
     is_root = F.trim(F.col("url"), F.lit("/")) == F.trim(F.col("blog"), F.lit("/"))
     chosen = (
-        readable.filter(text.title_tag(_HTML) != "")
+        readable.filter(text.title_tag(F.col("html")) != "")
         .groupBy("blog")
         .agg(F.coalesce(F.min(F.when(is_root, F.col("seq"))), F.min("seq")).alias("seq"))
     )
@@ -384,9 +380,9 @@ def blog_metadata(pages: DataFrame) -> DataFrame:
         picked.withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(
             {
-                "nodes": html_nodes(_HTML),
-                "title": text.blog_title(_HTML, _PROFILE),
-                "language": text.detect_language(_HTML, _PROFILE),
+                "nodes": html_nodes(F.col("html")),
+                "title": text.blog_title(F.col("html"), F.col("profile")),
+                "language": text.detect_language(F.col("html"), F.col("profile")),
             }
         )
         .withColumn(

@@ -34,7 +34,7 @@ def drop_ignored_by_table(
     passes = max(1, -(-table.count() // max_rules))
     for i in range(passes):
         part = table.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
-        df = df.join(F.broadcast(part), F.col(url).rlike(F.col("pattern")), "left_anti")
+        df = df.join(F.broadcast(part), F.rlike(F.col(url), F.col("pattern")), "left_anti")
     return df
 
 

@@ -26,6 +26,10 @@ def blog_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+# The last hash-like part of a path: the file's own name, or its folder.
+_PATH_HASH = r"^.*(?<![0-9a-f])([0-9a-f]{32})(?![0-9a-f])"
+
+
 def scan_html_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Cached page files, plain or gzip, found by the hash in their path.
 
@@ -37,7 +41,7 @@ def scan_html_cache(spark: SparkSession, folder: str) -> DataFrame:
         .text(folder, wholetext=True)
     )
     return files.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([0-9a-f]{32})[^0-9a-f]?", 1).alias("url_md5"),
+        F.regexp_extract(F.col("_metadata.file_path"), _PATH_HASH, 1).alias("url_md5"),
         F.col("value").alias("html"),
     )
 
@@ -49,7 +53,7 @@ def scan_html_cache_bytes(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "*.html").load(folder)
     )
     return files.select(
-        F.regexp_extract("path", r"([0-9a-f]{32})[^0-9a-f]?", 1).alias("url_md5"),
+        F.regexp_extract("path", _PATH_HASH, 1).alias("url_md5"),
         text.clever_decode(F.col("content")).alias("html"),
     )
 
