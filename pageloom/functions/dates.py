@@ -131,7 +131,12 @@ def article_date(raw: Column, language: Column, url: Column, as_of: datetime) ->
 
 
 def strip_weekday(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\,]*, ", "")
+    """Text without its ``word, `` parts.
+
+    The second alternative keeps what is not such a part and moves past it, so
+    long text without commas stays linear.
+    """
+    return F.regexp_replace(c, r"[^,]*+, |([^,]*+,|[^,]++)", "$1")
 
 
 def title_or_date(title: Column, blog_title: Column, date: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import strip
+from pageloom.functions.text import let, strip
 
 # Tags that stay in chapter content.
 KEPT_TAGS = ("a", "img", "p", "i", "b", "strong", "ul", "ol", "li", "br", "pre")
@@ -49,6 +49,15 @@ def remove_patterns(c: Column, regexes: list[str]) -> Column:
     return c
 
 
+def _collapse_blanks(c: Column) -> Column:
+    """Runs of blanks as one space; text without any is not even scanned."""
+    has_runs = F.contains(c, F.lit("  "))
+    for blank in "\t\r\f\x0b":
+        has_runs = has_runs | F.contains(c, F.lit(blank))
+    collapsed = F.regexp_replace(c, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")
+    return F.when(has_runs, collapsed).otherwise(c)
+
+
 def reduce_markup(c: Column) -> Column:
     """Content with only the kept tags, divs as paragraphs, blanks collapsed."""
     kept = "|".join(KEPT_TAGS)
@@ -57,7 +66,7 @@ def reduce_markup(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?i)<div[^>]*>", "<p>")
     c = F.regexp_replace(c, rf"(?i)</?(?!(?:{kept})\b)[a-zA-Z!][^>]*>", "")
-    c = strip(F.regexp_replace(c, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " "))
+    c = strip(let(c, _collapse_blanks))
     c = F.regexp_replace(c, r"</i>\s*<i>", "")
     return F.regexp_replace(c, r"</b>\s*<b>", "")
 

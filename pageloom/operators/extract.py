@@ -314,13 +314,16 @@ def extract_articles(
     cfg: JobConfig,
     blogs: DataFrame | None = None,
     profiles: Sequence[SiteProfile] = PROFILES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Article rows of ``pages(blog, seq, url, html)``.
 
+    ``keep`` names further input columns to carry along.
+
     ``blogs(blog, title, language)`` supplies each blog's own title and
     language; without it the page speaks for itself.
     """
-    fields = extract_fields(pages.select("blog", "seq", "url", "html"), cfg, profiles).drop("html")
+    fields = extract_fields(pages.select("blog", "seq", "url", "html", *keep), cfg, profiles).drop("html")
     if blogs is None:
         fields = fields.withColumns(
             {"language": F.col("page_language"), "blog_title": F.lit(None).cast("string")}
@@ -358,6 +361,7 @@ def extract_articles(
             "images",
             "content",
             "comments",
+            *keep,
         )
     )
 

@@ -124,15 +124,23 @@ def stored_keys(store: DataFrame) -> DataFrame:
     return store.groupBy("url_md5").agg(F.min("page_id").alias("page_id"))
 
 
+def fetch_bodies(keyed: DataFrame, store: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with a ``page_id`` and their stored body.
+
+    The one wide step of a run: each body is shuffled at most once, by its
+    unique id. A page asked for very often makes one hot key on the narrow
+    side, which adaptive execution splits; few rows are broadcast instead.
+    """
+    return keyed.join(store.select("page_id", "html"), "page_id", how)
+
+
 def lookup_pages(inventory: DataFrame, store: DataFrame) -> DataFrame:
     """Inventory with stored bodies, null where a page is missing.
 
-    Keys are matched on narrow columns first, so each page body is shuffled at
-    most once and only by its id. A URL listed very often makes one hot key on
-    the inventory side, which adaptive execution splits.
+    Keys are matched on narrow columns before any body is touched.
     """
     keyed = inventory.join(stored_keys(store), "url_md5", "left")
-    return keyed.join(store.select("page_id", "html"), "page_id", "left")
+    return fetch_bodies(keyed, store, "left")
 
 
 def frontier(inventory: DataFrame, store: DataFrame) -> DataFrame:

@@ -54,7 +54,9 @@ def rank_within(
         )
         part = f"__before_{depth}"
         parts.append(part)
-        level = sizes.groupBy(*keys, *above, here).agg(F.sum("__rows").alias("__rows"))
+        level = sizes
+        if depth < len(names):
+            level = sizes.groupBy(*keys, *above, here).agg(F.sum("__rows").alias("__rows"))
         level = level.select(
             *keys,
             *above,

@@ -17,6 +17,7 @@ from pageloom.functions import dates, markup, select, text, urls
 from pageloom.functions.nodes import html_nodes
 from pageloom.operators import books, comments, extract, history, images, inventory
 from pageloom.plans import fixtures as fx
+from pageloom.plans import run
 from pageloom.plans import sqltext as q
 from pageloom.profiles import (
     BLOGSPOT,
@@ -27,7 +28,7 @@ from pageloom.profiles import (
     site_patterns,
     with_profile,
 )
-from pageloom.session import prepare_session, scratch_path
+from pageloom.session import prepare_session, scratch_path, staged
 from pageloom.sources import images as image_source
 from pageloom.sources import pages as page_source
 from pageloom.sources import sitemaps
@@ -45,15 +46,15 @@ def query(name: str, sql: str | None = None):
     """Register a query under ``name`` with its check SQL."""
 
     def register(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(prepare_session(spark), sf_dir)
 
-        run.__doc__ = fn.__doc__
-        run.__name__ = name
-        QUERIES[name] = run
+        call.__doc__ = fn.__doc__
+        call.__name__ = name
+        QUERIES[name] = call
         if sql is not None:
             ORACLES[name] = sql
-        return run
+        return call
 
     return register
 
@@ -1792,22 +1793,12 @@ def v4(spark, sf_dir):
     FROM kept""",
 )
 def book_run(spark, sf_dir):
-    """Sitemaps to chapters: inventory, skip 1, lookup, limit 5, extraction, numbering.
-
-    Skip and limit work on narrow rows before any page body is read by Python.
-    The extracted rows are written once, and numbering reads that table.
-    """
-    pages = inventory.number_inventory(_page_inventory(spark, sf_dir))
-    wanted = inventory.skip_pages(pages, F.lit("1"))
+    """Sitemaps to chapters: inventory, skip 1, lookup, limit 5, extraction."""
+    pages = staged(inventory.number_inventory(_page_inventory(spark, sf_dir)), "inventory")
     store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
-    found = inventory.lookup_pages(wanted.select("blog", "seq", "url", "url_md5"), store)
-    limited = books.limit_articles(extract.drop_unparsed(found), F.lit("5"))
-    folder = scratch_path(spark, "run-articles")
-    sinks.write_articles(extract.extract_articles(limited, CFG), folder)
-    articles = spark.read.parquet(folder)
-    places = books.toc_spine(books.number_chapters(articles.select("blog", "seq")))
-    return articles.join(places, ["blog", "seq"]).select(
+    cfg = JobConfig(skip="1", limit="5")
+    plan = staged(run.chapter_plan(pages, store, cfg), "chapter-plan")
+    made = run.chapter_rows(plan, store, cfg)
+    return made.select(
         "blog", "number", "href", "title", "toc_pos", F.md5("content").alias("content_md5")
     )
-
-
