@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.text import NON_XML_CHARS
-
 # Attributes that patterns look at or take.
 ATTRIBUTES = frozenset(
     "class id itemprop rel property data-kind content src alt href title text".split()
@@ -60,7 +58,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_NON_XML = re.compile(NON_XML_CHARS)
 _RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
 
@@ -160,11 +157,11 @@ def _kept(rows: list[list], size: int) -> list[list]:
 
 @F.arrow_udf(T.ArrayType(NODE))
 def html_nodes(pages: pa.Array) -> pa.Array:
-    """Node arrays of one Arrow batch; missing and unreadable pages give null."""
+    """Node arrays of one Arrow batch; null pages give null."""
     offsets, flat, missing = [0], [], []
     for page in pages.to_pylist():
-        missing.append(page is None or bool(_NON_XML.search(page)))
-        if not missing[-1]:
+        missing.append(page is None)
+        if page is not None:
             flat.extend(page_nodes(page))
         offsets.append(len(flat))
     pos, last, parent, tag, start, stop, attrs, value = (

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from pageloom.profiles import COMMON_FIELDS, FIELDS, Pattern, SiteProfile
 
-_STEP = "struct<tag: string, attr: string, op: string, value: string, child: boolean>"
+_STEP = (
+    "struct<tag: string, mark: string, attr: string, op: string, value: string, child: boolean>"
+)
 _PATTERN = f"struct<field: string, take: string, steps: array<{_STEP}>>"
 
 
@@ -24,7 +26,7 @@ def _row(field: str, pattern: Pattern) -> dict:
         "field": field,
         "take": "title_tag" if field == "title" and pattern.regex else pattern.take,
         "steps": [
-            {"tag": s.tag, "attr": s.attr, "op": s.op, "value": s.value, "child": s.child}
+            {"tag": s.tag, "mark": "" if s.tag == "*" else f"<{s.tag}>", "attr": s.attr, "op": s.op, "value": s.value, "child": s.child}
             for s in pattern.steps
         ],
     }
@@ -94,6 +96,12 @@ def matches(patterns: str, title_tag: str = "cast(null as string)") -> Column:
     arguments name columns. The title-tag pattern takes its text from
     ``title_tag``.
     """
+    # Most patterns name something a page does not have at all: one look at the
+    # page's tags and attribute values drops them before any node is tested.
+    marks = """array_join(flatten(transform(nodes, n ->
+        array_append(map_values(n.attrs), concat('<', n.tag, '>')))), ' ')"""
+    possible = f"""transform(array({marks}), marks -> filter({patterns}, p ->
+        forall(p.steps, s -> contains(marks, s.mark) AND contains(marks, s.value))))[0]"""
     attribute = "try_element_at(get(nodes, i).attrs, substr(p.take, 2))"
     texts = f"""CASE
         WHEN p.take = 'element' THEN cast(array() AS array<string>)
@@ -104,7 +112,7 @@ def matches(patterns: str, title_tag: str = "cast(null as string)") -> Column:
       END"""
     return F.expr(
         f"""filter(
-          transform({patterns}, p -> transform(array({_WALK_SQL}), f ->
+          transform({possible}, p -> transform(array({_WALK_SQL}), f ->
             named_struct('field', p.field, 'found', filter(f, i -> i >= 0), 'texts', {texts}))[0]),
           m -> size(m.found) > 0 OR size(m.texts) > 0)"""
     )

@@ -24,9 +24,8 @@ INTERSTITIAL_PATTERN = r'interstitial=([^"]+)'
 
 # Characters XML can hold; a page with any other one is not parseable. The
 # anchored form is one forward pass without backtracking.
-_XML_CHARS = r"\t\n\r\x20-�\x{10000}-\x{10FFFF}"
+_XML_CHARS = r"\t\n\r\x20-\uFFFD\x{10000}-\x{10FFFF}"
 _ALL_XML = rf"\A[{_XML_CHARS}]*+\z"
-NON_XML_CHARS = r"[^\t\n\r\x20-�\U00010000-\U0010FFFF]"
 
 # What strip() removes in the pages at hand.
 BLANK = " \t\n\r\x0b\x0c"

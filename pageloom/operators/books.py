@@ -19,7 +19,8 @@ def limit_articles(pages: DataFrame, limit: Column) -> DataFrame:
     ``blog, seq`` are ranked; the rows themselves meet one cut per blog.
     """
     n = urls.parse_limit(limit)
-    cuts = nth_position(pages.select("blog", "seq"), F.greatest(n, F.lit(1)))
+    at_least_one = F.when(n.isNotNull(), F.greatest(n, F.lit(1)))
+    cuts = nth_position(pages.select("blog", "seq"), at_least_one)
     kept = pages.join(cuts, "blog", "left").filter(
         F.col("cut").isNull() | (F.col("seq") <= F.col("cut"))
     )
@@ -157,18 +158,54 @@ def build_chapters(articles: DataFrame, cfg: JobConfig) -> DataFrame:
 
 
 def dedupe_names(books: DataFrame) -> DataFrame:
-    """Distinct file names: later takers of a name get ``_[1]``, ``_[2]`` ….
+    """Distinct file names: the first taker of a name keeps it, later ones get
+    the first free of ``_[1]``, ``_[2]`` … on the same stem (W6).
 
     Takers are ordered by the hash of their blog, which also splits a name that
-    very many blogs share.
+    very many blogs share. ``books`` has one row per ``blog``.
     """
+    suffix = r"(?:_\[[0-9]+\])?\.epub$"
     key = F.md5("blog")
-    ranked = rank_within(books, ["file_name"], [key], [F.substring(key, 1, 3)], "__n")
-    stem = F.regexp_replace(F.regexp_replace("file_name", r"\.epub$", ""), r"_\[[0-9]+\]$", "")
-    numbered = F.concat(stem, F.lit("_["), (F.col("__n") - 1).cast("string"), F.lit("].epub"))
-    return ranked.withColumn(
-        "file_name", F.when(F.col("__n") == 1, F.col("file_name")).otherwise(numbered)
-    ).drop("__n")
+    names = books.select(
+        "blog",
+        "file_name",
+        F.regexp_replace("file_name", suffix, "").alias("stem"),
+        F.regexp_extract("file_name", r"_\[([1-9][0-9]*)\]\.epub$", 1)
+        .try_cast("bigint")
+        .alias("taken"),
+    )
+    ranked = rank_within(names, ["file_name"], [key], [F.substring(key, 1, 3)], "taker")
+    first, later = ranked.filter("taker = 1"), ranked.filter("taker > 1")
+
+    # The k-th free number of a stem is its place among k and the taken numbers,
+    # each of those put where as many free numbers lie below it.
+    waiting = rank_within(later, ["stem"], [key], [F.substring(key, 1, 3)], "k").select(
+        "stem", "blog", F.col("k").alias("place"), F.lit(0).alias("kind")
+    )
+    taken = rank_by_seq(first.filter("taken IS NOT NULL"), "stem", "taken", "j").select(
+        "stem",
+        F.lit(None).cast("string").alias("blog"),
+        (F.col("taken") - F.col("j")).alias("place"),
+        F.lit(1).alias("kind"),
+    )
+    numbered = rank_within(
+        waiting.unionByName(taken),
+        ["stem"],
+        [F.col("place"), F.col("kind")],
+        [chunk_of(F.col("place"))],
+        "number",
+    ).filter("kind = 0")
+    renamed = numbered.select(
+        "blog",
+        F.concat(
+            "stem", F.lit("_["), F.col("number").cast("string"), F.lit("].epub")
+        ).alias("free_name"),
+    )
+    return (
+        books.join(renamed, "blog", "left")
+        .withColumn("file_name", F.coalesce("free_name", "file_name"))
+        .drop("free_name")
+    )
 
 
 def compose_book(spec: DataFrame, articles: DataFrame) -> DataFrame:

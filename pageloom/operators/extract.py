@@ -57,7 +57,7 @@ def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -
     in the JVM.
     """
     return (
-        spread_small_input(pages)
+        drop_unparsed(spread_small_input(pages))
         .withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(
             {
@@ -65,7 +65,6 @@ def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -
                 "title_tag": text.html_unescape(text.title_tag(F.col("html"))),
             }
         )
-        .filter(F.col("nodes").isNotNull())
         .withColumn(
             "patterns", select.pattern_table(profiles, F.col("profile"))
         )
