@@ -93,8 +93,11 @@ def assemble_books(articles: DataFrame, blogs: DataFrame) -> DataFrame:
 
 
 def number_chapters(articles: DataFrame) -> DataFrame:
-    """Chapter number, id and file of every article in reading order."""
-    numbered = rank_by_seq(articles, "blog", "seq", "number")
+    """Chapter number, id and file of every article in reading order.
+
+    ``n_chapters`` of the blog comes along, as the ranking knows it anyway.
+    """
+    numbered = rank_by_seq(articles, "blog", "seq", "number", "n_chapters")
     uid = F.concat(F.lit("chapter_"), F.col("number").cast("string"))
     return numbered.withColumn("uid", uid).withColumn(
         "href", F.concat(uid, F.lit(".xhtml"))
@@ -110,22 +113,22 @@ def order_chapters(articles: DataFrame, by: str = "date") -> DataFrame:
         return rank_within(articles, ["blog"], [latest_first], [back], "number")
     never = F.lit("9999-12-31 00:00:00").cast("timestamp")
     known = F.coalesce(F.col("date").cast("timestamp"), never)
-    levels = [F.to_date(known), F.date_trunc("minute", known), known, back]
+    # Hours per blog, seconds per hour and instants per second are all bounded.
+    instant = F.struct(known.alias("known"), back.alias("back"))
+    levels = [F.date_trunc("hour", known), F.date_trunc("second", known), instant]
     return rank_within(
         articles, ["blog"], [F.col("date").asc_nulls_last(), latest_first], levels, "number"
     )
 
 
 def toc_spine(chapters: DataFrame) -> DataFrame:
-    """Table-of-contents and spine positions: chapters backwards, the spine
-    led by cover and navigation (W4)."""
-    sizes = chapters.groupBy("blog").agg(F.count(F.lit(1)).alias("__n"))
-    position = F.col("__n") - F.col("number") + 1
+    """Table-of-contents and spine positions of numbered chapters: backwards,
+    the spine led by cover and navigation (W4)."""
+    position = F.col("n_chapters") - F.col("number") + 1
     return (
-        chapters.join(sizes, "blog")
-        .withColumn("toc_pos", position)
+        chapters.withColumn("toc_pos", position)
         .withColumn("spine_pos", position + 2)
-        .drop("__n")
+        .drop("n_chapters")
     )
 
 

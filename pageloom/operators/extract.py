@@ -38,18 +38,6 @@ def interstitials(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread_small_input(pages: DataFrame) -> DataFrame:
-    """Use every core on an input with fewer partitions than cores.
-
-    Input of any size worth a cluster has more partitions than that and is left
-    as it is, so no page body is shuffled there.
-    """
-    if pages.isStreaming:
-        return pages
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
-
-
 def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
     """Parseable pages with profile, node array and everything patterns found.
 
@@ -57,7 +45,7 @@ def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -
     in the JVM.
     """
     return (
-        drop_unparsed(spread_small_input(pages))
+        drop_unparsed(pages)
         .withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(
             {
@@ -308,6 +296,14 @@ def extract_fields(
     )
 
 
+def with_blog_meta(rows: DataFrame, blogs: DataFrame) -> DataFrame:
+    """Rows with their blog's title and language."""
+    meta = blogs.select(
+        "blog", F.col("title").alias("blog_title"), F.col("language").alias("blog_language")
+    )
+    return rows.join(meta, "blog", "left")
+
+
 def extract_articles(
     pages: DataFrame,
     cfg: JobConfig,
@@ -317,23 +313,24 @@ def extract_articles(
 ) -> DataFrame:
     """Article rows of ``pages(blog, seq, url, html)``.
 
-    ``keep`` names further input columns to carry along.
-
-    ``blogs(blog, title, language)`` supplies each blog's own title and
-    language; without it the page speaks for itself.
+    Each blog's own title and language come from columns ``blog_title`` and
+    ``blog_language`` of the pages, best joined on before bodies are fetched
+    (``with_blog_meta``). ``blogs(blog, title, language)`` joins them on here;
+    without either the page speaks for itself. ``keep`` names further input
+    columns to carry along.
     """
-    fields = extract_fields(pages.select("blog", "seq", "url", "html", *keep), cfg, profiles).drop("html")
-    if blogs is None:
-        fields = fields.withColumns(
-            {"language": F.col("page_language"), "blog_title": F.lit(None).cast("string")}
-        )
-    else:
-        meta = blogs.select(
-            "blog", F.col("title").alias("blog_title"), F.col("language")
-        )
-        fields = fields.join(meta, "blog", "left").withColumn(
-            "language", F.coalesce("language", "page_language")
+    known = [c for c in ("blog_title", "blog_language") if c in pages.columns]
+    fields = extract_fields(
+        pages.select("blog", "seq", "url", "html", *known, *keep), cfg, profiles
+    ).drop("html")
+    if blogs is not None:
+        fields = with_blog_meta(fields.drop(*known), blogs)
+    elif len(known) < 2:
+        unknown = F.lit(None).cast("string")
+        fields = fields.drop(*known).withColumns(
+            {"blog_title": unknown, "blog_language": unknown}
         )
+    fields = fields.withColumn("language", F.coalesce("blog_language", "page_language"))
     date_as_title = [p.name for p in profiles if p.date_as_title]
     date_language = override(F.col("language"), F.col("profile"), "language_override", tuple(profiles))
     return (

@@ -137,10 +137,15 @@ def fetch_bodies(keyed: DataFrame, store: DataFrame, how: str = "inner") -> Data
 def lookup_pages(inventory: DataFrame, store: DataFrame) -> DataFrame:
     """Inventory with stored bodies, null where a page is missing.
 
-    Keys are matched on narrow columns before any body is touched.
+    Keys are matched on narrow columns before any body is touched. Missing
+    pages get distinct negative ids, so that they do not meet in one partition.
     """
-    keyed = inventory.join(stored_keys(store), "url_md5", "left")
-    return fetch_bodies(keyed, store, "left")
+    missing = -1 - F.pmod(F.xxhash64("url_md5"), F.lit(1 << 40))
+    keyed = inventory.join(stored_keys(store), "url_md5", "left").withColumn(
+        "page_id", F.coalesce("page_id", missing)
+    )
+    found = fetch_bodies(keyed, store, "left")
+    return found.withColumn("page_id", F.when(F.col("page_id") >= 0, F.col("page_id")))
 
 
 def frontier(inventory: DataFrame, store: DataFrame) -> DataFrame:

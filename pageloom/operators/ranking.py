@@ -15,13 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key that share a chunk when positions are dense integers.
-CHUNK_ROWS = 1 << 16
+# Positions sharing a chunk: 2 ** 16 in a row.
+CHUNK_BITS = 16
 
 
 def chunk_of(seq: Column) -> Column:
     """Chunk number of an integer position."""
-    return F.floor(seq / F.lit(CHUNK_ROWS)).cast("bigint")
+    return F.shiftright(seq, CHUNK_BITS)
 
 
 def rank_within(
@@ -30,19 +30,32 @@ def rank_within(
     order: Sequence[Column],
     levels: Sequence[Column],
     out: str = "number",
+    bare: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add ``out`` = 1..n per ``keys`` in ``order``.
+    """Add ``out`` = 1..n per ``keys`` in ``order``, and n itself as ``total``.
 
     ``levels`` are non-null columns, coarse to fine, whose ascending order
-    agrees with ``order``; rows equal in all levels form one chunk.
+    agrees with ``order``; rows equal in all levels form one chunk. ``bare``
+    says that rows hold nothing but keys and order: then chunk sizes are read
+    off the numbered rows, whose shuffle Spark reuses, and the input is
+    computed once. Otherwise sizes are counted apart, combined before their
+    shuffle.
     """
     names = [f"__level_{i}" for i in range(len(levels))]
     keys = list(keys)
+    # Keys and levels are non-null by contract. Saying so here gives both reads
+    # of the rows below the same plan, and with it one shared shuffle.
     chunked = df.withColumns(dict(zip(names, levels)))
+    for column in (*keys, *names):
+        chunked = chunked.filter(F.col(column).isNotNull())
     local = Window.partitionBy(*keys, *names).orderBy(*order)
     ranked = chunked.withColumn("__local", F.row_number().over(local).cast("bigint"))
 
-    sizes = chunked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__rows"))
+    if bare:
+        sizes = ranked.groupBy(*keys, *names).agg(F.max("__local").alias("__rows"))
+    else:
+        sizes = chunked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__rows"))
     offsets = None
     parts = []
     for depth in range(len(names), 0, -1):
@@ -57,24 +70,35 @@ def rank_within(
         level = sizes
         if depth < len(names):
             level = sizes.groupBy(*keys, *above, here).agg(F.sum("__rows").alias("__rows"))
+        extra = []
+        if total is not None and depth == 1:
+            extra = [F.sum("__rows").over(Window.partitionBy(*keys)).alias(total)]
         level = level.select(
             *keys,
             *above,
             here,
             F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias(part),
+            *extra,
         )
         offsets = level if offsets is None else offsets.join(level, [*keys, *above, here])
-    total = reduce(lambda a, b: a + b, (F.col(p) for p in parts), F.col("__local"))
+    number = reduce(lambda a, b: a + b, (F.col(p) for p in parts), F.col("__local"))
     return (
         ranked.join(offsets, [*keys, *names])
-        .withColumn(out, total.cast("bigint"))
+        .withColumn(out, number.cast("bigint"))
         .drop("__local", *names, *parts)
     )
 
 
-def rank_by_seq(df: DataFrame, key: str = "blog", seq: str = "seq", out: str = "number") -> DataFrame:
+def rank_by_seq(
+    df: DataFrame,
+    key: str = "blog",
+    seq: str = "seq",
+    out: str = "number",
+    total: str | None = None,
+) -> DataFrame:
     """1..n per key in the order of an integer position."""
-    return rank_within(df, [key], [F.col(seq)], [chunk_of(F.col(seq))], out)
+    bare = set(df.columns) == {key, seq}
+    return rank_within(df, [key], [F.col(seq)], [chunk_of(F.col(seq))], out, bare, total)
 
 
 def nth_position(df: DataFrame, n: Column, key: str = "blog", seq: str = "seq") -> DataFrame:

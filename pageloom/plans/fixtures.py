@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import text, urls
-from pageloom.sources.pages import read_pages
+from pageloom.sources.pages import read_pages, spread_scan
 
 # List lengths of paged documents.
 SITEMAP_ENTRIES = 50_000
@@ -80,7 +80,7 @@ def post_keys(docs: DataFrame) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blog posts made of documents: ``blog, seq, url, html`` and the parts."""
-    keyed = post_keys(documents(spark, sf_dir))
+    keyed = post_keys(spread_scan(documents(spark, sf_dir)))
     title = F.when(
         F.col("doc_id") % 25 != 7,
         F.concat(

@@ -80,7 +80,7 @@ def joined(c: Column | str) -> Column:
 
 
 def blog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.blog_pages(fx.pages(spark, sf_dir))
+    return page_source.blog_pages(page_source.spread_scan(fx.pages(spark, sf_dir)))
 
 
 def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -987,7 +987,8 @@ def w2(spark, sf_dir):
         row_number() OVER (PARTITION BY {q.BLOG} ORDER BY page_id) AS number FROM pages)""",
 )
 def w3(spark, sf_dir):
-    return books.number_chapters(_known_inventory(spark, sf_dir).select("blog", "seq"))
+    numbered = books.number_chapters(_known_inventory(spark, sf_dir).select("blog", "seq"))
+    return numbered.select("blog", "seq", "number", "uid", "href")
 
 
 @query(

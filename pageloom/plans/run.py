@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.config import JobConfig
 from pageloom.functions import markup, text, urls
 from pageloom.operators import books, extract, inventory
-from pageloom.operators.ranking import rank_by_seq
+from pageloom.session import staged
 
 
 def readable_keys(store: DataFrame) -> DataFrame:
@@ -31,31 +31,35 @@ def readable_keys(store: DataFrame) -> DataFrame:
     )
 
 
-def chapter_plan(pages: DataFrame, store: DataFrame, cfg: JobConfig) -> DataFrame:
+def chapter_plan(
+    pages: DataFrame, store: DataFrame, cfg: JobConfig, blogs: DataFrame | None = None
+) -> DataFrame:
     """``blog, seq, url, page_id`` of every chapter with its number and places.
 
     ``pages(blog, seq, url, url_md5)`` is the numbered inventory. Pages that are
     missing or unreadable never count towards the limit (W1, F5, W2, W3, W4).
+    ``blogs`` adds each blog's title and language while rows are still narrow.
     """
     wanted = pages.select("blog", "seq", "url", "url_md5").filter(
         F.col("seq") > F.coalesce(urls.parse_skip(F.lit(cfg.skip)), F.lit(0))
     )
-    found = wanted.join(readable_keys(store), "url_md5").drop("url_md5")
-    numbered = rank_by_seq(found, "blog", "seq", "number")
+    # Written once: ranking reads these rows twice, the store's bodies once.
+    found = staged(wanted.join(readable_keys(store), "url_md5").drop("url_md5"), "readable")
+    numbered = books.number_chapters(found)
     if cfg.limit.isdigit():
-        numbered = numbered.filter(F.col("number") <= max(int(cfg.limit), 1))
-    uid = F.concat(F.lit("chapter_"), F.col("number").cast("string"))
-    named = numbered.withColumn("uid", uid).withColumn("href", F.concat(uid, F.lit(".xhtml")))
-    return books.toc_spine(named)
+        most = F.lit(max(int(cfg.limit), 1)).cast("bigint")
+        numbered = numbered.filter(F.col("number") <= most).withColumn(
+            "n_chapters", F.least("n_chapters", most)
+        )
+    plan = books.toc_spine(numbered)
+    return plan if blogs is None else extract.with_blog_meta(plan, blogs)
 
 
-def chapter_rows(
-    plan: DataFrame, store: DataFrame, cfg: JobConfig, blogs: DataFrame | None = None
-) -> DataFrame:
+def chapter_rows(plan: DataFrame, store: DataFrame, cfg: JobConfig) -> DataFrame:
     """Article and chapter columns of a (staged) chapter plan."""
     places = ("number", "uid", "href", "toc_pos", "spine_pos")
     pages = inventory.fetch_bodies(plan, store).withColumn("place", F.struct(*places))
-    articles = extract.extract_articles(pages, cfg, blogs, keep=("place",))
+    articles = extract.extract_articles(pages, cfg, keep=("place",))
     return articles.withColumn(
         "xhtml",
         markup.chapter_xhtml(

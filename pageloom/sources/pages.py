@@ -19,6 +19,17 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_pages(spark, path).withColumn("url_md5", urls.url_md5(F.col("url")))
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Use every core on a table scan with fewer splits than cores.
+
+    For plain scans only: their split count is known without running anything.
+    A table worth a cluster has more splits than that and is left as it is, so
+    no page body is shuffled there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def blog_pages(pages: DataFrame) -> DataFrame:
     """``blog, seq, url, html``: pages in stored order, per blog."""
     return pages.select(

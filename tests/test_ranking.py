@@ -25,7 +25,7 @@ def rows(spark):
 
 @pytest.fixture()
 def small_chunks(monkeypatch):
-    monkeypatch.setattr(ranking, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(ranking, "CHUNK_BITS", 6)
 
 
 def same(a, b):

@@ -75,7 +75,10 @@ def test_whole_run(spark):
     from pageloom.operators.ranking import rank_by_seq
 
     numbered = rank_by_seq(inventory, "blog", "entry", "seq")
-    plan = run.chapter_plan(numbered, table, cfg)
+    metadata = inventory.select("blog").distinct().withColumns(
+        {"title": F.lit("Meta"), "language": F.lit("pl")}
+    )
+    plan = run.chapter_plan(numbered, table, cfg, metadata)
     made = run.chapter_rows(plan, table, cfg)
     expected = []
     by_blog = {}
@@ -88,6 +91,7 @@ def test_whole_run(spark):
         ]
     got = [(r.blog, r.number, r.title, r.toc_pos) for r in made.collect()]
     assert sorted(got) == sorted(expected)
+    assert {r.language for r in made.select("language").distinct().collect()} == {"pl"}
     blogs = made.select("blog").distinct().withColumns(
         {"title": F.lit("Same"), "description": F.lit(""), "file_prefix": F.lit("same")}
     )
