@@ -122,6 +122,11 @@ def profile_of(c: Column) -> Column:
     return chain.otherwise("default")
 
 
+def digits_only(c: Column) -> Column:
+    """The digit runs of typed text, as an entry field keeps them."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0)), " ")
+
+
 def parse_skip(c: Column) -> Column:
     """Positive integer, or null when nothing is to be skipped."""
     n = F.trim(c).try_cast("int")

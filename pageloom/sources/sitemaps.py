@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import select, urls
 from pageloom.functions.nodes import html_nodes
+from pageloom.operators.inventory import fetch_bodies, stored_keys
 from pageloom.profiles import ARCHIVE_LINKS
 
 
@@ -84,6 +85,24 @@ def meta_refresh_url(html: Column, blog: Column) -> Column:
     return F.when(target != "", absolute)
 
 
+def archive_index_pages(roots: DataFrame, store: DataFrame) -> DataFrame:
+    """Stored pages that root pages refresh to: ``blog, seq, page_url, html``.
+
+    For blogs without a sitemap. ``roots(blog, html)`` are root pages,
+    ``store(page_id, url_md5, html)`` the page store. Root pages give up their
+    body before the join; a blog whose root names no target has no row.
+    """
+    targets = (
+        roots.select("blog", meta_refresh_url(F.col("html"), F.col("blog")).alias("page_url"))
+        .filter(F.col("page_url").isNotNull())
+        .withColumn("url_md5", urls.url_md5(F.col("page_url")))
+    )
+    keyed = targets.join(stored_keys(store), "url_md5")
+    return fetch_bodies(keyed, store).select(
+        "blog", F.lit(0).cast("bigint").alias("seq"), "page_url", "html"
+    )
+
+
 def archive_link_url(href: Column, blog: Column, page_url: Column) -> Column:
     """Widget link: parent references hang below the blog, others replace the
     page's ``index.html``."""
@@ -129,3 +148,17 @@ def nav_links(pages: DataFrame) -> DataFrame:
         F.col("page_id").alias("seq"),
         F.posexplode(hrefs).alias("pos", "href"),
     )
+
+
+def read_sitemap_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of very many urlset files, split inside large ones.
+
+    Order inside a file is not kept; use ``scan_sitemap`` where it matters.
+    """
+    return (
+        spark.read.format("xml")
+        .option("rowTag", "url")
+        .schema("loc STRING, lastmod STRING")
+        .load(folder)
+        .select(F.col("_metadata.file_path").alias("doc_url"), F.trim("loc").alias("loc"), "lastmod")
+    )

@@ -122,6 +122,11 @@ def test_content_takes_the_first_pattern_that_is_not_blank(spark):
     assert one(spark, html, "https://a.com/1").content == "kept"
 
 
+def test_ranges_count_characters_not_bytes(spark):
+    html = "<p>żółw \U0001f600</p><article>x \U0001f600 <em>é</em><!-- ą --> y</article>"
+    assert one(spark, html, "https://a.com/1").content == "x \U0001f600 é y"
+
+
 def test_extra_content_patterns(spark):
     body = '<div class="type-post">wp</div><div class="post-body">bs</div>'
     assert one(spark, body, "https://a.wordpress.com/1").content == "<p>wp"

@@ -97,3 +97,10 @@ def test_resized_fn(spark):
         urls.resized_fn(F.lit("h"), JobConfig()), urls.resized_fn(F.lit("h"), cfg)
     ).first()
     assert tuple(row) == ("h_600_800_40_bw.jpg", "h_640_960_75.jpg")
+
+
+def test_digits_only(spark):
+    row = spark.range(1).select(
+        urls.digits_only(F.lit("a12b3")), urls.digits_only(F.lit("none"))
+    ).first()
+    assert tuple(row) == ("12 3", "")
