@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.config import JobConfig
 from pageloom.functions import dates, markup, urls
 from pageloom.operators.ranking import chunk_of, nth_position, rank_by_seq, rank_within
+from pageloom.session import staged
 
 
 def limit_articles(pages: DataFrame, limit: Column) -> DataFrame:
@@ -16,11 +17,12 @@ def limit_articles(pages: DataFrame, limit: Column) -> DataFrame:
     Only an all-digit limit counts, and at least one row stays: the limit is
     checked after a page has been read. Run it on pages that are known to parse
     (F5): then the limit cuts pages before any body is extracted. Only
-    ``blog, seq`` are ranked; the rows themselves meet one cut per blog.
+    ``blog, seq``, staged, are ranked; the rows themselves meet one cut per blog.
     """
     n = urls.parse_limit(limit)
     at_least_one = F.when(n.isNotNull(), F.greatest(n, F.lit(1)))
-    cuts = nth_position(pages.select("blog", "seq"), at_least_one)
+    positions = staged(pages.select("blog", "seq"), "positions")
+    cuts = nth_position(positions, at_least_one)
     kept = pages.join(cuts, "blog", "left").filter(
         F.col("cut").isNull() | (F.col("seq") <= F.col("cut"))
     )

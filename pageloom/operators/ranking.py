@@ -1,10 +1,11 @@
-"""Exact row numbers per key without sorting a whole key in one task.
+"""Exact row numbers per key without sorting a large key in one task.
 
 A blog may hold a third of all pages, so ``row_number() over (partition by
-blog)`` would put a third of the table into one task. Here every key is cut
+blog)`` would put a third of the table into one task. Here large keys are cut
 into ordered chunks; rows are numbered inside their chunk, and the chunk's
-offset is a running sum over chunk sizes, which are few. All steps are
-deterministic functions of the data, so a lost executor changes nothing.
+offset is a running sum over chunk sizes, which are few. Small keys are one
+chunk each. All steps are deterministic functions of the data, so a lost
+executor changes nothing.
 """
 
 from __future__ import annotations
@@ -14,48 +15,66 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Positions sharing a chunk: 2 ** 16 in a row.
 CHUNK_BITS = 16
 
+# Keys with more rows than this are cut into chunks. A table of n rows has at
+# most n / LARGE_KEY such keys: ten thousand in ten billion rows.
+LARGE_KEY = 1 << 20
+
 
 def chunk_of(seq: Column) -> Column:
     """Chunk number of an integer position."""
     return F.shiftright(seq, CHUNK_BITS)
 
 
+def large_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys to cut into chunks; few by arithmetic, so they may be broadcast."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return sizes.filter(F.col("__rows") > LARGE_KEY).select(*keys, F.lit(True).alias("__large"))
+
+
+def _fixed(kind: T.DataType) -> Column:
+    """Some value of a level's type, the same for all rows of a small key."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*(_fixed(f.dataType).alias(f.name) for f in kind))
+    zero = {"timestamp": F.timestamp_seconds(F.lit(0)), "string": F.lit("")}
+    return zero.get(kind.simpleString(), F.lit(0)).cast(kind)
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     levels: Sequence[Column],
     out: str = "number",
-    bare: bool = False,
     total: str | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1..n per ``keys`` in ``order``, and n itself as ``total``.
 
-    ``levels`` are non-null columns, coarse to fine, whose ascending order
-    agrees with ``order``; rows equal in all levels form one chunk. ``bare``
-    says that rows hold nothing but keys and order: then chunk sizes are read
-    off the numbered rows, whose shuffle Spark reuses, and the input is
-    computed once. Otherwise sizes are counted apart, combined before their
-    shuffle.
+    ``levels`` are columns, coarse to fine, whose ascending order agrees with
+    ``order``; rows of a large key equal in all levels form one chunk. Keys and
+    levels are never null. ``df`` is read three times (large keys, chunk sizes,
+    numbering), the first two combined before their shuffle: stage it first
+    when it is costly to compute.
     """
     names = [f"__level_{i}" for i in range(len(levels))]
     keys = list(keys)
-    # Keys and levels are non-null by contract. Saying so here gives both reads
-    # of the rows below the same plan, and with it one shared shuffle.
-    chunked = df.withColumns(dict(zip(names, levels)))
-    for column in (*keys, *names):
-        chunked = chunked.filter(F.col(column).isNotNull())
+    large = large_keys(df.select(*keys), keys)
+    leveled = df.withColumns(dict(zip(names, levels)))
+    chunked = leveled.join(F.broadcast(large), keys, "left").withColumns(
+        {
+            name: F.when(F.col("__large"), F.col(name)).otherwise(
+                _fixed(leveled.schema[name].dataType)
+            )
+            for name in names
+        }
+    ).drop("__large")
     local = Window.partitionBy(*keys, *names).orderBy(*order)
     ranked = chunked.withColumn("__local", F.row_number().over(local).cast("bigint"))
-
-    if bare:
-        sizes = ranked.groupBy(*keys, *names).agg(F.max("__local").alias("__rows"))
-    else:
-        sizes = chunked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__rows"))
+    sizes = chunked.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__rows"))
     offsets = None
     parts = []
     for depth in range(len(names), 0, -1):
@@ -97,8 +116,7 @@ def rank_by_seq(
     total: str | None = None,
 ) -> DataFrame:
     """1..n per key in the order of an integer position."""
-    bare = set(df.columns) == {key, seq}
-    return rank_within(df, [key], [F.col(seq)], [chunk_of(F.col(seq))], out, bare, total)
+    return rank_within(df, [key], [F.col(seq)], [chunk_of(F.col(seq))], out, total)
 
 
 def nth_position(df: DataFrame, n: Column, key: str = "blog", seq: str = "seq") -> DataFrame:

@@ -18,7 +18,7 @@ from pageloom.config import JobConfig
 from pageloom.functions import text, urls
 from pageloom.operators.extract import extract_articles
 from pageloom.operators.ranking import rank_by_seq
-from pageloom.session import scratch_path
+from pageloom.session import scratch_path, staged
 
 
 def stream_pages(
@@ -128,7 +128,7 @@ def run_limit(pages: DataFrame, limit: str, out: str, checkpoint: str) -> None:
         narrow = batch.filter(text.is_parseable(F.col("html"))).select(
             "blog", "seq", "url", "url_md5"
         )
-        numbered = rank_by_seq(narrow, "blog", "seq", "number")
+        numbered = rank_by_seq(staged(narrow, "batch"), "blog", "seq", "number")
         if batch_id > 0:
             kept = (
                 spark.read.parquet(state_path)

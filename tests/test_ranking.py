@@ -26,6 +26,7 @@ def rows(spark):
 @pytest.fixture()
 def small_chunks(monkeypatch):
     monkeypatch.setattr(ranking, "CHUNK_BITS", 6)
+    monkeypatch.setattr(ranking, "LARGE_KEY", 100)
 
 
 def same(a, b):
@@ -64,6 +65,19 @@ def test_skip(rows, small_chunks, skip, want):
     same(got, ranked.filter(F.col("n") > want).select("blog", "seq"))
 
 
+def test_rank_without_large_keys(rows):
+    got = ranking.rank_by_seq(rows.select("blog", "seq"))
+    window = Window.partitionBy("blog").orderBy("seq")
+    same(got, rows.select("blog", "seq", F.row_number().over(window).cast("bigint")))
+
+
+def test_large_key_is_spread(rows, small_chunks):
+    assert "hot" in {r.blog for r in ranking.large_keys(rows, ["blog"]).collect()}
+    ranked = ranking.rank_by_seq(rows.select("blog", "seq"))
+    spread = ranked.withColumn("p", F.spark_partition_id()).filter("blog = 'hot'")
+    assert spread.select("p").distinct().count() > 1
+
+
 def test_toc_is_a_permutation(rows, small_chunks):
     chapters = books.toc_spine(books.number_chapters(rows.select("blog", "seq")))
     for blog in chapters.select("blog").distinct().collect():
