@@ -141,7 +141,7 @@ def distinct_roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | Non
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """``(node, root)`` of every linked node: the smallest node it reaches.
 
-    ``links`` holds two bigint columns ``a`` and ``b``. Each round links all
+    ``links`` holds two columns ``a`` and ``b`` of one sortable type. Each round links all
     larger neighbours of a node to its smallest one, then all smaller
     neighbours likewise; the rounds grow with the logarithm of the longest
     path. A round's links are written to the shared folder, so nothing is

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import simhash_dedup
+from pageloom.llm import bpe, embedding_dedup, mixing, simhash_dedup
 from pageloom.llm.common import prepared, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,83 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_embedding_dedup",
+    """WITH RECURSIVE v AS (
+      SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+    ), reach(vec_id, other) AS (
+      SELECT vec_id, vec_id FROM embeddings
+      UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+    ), low AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+    ), n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id,
+      e.vec_id = component_id AS kept
+    FROM embeddings e JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings at a cosine of 0.95 or more."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of the text decoded from them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), path)
+
+
+@query(
+    "op9_mixing",
+    r"""WITH d AS (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k
+      FROM documents
+    ), s AS (
+      SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
+        [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1] AS w
+      FROM d GROUP BY source
+    ), p AS (
+      SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE AS budget,
+        sum(cap) OVER up AS capped, sum(w) OVER () - sum(w) OVER up AS free
+      FROM s WINDOW up AS (ORDER BY cap::DOUBLE / w, source ROWS UNBOUNDED PRECEDING)
+    ), l AS (
+      SELECT max(level) AS level FROM (
+        SELECT (any_value(budget) - 0) / sum(w)::DOUBLE AS level FROM p
+        UNION ALL
+        SELECT (budget - capped::DOUBLE) / free::DOUBLE FROM p
+        WHERE free > 0 AND cap::DOUBLE / w <= (budget - capped::DOUBLE) / free::DOUBLE)
+    ), t AS (
+      SELECT source, source_size, budget, least(cap::DOUBLE, (SELECT level FROM l) * w) AS target FROM p
+    ), q AS (
+      SELECT doc_id, size, source_size, target, budget, k, d.source,
+        row_number() OVER (PARTITION BY k, d.source ORDER BY size) AS twin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    ), f AS (
+      SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, twin ROWS UNBOUNDED PRECEDING) AS upto
+      FROM q
+    ), i AS (
+      SELECT *, (upto + c * source_size)::DOUBLE / target AS finish,
+        coalesce('s' || source, 'n') AS g FROM f, (VALUES (0), (1)) v(c) WHERE size > 0
+    ), o AS (
+      SELECT *, sum(size) OVER (ORDER BY finish, g, k, twin, c ROWS UNBOUNDED PRECEDING) AS pos FROM i
+    ), n AS (SELECT g, k, twin, count(*) AS copies FROM o WHERE pos <= budget GROUP BY ALL)
+    SELECT doc_id, size::BIGINT AS size, source_size, target,
+      (size * coalesce(copies, 0))::BIGINT AS taken
+    FROM q LEFT JOIN n ON coalesce('s' || q.source, 'n') = n.g AND q.k = n.k AND q.twin = n.twin""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix of 150 % of all words takes."""
+    rows, _ = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_simhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 2 bits."""
