@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pieces between spaces kept encoded from batch to batch by one Python worker.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 800_000
+#: Characters of the pieces that stay when that table is full.
+SHORT_PIECE = 9
 #: Documents taken at once within a batch, by characters.
 CHUNK_CHARS = 4_000_000
 
@@ -223,8 +225,10 @@ class WordBPE:
                 found.append(m.group())
                 at = m.end()
             parts.append(found + text[at:].replace("\n", " ").split(" "))
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
+        if len(self.known) > KEPT_PIECES:  # short pieces come again more often
+            self.known = {p: v for p, v in self.known.items() if len(p) <= SHORT_PIECE}
+            if len(self.known) > KEPT_PIECES // 2:
+                self.known.clear()
         self.known.update({c: int(k).to_bytes(4, "little") for c, k in self.specials.items()})
         known = self.known
         fresh = set(chain.from_iterable(parts)).difference(known)

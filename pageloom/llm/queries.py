@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import bpe, embedding_dedup, mixing, simhash_dedup
+from pageloom.llm import (
+    bpe,
+    embedding_dedup,
+    html_extract,
+    mixing,
+    secret_scan,
+    simhash_dedup,
+    token_files,
+    toxicity,
+)
 from pageloom.llm.common import prepared, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +60,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.read_labels(spark, sf_dir))
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of the text decoded from them."""
@@ -58,6 +74,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), path)
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.drop("found")
+
+
+@query(
+    "op5_html_extract",
+    r"""SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+      SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+        '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS text
+      FROM pages)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read back from their files."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.through_files(read_table(spark, sf_dir, "documents"), path, end_id=2)
+
+
 @query(
     "op9_mixing",
     r"""WITH d AS (
