@@ -15,7 +15,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -264,20 +264,20 @@ def encode_decode(
     tokenizer: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep_values: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: ``id_col, n_tokens, ids_sha256, decoded_sha256``.
 
     Ids are hashed as little-endian unsigned 32-bit integers, the decoded text
-    as UTF-8. ``keep_values`` adds ``ids`` (array<int>) and ``decoded``. A null
+    as UTF-8. ``keep`` may name ``ids`` (array<int>) and ``decoded`` to be added. A null
     text counts as empty: no ids and an empty text. Null and repeated ids are
     passed on; other columns are ignored. ``tokenizer`` is a path that every
     worker can read.
     """
     read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     schema = f"__id {read.schema['__id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if keep_values:
-        schema += ", ids array<int>, decoded string"
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema += "".join(f", {name} {kinds[name]}" for name in keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
@@ -293,10 +293,16 @@ def encode_decode(
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
                 ]
                 names = ["__id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_values:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in ids], pa.list_(pa.int32())))
-                    arrays.append(pa.array(decoded))
-                    names += ["ids", "decoded"]
+                if "ids" in keep:
+                    stops = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                    added = {"ids": pa.ListArray.from_arrays(pa.array(stops), pa.array(flat))}
+                else:
+                    added = {}
+                if "decoded" in keep:
+                    added["decoded"] = pa.array(decoded, pa.string())
+                arrays += [added[name] for name in keep]
+                names += keep
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return read.mapInArrow(run, schema).withColumnRenamed("__id", id_col)

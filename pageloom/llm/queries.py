@@ -12,6 +12,8 @@ from pageloom.llm import (
     embedding_dedup,
     html_extract,
     mixing,
+    nearest,
+    quality,
     secret_scan,
     simhash_dedup,
     token_files,
@@ -84,9 +86,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op5_html_extract",
     r"""SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
-      SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
-        '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS text
+      SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(
+          regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+          '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'),
+        '\s+', ' ', 'g')) AS text
       FROM pages)""",
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +99,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learnt from labels outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
 @query("op7_token_files")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids, read back from their files."""
@@ -101,6 +113,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(read_table(spark, sf_dir, "documents"), path, end_id=2)
 
 
+@query(
+    "op8_nearest",
+    """WITH v AS (
+      SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    ), r AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+      WHERE q.vec_id % 50 = 0
+    ), n AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r
+    ) SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM n WHERE rank <= 5""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all embeddings for every 50th id."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest.nearest_rows(vectors, lambda vec_id: vec_id % 50 == 0, count=5)
+
+
 @query(
     "op9_mixing",
     r"""WITH d AS (
