@@ -119,7 +119,7 @@ class WordBPE:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word; words are UTF-8, ids unsigned 32-bit integers."""
-        sizes = np.array([len(w) for w in words])
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum(sizes)
         symbol = self.first[flat]

@@ -265,6 +265,10 @@ def _joined(spans: Column) -> Column:
     )
 
 
+def _is_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FALSE_SHARE
 ) -> DataFrame:
@@ -291,7 +295,7 @@ def find_secrets(
                 t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")
             ),
         )
-    count = {k: F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in range(3)}
+    count = [F.size(F.filter("base", _is_kind(k))).cast("bigint") for k in range(3)]
     return scanned.withColumn("found", F.array_sort(F.concat("base", random))).select(
         F.col("__id").alias(id_col),
         count[0].alias("n_assign"),
