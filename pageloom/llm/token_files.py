@@ -21,12 +21,13 @@ of Parquet files, so that Spark's writer commits them, on any file system.
 
 from __future__ import annotations
 
+import math
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ SHORT_PIECE = 9
 # Ids per word by selector; selectors 0 and 1 are not used.
 COUNTS = [0, 0] + [n for n in range(60, 0, -1) if 60 // n > 60 // (n + 1)]
 WIDTHS = [0, 0] + [60 // n for n in COUNTS[2:]]
+COMMON = math.lcm(*COUNTS[2:])
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         large = np.zeros(len(padded) + 1, dtype=np.int32)
         np.cumsum(narrowest > selector, out=large[1:])
         escapes = large[count : count + total] - large[:total]
-        cost = (64 + 32 * escapes) * 1000 // count  # thousandths of a bit per id
+        cost = (64 + 32 * escapes) * (COMMON // count)  # bits per id, times COMMON
         np.minimum(best, cost * 16 + selector, out=best)
     choice = best & 15
     steps = np.array(COUNTS)[choice].tolist()
@@ -145,9 +147,9 @@ class PieceEncoder:
     """
 
     inner = re.compile(r"(?<=\S)(?= \S)")
-    odd_space = re.compile(r" (?=\s|\Z)|(?<=\s) |\A ")
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -155,30 +157,47 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before inner spaces; a piece after the first lacks its space."""
-        if self.odd_space.search(text):
+        parts = text.split(" ")
+        if (
+            "" in parts
+            or "\n " in text
+            or " \n" in text
+            or not text.replace("\n", "").isprintable()  # white space beside space and line end
+        ):
             first, *rest = self.inner.split(text)
-            return ["\0" + first, *(p[1:] for p in rest)]
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]
+            return [first, *(p[1:] for p in rest)]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.pieces(t) for t in texts]
-        heads = [p[0] for p in parts]
         if len(self.known) > KEPT_PIECES:  # short pieces come again more often
             self.known = {p: v for p, v in self.known.items() if len(p) <= SHORT_PIECE}
             if len(self.known) > KEPT_PIECES // 2:
                 self.known.clear()
-        fresh = list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.known))
+        find = self.known.get
+        rows, gaps, fresh = [], [], {}
+        for text in texts:
+            parts = self.pieces(text)
+            ids = list(map(find, parts))
+            ids[0] = b""
+            gap = [k for k, v in enumerate(ids) if v is None]
+            missing = [parts[k] for k in gap]
+            fresh.update(dict.fromkeys(missing))
+            rows.append((parts[0], ids))
+            gaps.append((gap, missing))
         raw = self.tokenizer.encode_batch_fast(
-            [" " + p for p in fresh] + [h[1:] for h in heads], add_special_tokens=False
+            [" " + p for p in fresh] + [head for head, _ in rows], add_special_tokens=False
         )
-        ids = [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in raw)]
-        self.known.update(zip(fresh, ids))
+        packed = [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in raw)]
         known = self.known
-        return [
-            head + b"".join(map(known.__getitem__, p[1:])) for head, p in zip(ids[len(fresh) :], parts)
-        ]
+        known.update(zip(fresh, packed))
+        out = []
+        for head, (_, ids), (gap, missing) in zip(packed[len(fresh) :], rows, gaps):
+            ids[0] = head
+            for k, piece in zip(gap, missing):
+                ids[k] = known[piece]
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
