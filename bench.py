@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "flagship_blog_summary",
+    "s2_scan_html_cache",
     "s4_scan_sitemap",
     "s6_scan_atom",
     "u1_build_inventory",
@@ -34,6 +36,7 @@ HEADLINE = (
     "o3_cover_slots",
     "w2_limit_articles",
     "w4_toc_spine",
+    "w6_dedupe_names",
     "x21_build_chapters",
     "t1_stream_articles",
     "book_run",
@@ -52,6 +55,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+        .config("spark.sql.files.maxPartitionBytes", "1m")  # small tables, all cores
         .getOrCreate()
     )
     from pageloom.plans.queries import QUERIES

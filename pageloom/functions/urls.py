@@ -127,12 +127,21 @@ def digits_only(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0)), " ")
 
 
+#: Larger counts mean this many: more than any table's rows, and sums of two still fit.
+MOST = 1 << 62
+
+
+def _count(digits: Column) -> Column:
+    most = F.lit(MOST)
+    return F.least(F.coalesce(digits.try_cast("bigint"), most), most)
+
+
 def parse_skip(c: Column) -> Column:
     """Positive integer, or null when nothing is to be skipped."""
-    n = F.trim(c).try_cast("int")
-    return F.when(n > 0, n)
+    typed = F.trim(c)
+    return F.when(typed.rlike(r"^\+?0*[1-9][0-9]*$"), _count(typed))
 
 
 def parse_limit(c: Column) -> Column:
     """All-digit limit, or null for no limit."""
-    return F.when(c.rlike(r"^[0-9]+$"), c.try_cast("int"))
+    return F.when(c.rlike(r"^[0-9]+$"), _count(c))

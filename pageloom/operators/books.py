@@ -22,11 +22,11 @@ def limit_articles(pages: DataFrame, limit: Column) -> DataFrame:
     n = urls.parse_limit(limit)
     at_least_one = F.when(n.isNotNull(), F.greatest(n, F.lit(1)))
     positions = staged(pages.select("blog", "seq"), "positions")
-    cuts = nth_position(positions, at_least_one)
-    kept = pages.join(cuts, "blog", "left").filter(
+    cuts = nth_position(positions, at_least_one).withColumnRenamed("blog", "__blog")
+    kept = pages.join(cuts, F.col("blog").eqNullSafe(F.col("__blog")), "left").filter(
         F.col("cut").isNull() | (F.col("seq") <= F.col("cut"))
     )
-    return kept.drop("cut")
+    return kept.drop("cut", "__blog")
 
 
 def date_span(articles: DataFrame) -> DataFrame:
@@ -81,6 +81,8 @@ def assemble_books(articles: DataFrame, blogs: DataFrame) -> DataFrame:
         F.max("date").alias("end"),
         F.count(F.lit(1)).alias("n_articles"),
     )
+    # The prefix follows from the URL, so a blog without metadata has its book too.
+    prefix = F.coalesce("file_prefix", urls.file_prefix(F.col("blog")))
     return spans.join(blogs, "blog", "left").select(
         "blog",
         "title",
@@ -89,8 +91,8 @@ def assemble_books(articles: DataFrame, blogs: DataFrame) -> DataFrame:
         "start",
         "end",
         "n_articles",
-        dates.book_file_name(F.col("file_prefix"), F.col("start"), F.col("end")).alias("file_name"),
-        F.concat_ws(", ", "title", "file_prefix").alias("author"),
+        dates.book_file_name(prefix, F.col("start"), F.col("end")).alias("file_name"),
+        F.concat_ws(", ", F.nullif("title", F.lit("")), prefix).alias("author"),
     )
 
 
@@ -108,7 +110,11 @@ def number_chapters(articles: DataFrame) -> DataFrame:
 
 def order_chapters(articles: DataFrame, by: str = "date") -> DataFrame:
     """Chapter order ``number`` by date, oldest first, or by reversed sitemap
-    order (O1). Undated articles come last, later sitemap entries first."""
+    order (O1). Undated articles come last, later sitemap entries first.
+
+    Ranking reads its rows several times, so they are staged first.
+    """
+    articles = staged(articles, "to-order")
     latest_first = F.col("seq").desc()
     back = -chunk_of(F.col("seq"))
     if by == "sitemap":
@@ -138,8 +144,9 @@ def build_chapters(articles: DataFrame, cfg: JobConfig) -> DataFrame:
     """Chapter rows with their XHTML.
 
     Numbers are made on ``blog, seq``; each article's text then moves once, to
-    meet its number.
+    meet its number. Articles are staged, as they are read for both.
     """
+    articles = staged(articles, "to-number")
     places = toc_spine(number_chapters(articles.select("blog", "seq")))
     return articles.join(places, ["blog", "seq"]).select(
         "blog",
@@ -167,8 +174,10 @@ def dedupe_names(books: DataFrame) -> DataFrame:
     the first free of ``_[1]``, ``_[2]`` … on the same stem (W6).
 
     Takers are ordered by the hash of their blog, which also splits a name that
-    very many blogs share. ``books`` has one row per ``blog``.
+    very many blogs share. ``books`` has one row per ``blog``; it and the ranks
+    are staged, and only clashing names go on from there.
     """
+    books = staged(books, "books")
     suffix = r"(?:_\[[0-9]+\])?\.epub$"
     key = F.md5("blog")
     names = books.select(
@@ -179,22 +188,26 @@ def dedupe_names(books: DataFrame) -> DataFrame:
         .try_cast("bigint")
         .alias("taken"),
     )
-    ranked = rank_within(names, ["file_name"], [key], [F.substring(key, 1, 3)], "taker")
+    ranked = staged(
+        rank_within(names, ["file_name"], [key], [F.substring(key, 1, 3)], "taker"), "takers"
+    )
     first, later = ranked.filter("taker = 1"), ranked.filter("taker > 1")
 
     # The k-th free number of a stem is its place among k and the taken numbers,
     # each of those put where as many free numbers lie below it.
+    clashing = later.select("stem").distinct()
     waiting = rank_within(later, ["stem"], [key], [F.substring(key, 1, 3)], "k").select(
         "stem", "blog", F.col("k").alias("place"), F.lit(0).alias("kind")
     )
-    taken = rank_by_seq(first.filter("taken IS NOT NULL"), "stem", "taken", "j").select(
+    numbers = first.filter("taken IS NOT NULL").join(clashing, "stem", "left_semi")
+    taken = rank_by_seq(numbers, "stem", "taken", "j").select(
         "stem",
         F.lit(None).cast("string").alias("blog"),
         (F.col("taken") - F.col("j")).alias("place"),
         F.lit(1).alias("kind"),
     )
     numbered = rank_within(
-        waiting.unionByName(taken),
+        staged(waiting.unionByName(taken), "places"),
         ["stem"],
         [F.col("place"), F.col("kind")],
         [chunk_of(F.col("place"))],

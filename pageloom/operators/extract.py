@@ -363,19 +363,29 @@ def extract_articles(
 
 
 def blog_metadata(pages: DataFrame) -> DataFrame:
-    """One row per blog from its root page, or the first page with a title.
+    """One row per blog, from its root page or its first page with a title.
 
+    A blog without a titled page takes language and description from the last
+    page that can be read, and one without any such page still has its prefix.
     The page is chosen on narrow columns; only chosen pages reach Python.
     ``pages(blog, seq, url, html)``.
     """
-    readable = drop_unparsed(pages)
     is_root = F.trim(F.col("url"), F.lit("/")) == F.trim(F.col("blog"), F.lit("/"))
-    chosen = (
-        readable.filter(text.title_tag(F.col("html")) != "")
-        .groupBy("blog")
-        .agg(F.coalesce(F.min(F.when(is_root, F.col("seq"))), F.min("seq")).alias("seq"))
+    readable = text.is_parseable(F.col("html"))
+    titled = readable & (text.title_tag(F.col("html")) != "")
+    chosen = pages.groupBy("blog").agg(
+        F.coalesce(
+            F.min(F.when(titled & is_root, F.col("seq"))),
+            F.min(F.when(titled, F.col("seq"))),
+            F.max(F.when(readable, F.col("seq"))),
+        ).alias("seq")
+    )
+    bodies = drop_unparsed(pages).select("blog", "seq", "url", "html")
+    picked = (
+        chosen.join(bodies, ["blog", "seq"], "left")
+        .dropDuplicates(["blog"])
+        .withColumns({"url": F.coalesce("url", "blog"), "html": F.coalesce("html", F.lit(""))})
     )
-    picked = readable.join(chosen, ["blog", "seq"]).dropDuplicates(["blog", "seq"])
     return (
         picked.withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.config import JobConfig
 from pageloom.functions import urls
 from pageloom.operators.ranking import chunk_of, rank_within, top_k
+from pageloom.session import staged
 
 COVER_SLOTS = 35
 
@@ -22,19 +23,20 @@ def drop_ignored(df: DataFrame, rules: Sequence[str], url: str = "url") -> DataF
 
 
 def drop_ignored_by_table(
-    df: DataFrame, rules: DataFrame, url: str = "url", max_rules: int = 10_000
+    df: DataFrame, rules: DataFrame, url: str = "url", max_chars: int = 50_000
 ) -> DataFrame:
     """The same with rules from a table ``rules(pattern)``.
 
-    A regex match has no join key, so rules are broadcast, about ``max_rules``
-    at a time. The table is counted first; a longer one takes several passes.
+    A regex match has no join key. The rules are brought together, some
+    ``max_chars`` characters at a time, and each part is one compiled
+    alternation in the scan, as in F4; a long table takes several filters.
     """
-    anchored = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))
-    table = rules.select(anchored.alias("pattern")).distinct()
-    passes = max(1, -(-table.count() // max_rules))
+    table = rules.select("pattern").filter("pattern is not null").distinct()
+    chars = table.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    passes = max(1, -(-chars // max_chars))
     for i in range(passes):
-        part = table.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
-        df = df.join(F.broadcast(part), F.rlike(F.col(url), F.col("pattern")), "left_anti")
+        part = table.filter(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).orderBy("pattern")
+        df = drop_ignored(df, [r.pattern for r in part.collect()], url)
     return df
 
 
@@ -89,7 +91,7 @@ def manifest_images(images: DataFrame) -> DataFrame:
     ``images(blog, pos, hash, resized_fn)`` with ``pos`` unique per blog.
     """
     numbered = rank_within(
-        images.select("blog", "pos", "hash", "resized_fn"),
+        staged(images.select("blog", "pos", "hash", "resized_fn"), "book-images"),
         ["blog"],
         [F.col("pos")],
         [chunk_of(F.col("pos"))],

@@ -125,27 +125,27 @@ def stored_keys(store: DataFrame) -> DataFrame:
 
 
 def fetch_bodies(keyed: DataFrame, store: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with a ``page_id`` and their stored body.
+    """Rows with ``url_md5`` and ``page_id`` and their stored body.
 
-    The one wide step of a run: each body is shuffled at most once, by its
-    unique id. A page asked for very often makes one hot key on the narrow
-    side, which adaptive execution splits; few rows are broadcast instead.
+    The one wide step of a run: each body is shuffled at most once, by the hash
+    of its URL and its id, which need not be unique in the store. A page asked
+    for very often makes one hot key on the narrow side, which adaptive execution
+    splits; few rows are broadcast instead.
     """
-    return keyed.join(store.select("page_id", "html"), "page_id", how)
+    key = ["url_md5", "page_id"]
+    return keyed.join(store.select(*key, "html").dropDuplicates(key), key, how)
 
 
 def lookup_pages(inventory: DataFrame, store: DataFrame) -> DataFrame:
     """Inventory with stored bodies, null where a page is missing.
 
-    Keys are matched on narrow columns before any body is touched. Missing
-    pages get distinct negative ids, so that they do not meet in one partition.
+    Keys are matched on narrow columns before any body is touched. A store
+    without ``page_id``, as a page cache is, is told apart by its bodies' hashes.
     """
-    missing = -1 - F.pmod(F.xxhash64("url_md5"), F.lit(1 << 40))
-    keyed = inventory.join(stored_keys(store), "url_md5", "left").withColumn(
-        "page_id", F.coalesce("page_id", missing)
-    )
-    found = fetch_bodies(keyed, store, "left")
-    return found.withColumn("page_id", F.when(F.col("page_id") >= 0, F.col("page_id")))
+    if "page_id" not in store.columns:
+        found = lookup_pages(inventory, store.withColumn("page_id", F.xxhash64("html")))
+        return found.drop("page_id")
+    return fetch_bodies(inventory.join(stored_keys(store), "url_md5", "left"), store, "left")
 
 
 def frontier(inventory: DataFrame, store: DataFrame) -> DataFrame:

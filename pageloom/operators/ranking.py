@@ -55,13 +55,15 @@ def rank_within(
     """Add ``out`` = 1..n per ``keys`` in ``order``, and n itself as ``total``.
 
     ``levels`` are columns, coarse to fine, whose ascending order agrees with
-    ``order``; rows of a large key equal in all levels form one chunk. Keys and
-    levels are never null. ``df`` is read three times (large keys, chunk sizes,
+    ``order``; rows of a large key equal in all levels form one chunk. Rows with
+    a null key are a group like any other; levels are never null. ``df`` is read three times (large keys, chunk sizes,
     numbering), the first two combined before their shuffle: stage it first
     when it is costly to compute.
     """
     names = [f"__level_{i}" for i in range(len(levels))]
-    keys = list(keys)
+    # As one struct the keys compare null to null, in windows and joins alike.
+    df = df.withColumn("__key", F.struct(*keys))
+    keys = ["__key"]
     large = large_keys(df.select(*keys), keys)
     leveled = df.withColumns(dict(zip(names, levels)))
     chunked = leveled.join(F.broadcast(large), keys, "left").withColumns(
@@ -104,7 +106,7 @@ def rank_within(
     return (
         ranked.join(offsets, [*keys, *names])
         .withColumn(out, number.cast("bigint"))
-        .drop("__local", *names, *parts)
+        .drop("__key", "__local", *names, *parts)
     )
 
 

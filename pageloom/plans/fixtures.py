@@ -11,21 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions import text, urls
-from pageloom.sources.pages import read_pages, spread_scan
+from pageloom.functions import dates, text, urls
+from pageloom.sources.pages import read_pages
 
 # List lengths of paged documents.
 SITEMAP_ENTRIES = 50_000
 FEED_IDS = 500
 COMMENTS_PER_PAGE = 200
 
-POLISH_MONTHS = (
-    "stycznia,lutego,marca,kwietnia,maja,czerwca,lipca,sierpnia,września,października,"
-    "listopada,grudnia"
-)
-GERMAN_MONTHS = (
-    "Januar,Februar,März,April,Mai,Juni,Juli,August,September,Oktober,November,Dezember"
-)
+_GERMAN = {english: german for german, english in dates.GERMAN_MONTHS.items()}
+POLISH_MONTHS = ",".join(dates.POLISH_MONTHS)
+GERMAN_MONTHS = ",".join(_GERMAN.get(m.lower(), m).capitalize() for m in dates.ENGLISH_MONTHS)
 IMAGE_SUFFIXES = ".jpg,.JPEG,.png,.svg,.gif,.webp,.tiff,.bmp,.heic"
 
 
@@ -80,7 +76,7 @@ def post_keys(docs: DataFrame) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blog posts made of documents: ``blog, seq, url, html`` and the parts."""
-    keyed = post_keys(spread_scan(documents(spark, sf_dir)))
+    keyed = post_keys(documents(spark, sf_dir))
     title = F.when(
         F.col("doc_id") % 25 != 7,
         F.concat(

@@ -80,7 +80,7 @@ def joined(c: Column | str) -> Column:
 
 
 def blog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.blog_pages(page_source.spread_scan(fx.pages(spark, sf_dir)))
+    return page_source.blog_pages(fx.pages(spark, sf_dir))
 
 
 def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +151,10 @@ def s1(spark, sf_dir):
 @query("s2_scan_html_cache", "SELECT md5(url) AS url_md5, md5(html) AS html_md5 FROM pages")
 def s2(spark, sf_dir):
     folder = scratch_path(spark, "html-cache")
-    page_source.write_html_cache(
+    page_source.write_html_shards(
         page_source.scan_pages(spark, f"{sf_dir}/pages.parquet"), folder
     )
-    cached = page_source.scan_html_cache(spark, folder)
+    cached = page_source.scan_html_shards(spark, folder)
     # The text writer ends every file with one line break of its own.
     return cached.select("url_md5", F.md5(F.regexp_replace("html", r"\n\z", "")).alias("html_md5"))
 
@@ -548,14 +548,18 @@ def e10_posts(spark, sf_dir):
 
 @query(
     "e11_blog_metadata",
-    f"""WITH {q.PAGES} SELECT blog, arg_min(title, page_id) AS title,
-      arg_min(coalesce(nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), ''), 'en'), page_id)
-        AS language, '' AS description, '' AS header_images,
+    f"""WITH {q.PAGES}, lt AS (
+      SELECT blog, page_id, CASE WHEN length(blog) % 3 = 0 THEN '' ELSE title END AS title,
+        coalesce(nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), ''), 'en') AS lang FROM pt
+    ) SELECT blog, coalesce(arg_min(title, page_id) FILTER (title <> ''), '') AS title,
+      coalesce(arg_min(lang, page_id) FILTER (title <> ''), arg_max(lang, page_id)) AS language,
+      '' AS description, '' AS header_images,
       regexp_replace(regexp_replace(blog, 'https?://', ''), '[/,.]', '_', 'g') AS file_prefix
-    FROM pt WHERE raw_title <> '' GROUP BY blog""",
+    FROM lt GROUP BY blog""",
 )
 def e11(spark, sf_dir):
-    meta = extract.blog_metadata(blog_pages(spark, sf_dir))
+    """Every blog; those of some hosts have no title on any page."""
+    meta = extract.blog_metadata(_partly_titled(spark, sf_dir))
     return meta.select(
         "blog",
         "title",
@@ -699,6 +703,14 @@ def f11(spark, sf_dir):
 # --- joins --------------------------------------------------------------------
 
 
+def _partly_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blog pages, of which all pages of some blogs have lost their title."""
+    bare = F.regexp_replace("html", "<title>[^<]*</title>", "<title></title>")
+    return blog_pages(spark, sf_dir).withColumn(
+        "html", F.when(F.length("blog") % 3 == 0, bare).otherwise(F.col("html"))
+    )
+
+
 def _page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = sitemaps.scan_sitemap_index(fx.sitemap_indexes(spark, sf_dir)).withColumn(
         "lastmod", F.lit(None).cast("string")
@@ -729,6 +741,21 @@ def j1(spark, sf_dir):
     return found.select("blog", "seq", "url", blank(F.md5("html")).alias("html_md5"))
 
 
+@query(
+    "j1_lookup_from_cache",
+    f"""SELECT {q.BLOG} AS blog, page_id AS seq, url,
+      CASE WHEN page_id % 5 = 0 THEN '' ELSE md5(html) END AS html_md5 FROM pages""",
+)
+def j1_from_cache(spark, sf_dir):
+    """The same from a page cache, which knows pages by their URL's hash only."""
+    folder = scratch_path(spark, "page-cache")
+    stored = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet").filter(F.col("page_id") % 5 != 0)
+    page_source.write_html_shards(stored, folder)
+    cache = page_source.scan_html_shards(spark, folder)
+    found = inventory.lookup_pages(_known_inventory(spark, sf_dir), cache)
+    return found.select("blog", "seq", "url", blank(F.md5("html")).alias("html_md5"))
+
+
 @query("j2_frontier", f"SELECT {q.BLOG} AS blog, url FROM pages WHERE page_id % 5 = 0")
 def j2(spark, sf_dir):
     store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet").filter(
@@ -814,12 +841,21 @@ def j7(spark, sf_dir):
     )
 
 
+# Patterns of each profile, counted by hand. Image patterns that are
+# regexes are ignored and not counted.
+_PATTERN_FIELDS = ("content", "content_cleanup", "title", "date", "images", "ignored_urls")
 _PATTERN_COUNTS = {
-    (p.name, field): len(getattr(p, field))
-    for p in PROFILES
-    for field in ("content", "content_cleanup", "title", "date", "images", "ignored_urls")
+    "default": (7, 5, 7, 6, 10, 1),
+    "blogspot": (9, 5, 7, 6, 11, 7),
+    "wordpress": (9, 5, 8, 6, 15, 1),
+    "nrdblog": (7, 6, 1, 6, 10, 1),
+    "zeissikonveb": (1, 7, 7, 3, 1, 1),
 }
-_PATTERN_VALUES = ", ".join(f"('{p}', '{f}', {n})" for (p, f), n in _PATTERN_COUNTS.items())
+_PATTERN_VALUES = ", ".join(
+    f"('{profile}', '{field}', {n})"
+    for profile, counts in _PATTERN_COUNTS.items()
+    for field, n in zip(_PATTERN_FIELDS, counts)
+)
 
 
 @query(
@@ -924,6 +960,25 @@ def a7(spark, sf_dir):
     return made.withColumn("start", stamp("start")).withColumn("end", stamp("end"))
 
 
+@query(
+    "a7_untitled_books",
+    f"""WITH {q.PAGES}, lt AS (
+      SELECT *, CASE WHEN length(blog) % 3 = 0 THEN '' ELSE title END AS shown,
+        regexp_replace(regexp_replace(blog, 'https?://', ''), '[/,.]', '_', 'g') AS prefix FROM pt
+    ), b AS (
+      SELECT blog, prefix, count(*) AS n_articles,
+        coalesce(arg_min(shown, page_id) FILTER (shown <> ''), '') AS title
+      FROM lt GROUP BY blog, prefix
+    ) SELECT blog, title, n_articles, prefix || '.epub' AS file_name,
+      CASE WHEN title = '' THEN '' ELSE title || ', ' END || prefix AS author FROM b""",
+)
+def a7_untitled(spark, sf_dir):
+    """Books of extracted articles; blogs without a title have their book too."""
+    pages = _partly_titled(spark, sf_dir)
+    made = books.assemble_books(extract.extract_articles(pages, CFG), extract.blog_metadata(pages))
+    return made.select("blog", blank("title").alias("title"), "n_articles", "file_name", "author")
+
+
 @query(
     "a8_history_rollup",
     """SELECT 'https://user' || user_id || '.example.com' AS url, count(*) AS used,
@@ -1183,36 +1238,35 @@ def u4(spark, sf_dir):
 # --- scalar functions -------------------------------------------------------------
 
 
-_SEED_FORMS = """CASE doc_id % 5
-      WHEN 0 THEN '  ' || source || '.Example.com/some/path ' WHEN 1 THEN 'http://' || source || '.com'
-      WHEN 2 THEN 'https://' || source || '.com:8443/x?y=1' WHEN 3 THEN 'https://u:p@' || source || '.com'
-      ELSE 'http://WWW.' || source || '.org:81' END"""
-
-
 @query(
     "x1_normalize_blog_url",
-    """SELECT doc_id, CAST([443, 80, 8443, 443, 81][doc_id % 5 + 1] AS BIGINT) AS port,
-      CASE doc_id % 5 WHEN 0 THEN 'https://' || source || '.example.com'
-        WHEN 1 THEN 'http://' || source || '.com' WHEN 2 THEN 'https://' || source || '.com'
-        WHEN 3 THEN 'https://' || source || '.com' ELSE 'http://www.' || source || '.org' END AS url
-    FROM documents""",
+    f"""SELECT page_id, CAST(CASE page_id % 4 WHEN 1 THEN 8443 WHEN 2 THEN 80 ELSE 443 END AS BIGINT)
+        AS port,
+      CASE page_id % 4 WHEN 2 THEN 'http' ELSE 'https' END || '://' || {q.HOST} AS url FROM pages""",
 )
 def x1(spark, sf_dir):
-    rows = fx.documents(spark, sf_dir).select("doc_id", F.expr(_SEED_FORMS).alias("seed"))
+    """Page URLs as users type them: bare, with port, user, blanks, upper case."""
+    typed = F.expr(
+        """CASE page_id % 4
+          WHEN 0 THEN concat('  ', upper(regexp_replace(url, '^https?://', '')), ' ')
+          WHEN 1 THEN concat('https://u:p@', regexp_replace(url, '^https?://([^/]*)', '$1:8443'))
+          WHEN 2 THEN regexp_replace(url, '^https?:', 'http:')
+          ELSE regexp_replace(url, '^https?:', 'https:') END"""
+    )
+    rows = fx.pages(spark, sf_dir).select("page_id", typed.alias("seed"))
     norm = urls.normalize_blog_url(F.col("seed"))
-    return rows.select("doc_id", big(norm["port"]).alias("port"), norm["url"].alias("url"))
+    return rows.select("page_id", big(norm["port"]).alias("port"), norm["url"].alias("url"))
 
 
 @query(
     "x2_file_prefix",
-    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'named' || doc_id
-      ELSE source || '_example_com_a_b' END AS prefix FROM documents""",
+    """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'named' || page_id
+      ELSE regexp_replace(regexp_replace(lower(url), 'https?://', '', 'g'), '[/,.]', '_', 'g')
+      END AS prefix FROM pages""",
 )
 def x2(spark, sf_dir):
-    rows = fx.documents(spark, sf_dir)
-    url = F.concat(F.lit("https://"), "source", F.lit(".Example.com/a,b"))
-    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("named"), F.col("doc_id").cast("string")))
-    return rows.select("doc_id", urls.file_prefix(url, name).alias("prefix"))
+    name = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("named"), F.col("page_id").cast("string")))
+    return fx.pages(spark, sf_dir).select("page_id", urls.file_prefix(F.col("url"), name).alias("prefix"))
 
 
 @query("x3_url_md5", "SELECT page_id, md5(url) AS url_md5 FROM pages")
@@ -1426,16 +1480,18 @@ def x17(spark, sf_dir):
 
 @query(
     "x18_parse_limit_skip",
-    """SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN doc_id WHEN 3 THEN 0 ELSE -1 END AS BIGINT)
-        AS limit_n,
-      CAST(CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id = 0 THEN -1 ELSE doc_id END ELSE -1 END
+    """SELECT doc_id, CAST(CASE doc_id % 7 WHEN 0 THEN doc_id WHEN 3 THEN 0 WHEN 5 THEN 3000000000
+        + doc_id WHEN 6 THEN 4611686018427387904 ELSE -1 END AS BIGINT) AS limit_n,
+      CAST(CASE doc_id % 7 WHEN 0 THEN CASE WHEN doc_id = 0 THEN -1 ELSE doc_id END
+        WHEN 5 THEN 3000000000 + doc_id WHEN 6 THEN 4611686018427387904 ELSE -1 END
         AS BIGINT) AS skip_n FROM documents""",
 )
 def x18(spark, sf_dir):
     """Strings as users give them; -1 shows "no limit" and "no skip"."""
     given = F.expr(
-        """CASE doc_id % 5 WHEN 0 THEN cast(doc_id AS string) WHEN 1 THEN 'None' WHEN 2 THEN ''
-             WHEN 3 THEN '0' ELSE '-7' END"""
+        """CASE doc_id % 7 WHEN 0 THEN cast(doc_id AS string) WHEN 1 THEN 'None' WHEN 2 THEN ''
+             WHEN 3 THEN '0' WHEN 4 THEN '-7' WHEN 5 THEN cast(3000000000 + doc_id AS string)
+             ELSE concat('99999999999999999999', doc_id) END"""
     )
     return fx.documents(spark, sf_dir).select(
         "doc_id",

@@ -34,7 +34,7 @@ def readable_keys(store: DataFrame) -> DataFrame:
 def chapter_plan(
     pages: DataFrame, store: DataFrame, cfg: JobConfig, blogs: DataFrame | None = None
 ) -> DataFrame:
-    """``blog, seq, url, page_id`` of every chapter with its number and places.
+    """``blog, seq, url, url_md5, page_id`` of every chapter with its number and places.
 
     ``pages(blog, seq, url, url_md5)`` is the numbered inventory. Pages that are
     missing or unreadable never count towards the limit (W1, F5, W2, W3, W4).
@@ -44,7 +44,7 @@ def chapter_plan(
         F.col("seq") > F.coalesce(urls.parse_skip(F.lit(cfg.skip)), F.lit(0))
     )
     # Written once: ranking reads these rows twice, the store's bodies once.
-    found = staged(wanted.join(readable_keys(store), "url_md5").drop("url_md5"), "readable")
+    found = staged(wanted.join(readable_keys(store), "url_md5"), "readable")
     numbered = books.number_chapters(found)
     if cfg.limit.isdigit():
         most = F.lit(max(int(cfg.limit), 1)).cast("bigint")

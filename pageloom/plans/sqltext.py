@@ -11,6 +11,7 @@ from pageloom.plans.fixtures import (
     SITEMAP_ENTRIES,
 )
 
+HOST = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
 BLOG = "lower(regexp_extract(url, '^(https?://[^/?#]+)', 1))"
 
 # The tags a content slice of `pages` can hold besides the kept ones.

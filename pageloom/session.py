@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Masters that run everything in one process of this machine.
+LOCAL_MASTER = re.compile(r"local(\[.*\])?$")
+
 _shipped: set[str] = set()
 
 
@@ -42,13 +46,16 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (unit tests on one machine) a fresh temporary
-    folder is used and remembered on the session.
+    Where the setting is missing and all work is done on this machine (a local
+    master), a fresh temporary folder is used and remembered on the session. On
+    a cluster that would lose rows without an error, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not LOCAL_MASTER.match(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pageloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

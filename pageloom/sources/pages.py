@@ -19,17 +19,6 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_pages(spark, path).withColumn("url_md5", urls.url_md5(F.col("url")))
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Use every core on a table scan with fewer splits than cores.
-
-    For plain scans only: their split count is known without running anything.
-    A table worth a cluster has more splits than that and is left as it is, so
-    no page body is shuffled there.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def blog_pages(pages: DataFrame) -> DataFrame:
     """``blog, seq, url, html``: pages in stored order, per blog."""
     return pages.select(
@@ -69,11 +58,31 @@ def scan_html_cache_bytes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def write_html_cache(pages: DataFrame, folder: str) -> None:
-    """One gzip file per page in a folder named by the page's hash."""
-    pages.select("url_md5", "html").write.mode("overwrite").partitionBy("url_md5").option(
-        "compression", "gzip"
-    ).option("lineSep", "\n").text(folder)
+#: Leading hash digits that name a shard of a page cache: 256 shards of many pages each.
+SHARD_DIGITS = 2
+
+
+def write_html_shards(pages: DataFrame, folder: str) -> None:
+    """Pages cached by the hash of their URL, many to a file.
+
+    One folder per leading hash digits, however many pages there are; inside,
+    rows are sorted by hash, so a reader of one page skips most of its shard.
+    """
+    (
+        pages.select("url_md5", "html")
+        .withColumn("shard", F.substring("url_md5", 1, SHARD_DIGITS))
+        .hint("rebalance", "shard")
+        .sortWithinPartitions("shard", "url_md5")
+        .write.mode("overwrite")
+        .partitionBy("shard")
+        .parquet(folder)
+    )
+
+
+def scan_html_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """``url_md5, html`` of a sharded page cache."""
+    stored = "url_md5 string, html string, shard string"
+    return spark.read.schema(stored).parquet(folder).select("url_md5", "html")
 
 
 def normalize_seeds(seeds: DataFrame) -> DataFrame:

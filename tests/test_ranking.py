@@ -108,3 +108,11 @@ def test_crawl_span(spark):
     )
     got = {r.blog: (r.start, r.end) for r in books.crawl_span(df).collect()}
     assert got == {"a": (day, None), "b": (day, None), "c": (None, None), "d": (day, day - timedelta(1))}
+
+
+@pytest.mark.parametrize("large", [1 << 20, 1])
+def test_null_keys_are_a_group(spark, monkeypatch, large):
+    monkeypatch.setattr(ranking, "LARGE_KEY", large)
+    df = spark.createDataFrame([(None, 5), (None, 2), ("a", 1), ("a", 9)], "blog string, seq long")
+    got = {(r.blog, r.seq, r.number, r.n) for r in ranking.rank_by_seq(df, total="n").collect()}
+    assert got == {(None, 2, 1, 2), (None, 5, 2, 2), ("a", 1, 1, 2), ("a", 9, 2, 2)}

@@ -82,7 +82,7 @@ def test_profile_of(spark, url, profile):
 
 @pytest.mark.parametrize(
     "text, limit, skip",
-    [("5", 5, 5), ("0", 0, None), ("", None, None), ("None", None, None), ("-3", None, None)],
+    [("5", 5, 5), ("0", 0, None), ("", None, None), ("None", None, None), ("-3", None, None), ("3000000000", 3 * 10**9, 3 * 10**9), ("9" * 30, 1 << 62, 1 << 62)],
 )
 def test_limit_and_skip(spark, text, limit, skip):
     row = spark.range(1).select(
