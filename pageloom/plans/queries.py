@@ -1859,3 +1859,60 @@ def book_run(spark, sf_dir):
     return made.select(
         "blog", "number", "href", "title", "toc_pos", F.md5("content").alias("content_md5")
     )
+
+
+# --- whole runs to book tables, made of extracted rows ---------------------------
+
+
+def _written_run(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """All posts extracted, and one table of the run read back."""
+    folder = scratch_path(spark, "run")
+    pages = post_pages(spark, sf_dir)
+    articles = extract.extract_articles(pages, CFG)
+    run.write_run(articles, extract.blog_metadata(pages), CFG, folder)
+    return spark.read.parquet(f"{folder}/{table}").drop("blog_bucket")
+
+
+@query(
+    "run_books",
+    f"""WITH {q.POSTS} SELECT blog, CASE
+        WHEN year(min(date)) = year(max(date)) THEN strftime(min(date), '%d %B')
+        ELSE strftime(min(date), '%d %B %Y') END || ' - '
+        || strftime(max(date), '%d %B %Y') AS subtitle, 'About ' || source AS description,
+      strftime(min(date), '%Y-%m-%d %H:%M:%S') AS start,
+      strftime(max(date), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n_articles,
+      source || '_blogspot_com_' || strftime(min(date), '%Y.%m.%d') || '-'
+        || strftime(max(date), '%Y.%m.%d') || '.epub' AS file_name
+    FROM posts GROUP BY blog, source""",
+)
+def run_books(spark, sf_dir):
+    """Book rows of a run over all posts."""
+    made = _written_run(spark, sf_dir, "books")
+    return made.select(
+        "blog", "subtitle", "description", stamp("start").alias("start"),
+        stamp("end").alias("end"), "n_articles", "file_name",
+    )
+
+
+@query(
+    "run_images",
+    f"""WITH {q.POSTS}, i AS (
+      SELECT blog, seq, md5(image_url) AS hash,
+        row_number() OVER (PARTITION BY blog ORDER BY seq) AS n
+      FROM posts WHERE doc_id % 3 = 0
+    ) SELECT blog, hash, 'img' || min(n) AS uid, 'images/' || hash || '{q.RESIZED}' AS href
+    FROM i GROUP BY blog, hash""",
+)
+def run_images(spark, sf_dir):
+    """Image manifest of a run over all posts."""
+    return _written_run(spark, sf_dir, "images").select("blog", "hash", "uid", "href")
+
+
+@query(
+    "run_tags",
+    f"""WITH {q.POSTS}, t AS (SELECT blog, unnest([source, lang]) AS tag FROM posts
+      WHERE doc_id % 7 <> 0) SELECT blog, tag, count(*) AS n FROM t GROUP BY blog, tag""",
+)
+def run_tags(spark, sf_dir):
+    """Tag counts of a run over all posts."""
+    return _written_run(spark, sf_dir, "tags").select("blog", "tag", "n")

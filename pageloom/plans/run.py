@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom import sinks
 from pageloom.config import JobConfig
 from pageloom.functions import markup, text, urls
-from pageloom.operators import books, extract, inventory
+from pageloom.operators import books, comments, extract, images, inventory
 from pageloom.session import staged
 
+# Images of one article that keep distinct positions in their blog.
+IMAGE_BITS = 16
+
 
 def readable_keys(store: DataFrame) -> DataFrame:
     """URL hash and page id of stored pages that parse.
@@ -74,3 +78,40 @@ def chapter_rows(plan: DataFrame, store: DataFrame, cfg: JobConfig) -> DataFrame
 def book_rows(chapters: DataFrame, blogs: DataFrame) -> DataFrame:
     """Book table of a written chapter table, with file names made unique."""
     return books.dedupe_names(books.assemble_books(chapters, blogs))
+
+
+def image_rows(articles: DataFrame) -> DataFrame:
+    """Images of extracted articles with a position that is unique in the blog."""
+    place = F.shiftleft(F.col("seq"), IMAGE_BITS) + F.col("pos")
+    return images.article_images(articles).withColumn("pos", place)
+
+
+def header_rows(pages: DataFrame) -> DataFrame:
+    """Header images of each blog's chosen page, as ``blog, url, description``."""
+    return pages.select("blog", F.explode("header_images").alias("url")).select(
+        "blog",
+        urls.absolute_image_url(F.col("url"), F.col("blog")).alias("url"),
+        F.lit("").alias("description"),
+    )
+
+
+def write_run(articles: DataFrame, blogs: DataFrame, cfg: JobConfig, path: str) -> None:
+    """All tables of a run, made of its extracted articles, below ``path``.
+
+    ``books``, ``chapters``, ``images`` (the manifest), ``image_set`` (article and
+    header images, distinct), ``covers`` (cover slots) and ``tags`` (counts).
+    ``blogs`` is the metadata that extraction found. Both are staged once: every
+    table reads the written rows, no page is extracted again.
+    """
+    articles, blogs = staged(articles, "articles"), staged(blogs, "blogs")
+    found = staged(image_rows(articles), "images")
+    shown = found if cfg.include_images else found.filter("false")
+    chapters = books.build_chapters(articles, cfg)
+    manifest = images.manifest_images(shown)
+    sinks.write_book(book_rows(articles, blogs), chapters, manifest, path)
+    book_set = images.book_image_set(
+        shown.select("blog", "url", "description"), header_rows(blogs)
+    )
+    sinks.write_table(book_set, f"{path}/image_set")
+    sinks.write_table(images.cover_slots(shown), f"{path}/covers")
+    sinks.write_table(comments.tag_counts(articles), f"{path}/tags")

@@ -30,6 +30,13 @@ def _write(df: DataFrame, path: str, buckets: int, mode: str) -> None:
     )
 
 
+def write_table(
+    table: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite"
+) -> None:
+    """Any table with a ``blog``."""
+    _write(table, path, buckets, mode)
+
+
 def write_articles(
     articles: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite"
 ) -> None:
