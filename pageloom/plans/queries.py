@@ -1916,3 +1916,27 @@ def run_images(spark, sf_dir):
 def run_tags(spark, sf_dir):
     """Tag counts of a run over all posts."""
     return _written_run(spark, sf_dir, "tags").select("blog", "tag", "n")
+
+
+@query(
+    "run_own_limits",
+    f"""WITH {q.PAGES}, n AS (
+      SELECT *, row_number() OVER (PARTITION BY blog ORDER BY page_id) AS rn,
+        CASE length(blog) % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1000000 END AS most,
+        length(blog) % 2 AS skip FROM pt
+    ), k AS (SELECT *, rn - skip AS number FROM n WHERE rn > skip)
+    SELECT blog, number, title, count(*) OVER (PARTITION BY blog) - number + 1 AS toc_pos
+    FROM k WHERE number <= greatest(most, 1)""",
+)
+def run_own_limits(spark, sf_dir):
+    """A run in which every blog has its own skip and limit, as typed."""
+    pages = staged(inventory.number_inventory(_page_inventory(spark, sf_dir)), "inventory")
+    store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    size = F.length("blog")
+    seeds = pages.select("blog").distinct().select(
+        "blog",
+        F.when(size % 3 == 0, "2").when(size % 3 == 1, "0").otherwise("None").alias("limit"),
+        F.when(size % 2 == 1, " 1 ").otherwise("").alias("skip"),
+    )
+    plan = staged(run.chapter_plan(pages, store, CFG, seeds=seeds), "chapter-plan")
+    return run.chapter_rows(plan, store, CFG).select("blog", "number", "title", "toc_pos")

@@ -35,27 +35,54 @@ def readable_keys(store: DataFrame) -> DataFrame:
     )
 
 
+def blog_settings(seeds: DataFrame) -> DataFrame:
+    """``(blog, first, most)`` of each blog's typed skip and limit.
+
+    ``seeds(blog, limit, skip)`` are strings; of several settings of a blog the
+    smallest pair counts.
+    """
+    one = seeds.groupBy("blog").agg(F.min(F.struct("limit", "skip")).alias("s"))
+    return one.select(
+        "blog",
+        urls.parse_skip(F.col("s.skip")).alias("first"),
+        urls.parse_limit(F.col("s.limit")).alias("most"),
+    )
+
+
 def chapter_plan(
-    pages: DataFrame, store: DataFrame, cfg: JobConfig, blogs: DataFrame | None = None
+    pages: DataFrame,
+    store: DataFrame,
+    cfg: JobConfig,
+    blogs: DataFrame | None = None,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """``blog, seq, url, url_md5, page_id`` of every chapter with its number and places.
 
     ``pages(blog, seq, url, url_md5)`` is the numbered inventory. Pages that are
     missing or unreadable never count towards the limit (W1, F5, W2, W3, W4).
-    ``blogs`` adds each blog's title and language while rows are still narrow.
+    ``seeds`` gives blogs a skip and a limit of their own, in place of those of
+    the job. ``blogs`` adds each blog's title and language while rows are still
+    narrow.
     """
-    wanted = pages.select("blog", "seq", "url", "url_md5").filter(
-        F.col("seq") > F.coalesce(urls.parse_skip(F.lit(cfg.skip)), F.lit(0))
-    )
+    wanted = pages.select("blog", "seq", "url", "url_md5")
+    first = urls.parse_skip(F.lit(cfg.skip))
+    most = urls.parse_limit(F.lit(cfg.limit))
+    if seeds is None:
+        wanted = wanted.withColumns({"first": first, "most": most})
+    else:
+        own = blog_settings(seeds).withColumn("seeded", F.lit(True))
+        pick = F.when(F.col("seeded"), F.col("first")).otherwise(first)
+        limit = F.when(F.col("seeded"), F.col("most")).otherwise(most)
+        wanted = wanted.join(own, "blog", "left").withColumns({"first": pick, "most": limit}).drop("seeded")
+    wanted = wanted.filter(F.col("seq") > F.coalesce("first", F.lit(0))).drop("first")
     # Written once: ranking reads these rows twice, the store's bodies once.
     found = staged(wanted.join(readable_keys(store), "url_md5"), "readable")
+    limit = F.greatest("most", F.lit(1))  # checked after a page has been read
     numbered = books.number_chapters(found)
-    if cfg.limit.isdigit():
-        most = F.lit(max(int(cfg.limit), 1)).cast("bigint")
-        numbered = numbered.filter(F.col("number") <= most).withColumn(
-            "n_chapters", F.least("n_chapters", most)
-        )
-    plan = books.toc_spine(numbered)
+    kept = numbered.filter(F.col("most").isNull() | (F.col("number") <= limit)).withColumn(
+        "n_chapters", F.when(F.col("most").isNull(), F.col("n_chapters")).otherwise(F.least("n_chapters", limit))
+    )
+    plan = books.toc_spine(kept.drop("most"))
     return plan if blogs is None else extract.with_blog_meta(plan, blogs)
 
 
