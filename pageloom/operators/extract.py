@@ -240,6 +240,19 @@ def comment_texts_column() -> Column:
     )
 
 
+def comment_texts(
+    pages: DataFrame, page: str, profiles: Sequence[SiteProfile] = PROFILES
+) -> DataFrame:
+    """``(page, pos, text)`` of the comment blocks of ``pages``, for W5.
+
+    ``page`` names the column that tells pages apart.
+    """
+    found = with_matches(pages, profiles).withColumn("comment_texts", comment_texts_column())
+    return found.select(
+        F.col(page).alias("page"), F.posexplode("comment_texts").alias("pos", "text")
+    ).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def comments_column(cfg: JobConfig) -> Column:
     """Comment markup of a page, with its heading only when there are comments."""
     heading = f"""transform(array({select.texts_of("comment_heading")}), h -> CASE

@@ -1077,6 +1077,18 @@ def w5_rows(spark, sf_dir):
     return rows.select("page", "author", "content")
 
 
+@query(
+    "w5_rows_of_pages",
+    f"""WITH {q.TURNS} SELECT page, min(body) FILTER (WHERE role_of = 'author') AS author,
+      coalesce(string_agg(body, chr(10) ORDER BY turn) FILTER (WHERE role_of = 'body'), '') AS content
+    FROM roles GROUP BY page, g""",
+)
+def w5_of_pages(spark, sf_dir):
+    """Comment rows of the texts that extraction finds on comment pages."""
+    texts = extract.comment_texts(fx.comment_pages(spark, sf_dir, "block"), "page")
+    return comments.comment_rows(texts, CFG).select("page", "author", "content")
+
+
 @query(
     "w6_dedupe_names",
     f"""WITH b AS (SELECT DISTINCT {q.BLOG} AS blog FROM pages), n AS (
