@@ -70,9 +70,14 @@ def article_images(articles: DataFrame) -> DataFrame:
     ).select("blog", "seq", "article_url", F.col("pos").cast("bigint").alias("pos"), "image.*")
 
 
+def with_header_images(images: DataFrame, header_images: DataFrame) -> DataFrame:
+    """Images of articles followed by those of the blogs' headers; repeats stay."""
+    return images.unionByName(header_images)
+
+
 def book_image_set(images: DataFrame, header_images: DataFrame) -> DataFrame:
-    """Article and header images of each book, distinct on all fields."""
-    return images.unionByName(header_images).distinct()
+    """Article and header images of each book, distinct on all fields (A5)."""
+    return with_header_images(images, header_images).distinct()
 
 
 def first_seen(images: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+_XHTML_SQL = """'<div><h2>' || first_line || '</h2>' ||
+      CASE WHEN doc_id % 7 = 0 THEN '' ELSE '<h5><span epub:type="keyword">' || source
+        || '</span>, <span epub:type="keyword">' || lang || '</span></h5>' END
+      || '<p><i>Created: ' || strftime(date, '%d %B %Y, %H:%M')
+      || '</i><br/><i>Accessed: 31 January 2024, 00:00</i></p><p><i><a href="' || url || '">' || url
+      || '</a></i></p><p>' || {} || '</div>'""".format(q.ESCAPED.format("text"))
+
 CFG = JobConfig()
 
 
@@ -116,7 +123,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One pass over the pages and one combinable aggregate; no Python.
     """
-    article = F.regexp_extract("html", r"(?s)(<article>.*</article>)", 1)
+    article = F.regexp_extract("html", r"(?s)(<article(?:\s[^>]*)?>.*</article>)", 1)
     return (
         blog_pages(spark, sf_dir)
         .filter(F.col("html").isNotNull())
@@ -351,13 +358,16 @@ def k2(spark, sf_dir):
 @query(
     "k3_chapter_text_sink",
     f"""WITH {q.POSTS} SELECT blog, 'chapter_' || row_number() OVER (PARTITION BY blog ORDER BY seq)
-      || '.xhtml' AS href FROM posts""",
+      || '.xhtml' AS href,
+      md5(regexp_replace({_XHTML_SQL}, '\\s*[\\r\\n\\t]\\s*', ' ', 'g')) AS text_md5 FROM posts""",
 )
 def k3(spark, sf_dir):
     folder = scratch_path(spark, "chapters-text")
     sinks.write_chapters_text(books.build_chapters(_post_articles(spark, sf_dir), CFG), folder)
     parts = F.split("value", "\t")
-    return spark.read.text(folder).select(parts[0].alias("blog"), parts[1].alias("href"))
+    return spark.read.text(folder).select(
+        parts[0].alias("blog"), parts[1].alias("href"), F.md5(parts[2]).alias("text_md5")
+    )
 
 
 @query(
@@ -1219,7 +1229,7 @@ def u2(spark, sf_dir):
     header = fx.post_keys(fx.documents(spark, sf_dir)).select(
         "blog", F.concat("blog", F.lit("/head-"), "source", F.lit(".png")).alias("url")
     )
-    return refs.unionByName(header)
+    return images.with_header_images(refs, header)
 
 
 @query(
@@ -1553,13 +1563,6 @@ def x20(spark, sf_dir):
     return pairs.select("event_id", dates.book_subtitle(F.col("a"), F.col("b")).alias("subtitle"))
 
 
-_XHTML_SQL = """'<div><h2>' || first_line || '</h2>' ||
-      CASE WHEN doc_id % 7 = 0 THEN '' ELSE '<h5><span epub:type="keyword">' || source
-        || '</span>, <span epub:type="keyword">' || lang || '</span></h5>' END
-      || '<p><i>Created: ' || strftime(date, '%d %B %Y, %H:%M')
-      || '</i><br/><i>Accessed: 31 January 2024, 00:00</i></p><p><i><a href="' || url || '">' || url
-      || '</a></i></p><p>' || {} || '</div>'""".format(q.ESCAPED.format("text"))
-
 
 @query(
     "x21_chapter_xhtml",
