@@ -63,16 +63,17 @@ ASIDE_ROLES = frozenset(
 )
 #: Words of class and id that name something beside the article: whole, or as a beginning.
 ASIDE_WORDS = frozenset(
-    "ad ads adv nav menu aside hidden tags tag social share sharing login search form byline poll "
-    "skip legal rss faq top bottom".split()
-) - frozenset(("tag", "top", "bottom", "faq", "byline"))
+    "ad ads adv nav menu aside tags social share sharing login search form poll skip legal rss".split()
+)
 ASIDE_STEMS = (
     "adbox adslot advert alert banner breadcrumb comment consent cookie copyright disclaimer discuss disqus "
     "feedback footer gdpr masthead modal navbar navigation newsletter notice notification outbrain overlay "
     "pager pagination pagenav popup promo reaction recommend related replies reply respond responses "
-    "sidebar signin signup sitenav sponsor submenu subscri taboola teaser toolbar topbar widget"
+    "sidebar signin signup sitenav sponsor submenu subscri taboola teaser toolbar topbar"
 ).split()
 HEADER_STEMS = ("header",)
+#: Names of a header that belongs to the article.
+ARTICLE_NAME = re.compile(r"\b(?:post|entry|article|story|content|title|headline)\b", re.I)
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -131,7 +132,7 @@ def _names_aside(attrs: str, in_main: bool) -> bool:
         for word in WORDS.findall(LAYOUT.sub(" ", HUMP.sub(" ", value).lower())):
             if word in ASIDE_WORDS or word.startswith(tuple(ASIDE_STEMS)):
                 return True
-            if not in_main and word.startswith(HEADER_STEMS):
+            if not in_main and word.startswith(HEADER_STEMS) and not ARTICLE_NAME.search(value):
                 return True
     return False
 
@@ -221,7 +222,8 @@ def read_blocks(page: str) -> list[Block]:
                 links = 0
             top = stack[-1] if stack else None
             inside, in_main = bool(top and top.aside), bool(top and top.main)
-        aside = inside or named or tag in ASIDE_TAGS or (tag in HEADER_TAGS and not in_main)
+        header = tag in HEADER_TAGS and not in_main and not ARTICLE_NAME.search(attrs)
+        aside = inside or named or tag in ASIDE_TAGS or header
         number += 1
         path = f"{top.path if top else ''}/{tag}"
         stack.append(Element(tag, number, aside, in_main or (tag in MAIN and not aside), path))

@@ -186,6 +186,11 @@ def test_page_text_leaves_the_rest_out():
         ("<script>never closed <p>x</p>", ""),
         ('<p title="a>b">One.</p><p title="open>Two.</p>', "One. Two."),
         ("<div><p>One, two.</p><p>Three, four.</p></div>", "One, two. Three, four."),
+        (
+            '<div class="widget overflow-hidden"><div class="post-header"><h2>Head, here</h2></div>'
+            "<p>One, two, and so on.</p></div><div class='site-header'>No, not this.</div>",
+            "Head, here One, two, and so on.",
+        ),
     ],
 )
 def test_odd_pages(page, want):
