@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Masters that run everything in one process of this machine.
 LOCAL_MASTER = re.compile(r"local(\[.*\])?$")
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _shipped: set[str] = set()
 
 
@@ -40,6 +42,8 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # Streams keep what they have seen on disk, not in the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 

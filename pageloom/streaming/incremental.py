@@ -8,7 +8,7 @@ own output, so results do not depend on retries.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,25 +97,41 @@ def _run_batches(
 
 
 def run_latest(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Run a running aggregate; each batch writes the whole current result
-    below ``out/batch=<id>`` and readers take the newest (``read_latest``)."""
+    """Run a running aggregate; each batch writes the rows it changed.
+
+    Rows lie below ``out/rows/batch=<id>``; when they are complete, a one-row
+    table below ``out/done`` publishes the batch. What is stored grows with the
+    changes, not with the result times the batches. ``read_latest`` merges.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        mark = batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("id"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+
+    _run_batches(df, handle, checkpoint, "update")
 
-    _run_batches(df, handle, checkpoint, "complete")
 
+def read_latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Newest row of each key among published batches.
 
-def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    table = spark.read.parquet(out)
-    newest = table.agg(F.max("batch").alias("batch"))
-    return table.join(F.broadcast(newest), "batch").drop("batch")
+    Batch numbers, one row each, are broadcast.
+    """
+    done = spark.read.parquet(f"{out}/done").select(F.col("id").alias("batch"))
+    rows = spark.read.parquet(f"{out}/rows").join(F.broadcast(done), "batch", "left_semi")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*rest), "batch").alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
-def run_limit(pages: DataFrame, limit: str, out: str, checkpoint: str) -> None:
+def run_limit(
+    pages: DataFrame, limit: str, out: str, checkpoint: str, cfg: JobConfig | None = None
+) -> None:
     """First ``limit`` parseable pages of every blog over all batches.
 
-    The state is a small table of pages kept per blog and batch. Inside a batch
+    With ``cfg`` their articles are extracted too, from the same batch, and
+    written below ``out/articles``; other pages never reach Python. The state is
+    a small table of pages kept per blog and batch. Inside a batch
     rows are numbered by chunks, so a blog with most of the pages is not one
     task's work; earlier batches only shift its numbers. A repeated batch
     ignores its own earlier output and writes the same rows again.
@@ -143,6 +159,12 @@ def run_limit(pages: DataFrame, limit: str, out: str, checkpoint: str) -> None:
             numbered = numbered.filter(F.col("number") <= n)
         target = f"{rows_path}/batch={batch_id}"
         numbered.write.mode("overwrite").parquet(target)
+        if cfg is not None:
+            kept = spark.read.parquet(target).select("blog", "seq", "url_md5")
+            wanted = batch.join(kept, ["blog", "seq", "url_md5"], "left_semi")
+            extract_articles(wanted.drop("url_md5"), cfg).write.mode("overwrite").parquet(
+                f"{out}/articles/batch={batch_id}"
+            )
         spark.read.parquet(target).groupBy("blog").agg(
             F.count(F.lit(1)).alias("n")
         ).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")

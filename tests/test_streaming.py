@@ -56,8 +56,11 @@ def test_each_page_passes_once(spark, folder, tmp_path):
 def test_limit_holds_over_batches(spark, folder, tmp_path):
     path, df = folder
     out, checkpoint = dirs(tmp_path)
-    incremental.run_limit(incremental.stream_pages(spark, path, max_files=1), "7", out, checkpoint)
+    stream = incremental.stream_pages(spark, path, max_files=1)
+    incremental.run_limit(stream, "7", out, checkpoint, JobConfig())
     kept = spark.read.parquet(f"{out}/rows")
+    articles = spark.read.parquet(f"{out}/articles")
+    assert rows_of(articles, "blog", "seq") == rows_of(kept, "blog", "seq")
     assert kept.select("batch").distinct().count() > 1
     counts = {r.blog: r["count"] for r in kept.groupBy("blog").count().collect()}
     readable = {
@@ -78,10 +81,10 @@ def test_tag_counts_and_spans(spark, folder, tmp_path):
     )
     out, checkpoint = dirs(tmp_path / "tags")
     incremental.run_latest(incremental.stream_tag_counts(stream), out, checkpoint)
-    got = incremental.read_latest(spark, out)
+    got = incremental.read_latest(spark, out, ["blog", "tag"])
     assert rows_of(got, "blog", "tag", "n") == rows_of(comments.tag_counts(batch), "blog", "tag", "n")
     out, checkpoint = dirs(tmp_path / "span")
     incremental.run_latest(incremental.stream_span(stream), out, checkpoint)
     spans = incremental.stream_span(batch)
     names = ("blog", "n_articles", "start", "end")
-    assert rows_of(incremental.read_latest(spark, out), *names) == rows_of(spans, *names)
+    assert rows_of(incremental.read_latest(spark, out, ["blog"]), *names) == rows_of(spans, *names)
