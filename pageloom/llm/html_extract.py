@@ -84,7 +84,7 @@ TOKEN = re.compile(
     |</?[a-zA-Z][^>]*+>""",
     re.DOTALL | re.IGNORECASE | re.VERBOSE,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|/|$|=)|display\s*:\s*none""", re.I)
 HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 WORDS = re.compile(r"[a-z0-9]+")
@@ -127,8 +127,6 @@ def _names_aside(attrs: str, in_main: bool) -> bool:
             if value.lower() in ASIDE_ROLES:
                 return True
             continue
-        if name.lower() not in ("class", "id"):
-            continue
         for word in WORDS.findall(LAYOUT.sub(" ", HUMP.sub(" ", value).lower())):
             if word in ASIDE_WORDS or word.startswith(tuple(ASIDE_STEMS)):
                 return True
@@ -175,11 +173,7 @@ def read_blocks(page: str) -> list[Block]:
         text(page[at : m.start()])
         at = m.end()
         tag = m.group("tag")
-        if tag is None:
-            if m.group("silent") and m.group("silent").lower() not in ("title",):
-                continue
-            if m.group().startswith("<![CDATA["):
-                continue
+        if tag is None:  # comments, declarations and silent elements
             continue
         tag, end, attrs = tag.lower(), m.group("end"), m.group("attrs")
         if tag == "a":
