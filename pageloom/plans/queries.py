@@ -23,7 +23,6 @@ from pageloom.profiles import (
     BLOGSPOT,
     DESCRIPTION,
     HEADER_IMAGES,
-    PROFILES,
     override,
     site_patterns,
     with_profile,
