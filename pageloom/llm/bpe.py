@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pieces between spaces kept encoded from batch to batch by one Python worker.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 200_000
 #: Characters of the pieces that stay when that table is full.
 SHORT_PIECE = 9
 #: Documents taken at once within a batch, by characters.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def byte_letters() -> dict[int, str]:

@@ -42,7 +42,7 @@ GRADES = 3
 DECAY = 1e-3
 STEPS = 400
 #: Pieces between spaces whose terms one Python worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 
 WORD = re.compile(r"\w+")
 
