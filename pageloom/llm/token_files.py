@@ -153,6 +153,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.marks = {
+            mark: struct.pack(f"<{len(i)}I", *i)
+            for mark in ".,;:!?"
+            for i in [self.tokenizer.encode(mark, add_special_tokens=False).ids]
+        }
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -185,14 +190,19 @@ class PieceEncoder:
             fresh.update(dict.fromkeys(missing))
             rows.append((parts[0], ids))
             gaps.append((gap, missing))
+        known = self.known
+        # A mark right behind letters is a word of its own.
+        marked = {p: p[:-1] for p in fresh if p[-1:] in self.marks and p[:-1].isalpha()}
+        fresh.update((word, None) for word in marked.values() if word not in known)
+        alone = [p for p in fresh if p not in marked]
         raw = self.tokenizer.encode_batch_fast(
-            [" " + p for p in fresh] + [head for head, _ in rows], add_special_tokens=False
+            [" " + p for p in alone] + [head for head, _ in rows], add_special_tokens=False
         )
         packed = [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in raw)]
-        known = self.known
-        known.update(zip(fresh, packed))
+        known.update(zip(alone, packed))
+        known.update((p, known[word] + self.marks[p[-1]]) for p, word in marked.items())
         out = []
-        for head, (_, ids), (gap, missing) in zip(packed[len(fresh) :], rows, gaps):
+        for head, (_, ids), (gap, missing) in zip(packed[len(alone) :], rows, gaps):
             ids[0] = head
             for k, piece in zip(gap, missing):
                 ids[k] = known[piece]
