@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 #: Share of the seeds' weight that the content node holds.
 COVER = 0.85
+#: An element that holds more than this share of the page's weight isn't ruled out by its name.
+MOST = 0.5
 #: Weights of a block and its neighbours in smoothing.
 KERNEL = (0.5, 0.25)
 
@@ -61,17 +65,44 @@ ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar "
     "toolbar".split()
 )
-#: Words of class and id that name something beside the article: whole, or as a beginning.
-ASIDE_WORDS = frozenset(
-    "ad ads adv nav menu aside tags social share sharing login search form poll skip legal rss".split()
-)
-ASIDE_STEMS = (
-    "adbox adslot advert alert banner breadcrumb comment consent cookie copyright disclaimer discuss disqus "
-    "feedback footer gdpr masthead modal navbar navigation newsletter notice notification outbrain overlay "
-    "pager pagination pagenav popup promo reaction recommend related replies reply respond responses "
-    "sidebar signin signup sitenav sponsor submenu subscri taboola teaser toolbar topbar"
+#: Elements that a class or id can rule out: containers of blocks, and custom elements.
+NAMEABLE = frozenset("article center details div dl header li main ol section table ul".split())
+#: Words of class and id that name something beside the article.
+ASIDE_WORDS = (
+    "ad ads adv adbox adslot adverts? advertisements? advertising alerts? aside banners? breadcrumbs? consent "
+    "cookies? copyright disclaimers? feedback footers? form gdpr legal login mastheads? menus? modals? nav navbars? "
+    "navigation newsletters? notices? notifications? outbrain overlays? pager pagination pagenav poll popups? "
+    "promos? promotions? reactions? recommend recommended recommendations? related rss search share sharing "
+    "sidebars? signin signup sitenav skip social sponsors? sponsored submenus? subscribe subscriptions? taboola tags "
+    "teasers? toolbars? topbar"
+).split()
+#: Words for talk about the article, which may be longer than the article.
+THREAD_WORDS = "comments? commentlist discuss discussions? disqus replies reply respond responses?".split()
+#: Words that name a place or a form, before those above and behind them.
+BEFORE = (
+    "site page global main primary secondary left right top bottom post article story entry blog wp js mobile "
+    "desktop sticky fixed inline inner outer"
+).split()
+BEHIND = (
+    "wrap wrapper container box area section block list inner outer widgets? items? bar btn buttons? icons? links? "
+    "panel pane group col column columns row rail region zone slot units? left right top bottom primary secondary "
+    "mobile desktop sticky fixed inline horizontal vertical dropdown toggle placeholder holder posts articles stories "
+    "entries threads? respond title"
 ).split()
-HEADER_STEMS = ("header",)
+#: Longer names are not looked at.
+NAME_CHARS = 40
+
+
+def _whole(words: list[str]) -> re.Pattern[str]:
+    """Names made up of ``words`` and of words for places and forms only."""
+    named = "|".join(words)
+    every = "|".join([*ASIDE_WORDS, *THREAD_WORDS, *BEHIND])
+    return re.compile(rf"[^a-z]*(?:(?:{'|'.join(BEFORE)})[^a-z]*)*(?:{named})(?:[^a-z]*(?:{every}))*[^a-z]*")
+
+
+ASIDE_NAME = _whole(ASIDE_WORDS)
+THREAD_NAME = _whole(THREAD_WORDS)
+HEADER_NAME = _whole(["headers?"])
 #: Names of a header that belongs to the article.
 ARTICLE_NAME = re.compile(r"\b(?:post|entry|article|story|content|title|headline)\b", re.I)
 
@@ -86,10 +117,6 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|/|$|=)|display\s*:\s*none""", re.I)
-HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-WORDS = re.compile(r"[a-z0-9]+")
-#: Names that say what a wrapper holds or lacks, not what it is.
-LAYOUT = re.compile(r"\b(?:has|no|with|without)[-_][\w-]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
@@ -101,6 +128,7 @@ class Element:
     number: int
     aside: bool
     main: bool
+    article: bool
     path: str
 
 
@@ -116,29 +144,96 @@ class Block:
     text: str = ""
 
 
-def _names_aside(attrs: str, in_main: bool) -> bool:
-    """Whether class, id or role say that an element isn't article text."""
+def _declared_aside(attrs: str) -> bool:
+    """Whether role or visibility say that an element isn't article text."""
     if "hidden" in attrs or "none" in attrs:
         if HIDDEN.search(attrs) and 'aria-hidden="false"' not in attrs:
             return True
-    for name, *values in NAMED.findall(attrs):
-        value = "".join(values)
-        if name.lower() == "role":
-            if value.lower() in ASIDE_ROLES:
-                return True
+    return "role" in attrs.lower() and any(
+        name.lower() == "role" and "".join(values).lower() in ASIDE_ROLES
+        for name, *values in NAMED.findall(attrs)
+    )
+
+
+@lru_cache(1 << 14)
+def _kind_of_name(token: str, in_main: bool) -> str:
+    """What a whole class or id names: ``aside``, ``thread`` or nothing."""
+    if len(token) > NAME_CHARS:
+        return ""
+    low = token.lower()
+    if THREAD_NAME.fullmatch(low):
+        return "thread"
+    if ASIDE_NAME.fullmatch(low) or (not in_main and HEADER_NAME.fullmatch(low) and not ARTICLE_NAME.search(low)):
+        return "aside"
+    return ""
+
+
+def _named(tag: str, attrs: str, in_main: bool, in_article: bool) -> str:
+    """What class and id of a container name; an article's sections have their headings' slugs as ids."""
+    if tag not in NAMEABLE and "-" not in tag:
+        return ""
+    given = [(name.lower(), "".join(values).split()) for name, *values in NAMED.findall(attrs)]
+    section = tag == "section" or any(n == "class" and "section" in tokens for n, tokens in given)
+    kinds = {
+        _kind_of_name(token, in_main)
+        for name, tokens in given
+        if name == "class" or (name == "id" and not (section and in_article))
+        for token in tokens
+    }
+    return "thread" if "thread" in kinds else "aside" if "aside" in kinds else ""
+
+
+def _rule_out(blocks: list[Block], named: dict[int, str], marked: set[int]) -> None:
+    """Put the blocks of named elements aside, unless a name turns out to be that of a wrapper.
+
+    A named element is a wrapper if no marked article lies beside it and it holds
+    a marked article or most of the page's weight. A thread, which may outweigh
+    its article, has to hold all seeds.
+    """
+    within = [b for b in blocks if not b.aside]
+    around: dict[int, tuple[int, ...]] = {}
+    held: dict[int, float] = {}
+    seeds: Counter[int] = Counter()
+    fused = scores(within)
+    line = THRESHOLD * sum(fused) / max(1, len(fused))
+    all_seeds = sum(score >= line for score in fused)
+    total = sum(score * len(block.text) for block, score in zip(within, fused))
+    for block, score in zip(within, fused):
+        for k, element in enumerate(block.chain):
+            if element in named:
+                held[element] = held.get(element, 0.0) + score * len(block.text)
+                seeds[element] += score >= line
+            if element in named or element in marked:
+                around.setdefault(element, block.chain[:k])
+    ruled = set(held)
+    holders = {e for a in marked if a in around for e in (*around[a], a)}
+
+    def plain_articles() -> set[int]:
+        return {a for a in marked if a in around and a not in ruled and ruled.isdisjoint(around[a])}
+
+    plain = plain_articles()
+    for e in sorted(held, key=lambda e: (-held[e], e)):
+        if not ruled.isdisjoint(around[e]):
+            continue
+        if len(plain) > len(plain.intersection(around[e])):  # an article lies beside it
             continue
-        for word in WORDS.findall(LAYOUT.sub(" ", HUMP.sub(" ", value).lower())):
-            if word in ASIDE_WORDS or word.startswith(tuple(ASIDE_STEMS)):
-                return True
-            if not in_main and word.startswith(HEADER_STEMS) and not ARTICLE_NAME.search(value):
-                return True
-    return False
+        if named[e] == "thread":
+            wrapper = held[e] > 0 and seeds[e] == all_seeds
+        else:
+            wrapper = e in holders or held[e] > MOST * total
+        if wrapper:
+            ruled.discard(e)
+            plain = plain_articles()
+    for block in within:
+        block.aside = not ruled.isdisjoint(block.chain)
 
 
 def read_blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with white space collapsed, none empty."""
     stack: list[Element] = []
     blocks: list[Block] = []
+    named: dict[int, str] = {}
+    marked: set[int] = set()
     current: Block | None = None
     number = links = at = 0
 
@@ -190,15 +285,8 @@ def read_blocks(page: str) -> list[Block]:
                 if not inline:
                     current = None
             continue
-        top = stack[-1] if stack else None
-        inside, in_main = bool(top and top.aside), bool(top and top.main)
-        named = (
-            tag not in FRAME
-            and bool(attrs)
-            and not attrs.isspace()
-            and _names_aside(attrs, in_main or tag in MAIN)
-        )
-        if inline and not named:
+        declared = tag not in FRAME and bool(attrs) and not attrs.isspace() and _declared_aside(attrs)
+        if inline and not declared:
             if tag == "br":
                 text(" ")
             continue
@@ -214,18 +302,26 @@ def read_blocks(page: str) -> list[Block]:
                 implied(CLOSED_BY_BLOCK)
             if tag in FRAME or tag in MAIN or tag in ("nav", "footer", "header", "aside"):
                 links = 0
-            top = stack[-1] if stack else None
-            inside, in_main = bool(top and top.aside), bool(top and top.main)
+        top = stack[-1] if stack else None
+        inside, in_main, in_article = (top.aside, top.main, top.article) if top else (False, False, False)
         header = tag in HEADER_TAGS and not in_main and not ARTICLE_NAME.search(attrs)
-        aside = inside or named or tag in ASIDE_TAGS or header
+        aside = inside or declared or tag in ASIDE_TAGS or header
         number += 1
         path = f"{top.path if top else ''}/{tag}"
-        stack.append(Element(tag, number, aside, in_main or (tag in MAIN and not aside), path))
+        main = tag in MAIN and not aside
+        if main:
+            marked.add(number)
+        if attrs and not aside and (kind := _named(tag, attrs, in_main or main, in_article)):
+            named[number] = kind
+        stack.append(Element(tag, number, aside, in_main or main, in_article or (main and tag == "article"), path))
         current = None
     text(page[at:])
     for block in blocks:
         block.text = " ".join(unescape("".join(block.parts)).split())
-    return [b for b in blocks if b.text]
+    blocks = [b for b in blocks if b.text]
+    if named:
+        _rule_out(blocks, named, marked)
+    return blocks
 
 
 def scores(blocks: list[Block]) -> list[float]:

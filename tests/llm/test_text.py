@@ -206,6 +206,46 @@ def test_a_page_without_marked_article():
     assert text.count("Sentence") == 8
 
 
+RUNNING = "".join(f"<p>Sentence {k}, which has some length. And another, here.</p>" for k in range(6))
+RUNNING_TEXT = " ".join(f"Sentence {k}, which has some length. And another, here." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ('<h2 id="search-methods">Search methods</h2>', "Search methods"),
+        ('<h2 id="related-work">Related work</h2>', "Related work"),
+        ('<h3 id="notice-of-change" class="alert">Change</h3>', "Change"),
+        ('<section id="discussion"><h2>Discussion</h2><p>Held, so far.</p></section>', "Discussion Held, so far."),
+        ('<div id="related-work"><h2>Others</h2></div>', "Others"),
+        ('<pre><code><span class="token comment"># why</span> <i class="hljs-comment">no</i> x</code></pre>', "# why no x"),
+        ('<p>See <a class="related-link" href="/x">this</a> and <em class="alert">that</em>.</p>', "See this and that."),
+        ('<p class="notice">Note, please.</p>', "Note, please."),
+        ('<div class="ad">Buy, now.</div><ul class="social-share"><li>Like</ul><div id="relatedPosts">More</div>', ""),
+        ('<span hidden>Not, seen.</span><div class="x" role="alert">No.</div>', ""),
+    ],
+)
+def test_names_rule_out_containers_by_whole_names(part, want):
+    page = f"<html><body><main><article><h1>Head</h1>{part}{RUNNING}</article></main></body></html>"
+    assert html_extract.main_text(page) == " ".join(f"Head {want} {RUNNING_TEXT}".split())
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "sidebar-wrap", "no-sidebar", "search", "l-comments-2"])
+def test_names_of_layout_wrappers(name):
+    thread = '<div class="comments"><article><p>I, too, say so. Often, even.</p></article></div>'
+    inner = f"<h1>Head</h1>{RUNNING}"
+    for article in (f"<article>{inner}</article>", f"<div><div>{inner}</div></div>"):
+        page = f'<html><body><div>imprint</div><div class="{name}">{article}{thread}</div></body></html>'
+        assert html_extract.main_text(page) == f"Head {RUNNING_TEXT}"
+
+
+def test_a_thread_longer_than_its_article_stays_out():
+    page = f'<html><body><div><h1>Short</h1><p>An article, only. Short, it is.</p></div><div id="comments">{RUNNING}</div></html>'
+    assert html_extract.main_text(page) == "Short An article, only. Short, it is."
+    page = f'<html><body><article><p>An article, only.</p></article><div class="related">{RUNNING}</div></html>'
+    assert html_extract.main_text(page) == "An article, only."
+
+
 def test_pages_table(spark):
     long = "<article>" + "<p>Words, and words.</p>" * 20_000 + "</article>"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", ""), (3, "w", long, "")]
