@@ -6,7 +6,8 @@ blocks: running text has long, punctuated blocks, menus have neither. The two
 ratios are smoothed over neighbouring blocks and fused, and blocks of paths above
 the page's threshold are the seeds of the content. The smallest element that
 holds nearly all of their weight is the content node; all its blocks belong to
-the text, but for those that markup itself declares to be something else.
+the text, but for those that markup itself declares to be something else. If that
+element is the page itself, the text goes from the first seed to the last.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 #: Share of the seeds' weight that the content node holds.
 COVER = 0.85
+#: A path with a larger share of its text in links is made of links.
+LINKED = 0.5
 #: An element that holds more than this share of the page's weight isn't ruled out by its name.
 MOST = 0.5
 #: Weights of a block and its neighbours in smoothing.
@@ -57,6 +60,9 @@ SIBLINGS = {
 SCOPES = frozenset("table ul ol dl menu td th article section main aside nav body div".split())
 MAIN = frozenset(("article", "main"))
 FRAME = frozenset(("html", "body"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text.
+RUNNING = HEADINGS | frozenset("p ul ol dl table blockquote pre figure hgroup".split())
 ASIDE_TAGS = frozenset(
     "nav aside form footer button dialog menu fieldset label input optgroup datalist legend".split()
 )
@@ -374,17 +380,54 @@ def main_text(page: str) -> str:
     holders = [e for e, w in weight.items() if w >= COVER * total]
     node = max(holders, key=lambda e: depth[e], default=None)
     # A leaf that holds everything stands for its siblings too.
-    chain = next((b.chain for b in blocks if node in b.chain), ())
-    own = [b for b in blocks if b.chain and b.chain[-1] == node]
-    if own and len(chain) > 2 and not any(b.chain[-1] != node and node in b.chain for b in blocks):
-        node = chain[chain.index(node) - 1]
-    if node is None or depth.get(node, 0) < 2:
-        kept = [b for b, score in zip(blocks, fused) if score >= line]
+    home = next((b for b in blocks if node in b.chain), None)
+    if home is not None:
+        at = home.chain.index(node)
+        tags = home.path.split("/")[1:]
+        if tags[at] not in MAIN and not any(b.chain[-1] != node and node in b.chain for b in blocks):
+            at -= 1
+        node = home.chain[at] if at >= 0 and tags[at] not in FRAME else None
+    if node is None:
+        kept = _range_of_page(blocks, fused, line)
     else:
         kept = [b for b in blocks if node in b.chain]
     return " ".join(b.text for b in kept)
 
 
+def _range_of_page(blocks: list[Block], fused: list[float], line: float) -> list[Block]:
+    """Blocks from the first seed to the last of a page whose text has no element of its own.
+
+    Blocks go by groups, the elements straight in the page. The range takes in
+    whole groups, and the groups of running text that adjoin it. Paths made of
+    links are left out, but for headings between seeds.
+    """
+    tags = [b.path.split("/")[1:] for b in blocks]
+    skip = [next((k for k, t in enumerate(names) if t not in FRAME), len(names)) for names in tags]
+    group = [b.chain[k] if k < len(b.chain) else -1 for b, k in zip(blocks, skip)]
+    straight = [k == len(names) or names[k] in RUNNING for names, k in zip(tags, skip)]
+    # made of links on the whole page and in the group, as a list may share its path with a menu
+    excess: dict[tuple[str, int | None], float] = {}
+    for b, g in zip(blocks, group):
+        for key in ((b.path, None), (b.path, g)):
+            excess[key] = excess.get(key, 0.0) + min(b.linked, len(b.text)) - LINKED * len(b.text)
+    links = [excess[b.path, None] > 0 and excess[b.path, g] > 0 for b, g in zip(blocks, group)]
+    seeds = [k for k, score in enumerate(fused) if score >= line]
+    first, last = seeds[0], seeds[-1]
+    low, high = first, last
+    while low and (group[low - 1] == group[low] or (straight[low - 1] and not links[low - 1])):
+        low -= 1
+    while high + 1 < len(blocks) and (
+        group[high + 1] == group[high] or (straight[high + 1] and not links[high + 1])
+    ):
+        high += 1
+    return [
+        b
+        for k, b in enumerate(blocks)
+        if low <= k <= high
+        and (not links[k] or fused[k] >= line or (first < k < last and tags[k] and tags[k][-1] in HEADINGS))
+    ]
+
+
 def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """One row per page: the columns ``keep``, ``text`` and ``n_chars``.
 

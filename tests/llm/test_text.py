@@ -246,6 +246,34 @@ def test_a_thread_longer_than_its_article_stays_out():
     assert html_extract.main_text(page) == "An article, only."
 
 
+LONG = "".join(f"<p>{'word ' * 58}one, two, three, end{k}.</p>" for k in range(5))
+LONG_TEXT = " ".join(f"{'word ' * 58}one, two, three, end{k}." for k in range(5))
+OTHERS = "<ul><li>item</ul><table><tr><td>cell</table><blockquote>quote</blockquote>"
+CHROME = '<div>Site name</div><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul>'
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html><body><h1>Ten chars.</h1>{LONG}<ul><li>item</li></ul></html>", f"Ten chars. {LONG_TEXT} item"),
+        (f"<html><body>{CHROME}<h1>H</h1>{LONG}{OTHERS}<div>imprint</div>", f"H {LONG_TEXT} item cell quote"),
+        (f"<h1>H</h1>{LONG}{OTHERS}", f"H {LONG_TEXT} item cell quote"),
+        (f"{CHROME}<article><h1>H</h1>{LONG}{OTHERS}</article><div>imprint</div>", f"H {LONG_TEXT} item cell quote"),
+        (f"<body>{CHROME}<main><h1>H</h1>{LONG}{OTHERS}</main>", f"H {LONG_TEXT} item cell quote"),
+        (f"<div><h1>H</h1>{LONG}{OTHERS}</div>", f"H {LONG_TEXT} item cell quote"),
+        (
+            f"<html><body><div>name</div><div><h2>H</h2>{LONG}</div><p><a href=/>All links, here.</a></p>"
+            f"<div>{LONG}<ul><li>item</ul></div><div>imprint</div>",
+            f"H {LONG_TEXT} {LONG_TEXT} item",
+        ),
+        ("<body><div>junk</div><article>Bare text, only. Two of them.</article>", "Bare text, only. Two of them."),
+        ("<body><p><a href=/>Nothing, but links.</a></p>", "Nothing, but links."),
+    ],
+)
+def test_articles_without_an_element_of_their_own(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_pages_table(spark):
     long = "<article>" + "<p>Words, and words.</p>" * 20_000 + "</article>"
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", ""), (3, "w", long, "")]
