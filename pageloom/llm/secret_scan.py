@@ -1,13 +1,17 @@
 """Secrets in texts: known forms, and strings that pass as random.
 
 The base forms are patterns. Other candidates, long unbroken runs of letters,
-digits and ``+/_-``, go through a battery of tests in the alphabet of their
-inferred encoding (hexadecimal, base 32, base 36, base 64):
+digits and ``+/_-``, go through a battery of tests in the smallest alphabet that
+fits (hexadecimal, base 32, or the classes of symbols present, of either case):
 
 - chi-squared uniformity of the symbols, in terms of pairs of equal symbols;
 - runs, counted as changes between letters and digits;
 - serial correlation of neighbouring symbols.
 
+``-`` and ``_`` may be symbols or separators, as in UUIDs and prefixed keys: a
+candidate is read with them, without them and part by part, and the most even
+reading counts. Its encoding, for the classes below, is that without them.
+
 A candidate must be as even as a uniform draw (the three tests combined), and
 less like words than chance allows: words repeat letters and seldom change
 between letters and digits. The second p-value is held against a false
@@ -22,6 +26,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +68,9 @@ ALPHABETS = {
 }
 ENCODINGS = tuple(ALPHABETS)
 PLACES = {name: {c: k for k, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
+#: Classes of symbols.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/")
+SEPARATOR = re.compile(r"[-_]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -83,10 +91,10 @@ def infer_encoding(symbols: str) -> str | None:
     """Encoding with the smallest alphabet that fits; digits only are a number."""
     if symbols.isdigit():
         return None
-    for name, fold in (("hex", str.lower), ("base32", str), ("base36", str), ("base64", str)):
-        if name == "hex" and symbols.lower() != symbols and symbols.upper() != symbols:
-            continue
-        if all(c in PLACES[name] for c in fold(symbols)):
+    one_case = symbols.lower() == symbols or symbols.upper() == symbols
+    folded = symbols.lower() if one_case else symbols
+    for name, read in (("hex", folded), ("base32", symbols), ("base36", folded), ("base64", symbols)):
+        if all(c in PLACES[name] for c in read):
             return name
     return None
 
@@ -122,51 +130,88 @@ def _poisson_upper(k: int, mean: float) -> float:
     return min(1.0, total)
 
 
+@lru_cache(64)
+def _alphabet(kind: str | tuple[str, ...]) -> tuple[dict[str, int], float]:
+    """Places of an alphabet's symbols and the share of digits among letters and digits."""
+    letters = ALPHABETS[kind] if isinstance(kind, str) else "".join(kind)
+    digits, words = sum(c.isdigit() for c in letters), sum(c.isalnum() for c in letters)
+    return {c: k for k, c in enumerate(letters)}, digits / max(1, words)
+
+
+def _evenness(parts: list[str]) -> float:
+    """P-value of parts as uniform draws, each from the smallest alphabet of its symbols."""
+    equal = even_mean = even_var = changes = change_mean = change_var = 0.0
+    together = spread = drift = 0.0
+    size = 0
+    for part in parts:
+        n = len(part)
+        if n < 2:
+            continue
+        name = infer_encoding(part)
+        if name == "hex":
+            part = part.lower()
+        elif name != "base32" or part.isalpha():
+            name = tuple(c for c in CLASSES if not set(part).isdisjoint(c))
+        place, share = _alphabet(name)
+        pairs, chance = n * (n - 1) / 2, 1 / len(place)
+        equal += sum(c * (c - 1) for c in Counter(part).values()) / 2
+        even_mean += pairs * chance
+        even_var += pairs * chance * (1 - chance)
+        digits = [c.isdigit() for c in part if c.isalnum()]
+        if len(digits) > 1 and 0 < share < 1:
+            steps, change = len(digits) - 1, 2 * share * (1 - share)
+            changes += sum(a != b for a, b in zip(digits, digits[1:]))
+            change_mean += steps * change
+            change_var += steps * change * (1 - change) + (steps - 1) * share * (1 - share) * (1 - 2 * share) ** 2
+        places = [place[c] for c in part]
+        mean, scale = sum(places) / n, 12 / (len(place) ** 2 - 1)
+        together += scale * sum((a - mean) * (b - mean) for a, b in zip(places, places[1:]))
+        spread += scale * sum((x - mean) ** 2 for x in places)
+        drift += (n - 1) / n
+        size += n - 1
+    if not size:
+        return 0.0
+    p = [_upper((equal - even_mean) / math.sqrt(even_var))]
+    if change_var > 0:
+        p.append(_two_sided((changes - change_mean) / math.sqrt(change_var)))
+    serial = together / spread if spread else 1.0
+    p.append(_two_sided((serial + drift / size) * math.sqrt(size + drift)))
+    return _fisher(p)
+
+
 def battery(raw: str) -> tuple[str, float, float] | None:
     """``(encoding, evenness, wordiness)`` p-values of a candidate.
 
     The first is small when the symbols aren't a uniform draw, the second when
     words would hardly come out like this.
     """
-    symbols = raw.rstrip("=").replace("-", "+").replace("_", "/")
-    name = infer_encoding(symbols)
+    raw = raw.rstrip("=")
+    parts = [part for part in SEPARATOR.split(raw) if part]
+    symbols = "".join(parts)
+    name = infer_encoding(symbols) if symbols else None
     if name is None:
         return None
+    evenness = _evenness([symbols])
+    if len(symbols) < len(raw):
+        with_them = raw.replace("-", "+").replace("_", "/")
+        as_symbols = _evenness([with_them])
+        evenness = max(evenness, as_symbols, _evenness(parts))
+        if as_symbols >= UNEVEN:
+            parts, symbols = [with_them], with_them
     if name == "hex":
         symbols = symbols.lower()
-    size, n = len(ALPHABETS[name]), len(symbols)
-    counts = Counter(symbols)
-    equal = sum(c * (c - 1) for c in counts.values()) / 2
+    # against words, which may change to digits at a separator
+    n = len(symbols)
     pairs = n * (n - 1) / 2
-    digits = [c.isdigit() for c in symbols if c.isalnum()]
-    changes = sum(a != b for a, b in zip(digits, digits[1:]))
-    share = sum(c.isdigit() for c in ALPHABETS[name]) / sum(c.isalnum() for c in ALPHABETS[name])
-    steps = max(1, len(digits) - 1)
-    # against a uniform draw
-    even_mean, even_sd = pairs / size, math.sqrt(pairs / size * (1 - 1 / size))
-    change_chance = 2 * share * (1 - share)
-    change_sd = math.sqrt(
-        steps * change_chance * (1 - change_chance) + 2 * (steps - 1) * share * (1 - share) * (1 - 2 * share) ** 2 / 2
-    )
-    places = [PLACES[name][c] for c in symbols]
-    mean = sum(places) / n
-    spread = sum((x - mean) ** 2 for x in places)
-    serial = (
-        sum((a - mean) * (b - mean) for a, b in zip(places, places[1:])) / spread if spread else 1.0
-    )
-    evenness = _fisher(
-        [
-            _upper((equal - even_mean) / even_sd),
-            _two_sided((changes - steps * change_chance) / change_sd),
-            _two_sided((serial + 1 / n) * math.sqrt(n)),
-        ]
-    )
-    # against words
+    equal = sum(c * (c - 1) for c in Counter(symbols).values()) / 2
+    digits = [[c.isdigit() for c in part if c.isalnum()] for part in parts]
+    changes = sum(a != b for d in digits for a, b in zip(d, d[1:]))
+    steps = max(1, sum(len(d) - 1 for d in digits if d))
     word_sd = math.sqrt(
         pairs * PAIR_CHANCE * (1 - PAIR_CHANCE)
         + n * (n - 1) * (n - 2) * (TRIPLE_CHANCE - PAIR_CHANCE**2)
     )
-    few_equal = _upper((pairs * PAIR_CHANCE - equal) / word_sd)
+    few_equal = _upper((pairs * PAIR_CHANCE - equal) / word_sd) if word_sd else 1.0
     many_changes = _poisson_upper(changes, CHANGE_RATE * steps)
     return name, evenness, _fisher([few_equal, many_changes])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -147,6 +148,59 @@ def test_battery_parts_draws_from_words():
         assert secret_scan.battery(word)[2] > 0.01
 
 
+UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MIXED = UPPER + UPPER[10:].lower()
+
+
+@pytest.mark.parametrize("length", [20, 32, 40, 64, 128])
+@pytest.mark.parametrize(
+    ("letters", "form"),
+    [
+        (UPPER, "{}"),
+        (UPPER, "key-{}"),
+        (UPPER.lower(), "split"),
+        (MIXED, "sk_live_{}"),
+        (MIXED[10:], "{}"),
+        (secret_scan.ALPHABETS["hex"], "key_{}"),
+        (UPPER, "groups"),
+    ],
+)
+def test_battery_takes_random_keys_of_any_form(letters, form, length):
+    rng = random.Random(2)
+
+    def draw(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def made():
+        if form == "groups":
+            return "-".join(draw(4) for _ in range(length // 4))
+        if form == "split":
+            return f"{draw(9)}-{draw(length - 9)}"
+        return form.format(draw(length))
+
+    drawn = [secret_scan.battery(made()) for _ in range(200)]
+    assert sum(d[1] >= secret_scan.UNEVEN for d in drawn) >= 190
+    if length >= 64:
+        assert sum(d[2] < 0.001 for d in drawn) >= 180
+
+
+def test_battery_takes_uuids_but_no_slugs():
+    rng = random.Random(3)
+    drawn = [secret_scan.battery(str(uuid.UUID(int=rng.getrandbits(128), version=4))) for _ in range(200)]
+    assert {d[0] for d in drawn} == {"hex"}
+    assert sum(d[1] >= secret_scan.UNEVEN and d[2] < 0.001 for d in drawn) >= 180
+    for slug in ("covid-19-in-2020-and-2021", "2023-01-15-some-post-title-here", "ALL_CAPS_NAME_OF_A_CONSTANT"):
+        assert secret_scan.battery(slug)[2] > 0.01
+
+
+def test_upper_case_and_uuid_keys_are_found(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(UPPER) for _ in range(64)), str(uuid.UUID(int=rng.getrandbits(128), version=4))]
+    df = spark.createDataFrame([(k, f"see {key} there") for k, key in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(df).collect()}
+    assert got == {k: f"random:4:{4 + len(key)}" for k, key in enumerate(keys)}
+
+
 def test_redaction_keeps_rows_and_blanks_spans(spark):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate([*SECRETS, None, "clean", "clean"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
