@@ -11,13 +11,16 @@ from pageloom.llm import (
     bpe,
     embedding_dedup,
     html_extract,
+    lexical,
     mixing,
     nearest,
+    phrase_index,
     quality,
     secret_scan,
     simhash_dedup,
     token_files,
     toxicity,
+    whitening,
 )
 from pageloom.llm.common import prepared, read_table
 
@@ -183,3 +186,83 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 2 bits."""
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 4 leading components of their distinct integer vectors."""
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"), count=4, scale=256)
+
+
+@query(
+    "op12_lexical_search",
+    r"""WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), i AS (
+      SELECT DISTINCT item_id, text FROM benchmark
+    ), q AS (
+      SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+      FROM i
+    ), s AS (SELECT count(*) AS all_docs, sum(len(w))::BIGINT AS all_terms FROM d WHERE len(w) > 0
+    ), tf AS (
+      SELECT r, doc_id, len(w)::BIGINT AS n, t, count(*)::BIGINT AS tf
+      FROM (SELECT r, doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL
+    ), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t
+    ), p AS (
+      SELECT i, item_id, r, doc_id, sum(
+        floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+        * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score
+      FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY ALL
+    ), k AS (
+      SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0
+    ) SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of each test item."""
+    docs = read_table(spark, sf_dir, "documents")
+    return lexical.best_documents(docs, read_table(spark, sf_dir, "benchmark"), count=50)
+
+
+@query(
+    "op13_decontamination",
+    r"""WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), i AS (
+      SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark
+    ), x AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest([
+        array_to_string(w[p:p + least(len(w), 10) - 1], ' ')
+        for p in range(1, len(w) - least(len(w), 10) + 2)]) AS win
+      FROM i WHERE len(w) > 0
+    ), n AS (
+      SELECT r, p, size, array_to_string(w[p:p + size - 1], ' ') AS win FROM (
+        SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p
+        FROM d, (SELECT DISTINCT size FROM x) WHERE len(w) >= size)
+    ), m AS (SELECT r, p, n.size, item_id FROM n JOIN x ON n.win = x.win AND n.size = x.size
+    ), h AS (
+      SELECT r, count(DISTINCT pos) AS n_hit FROM (
+        SELECT r, unnest(range(p, p + size)) AS pos FROM (SELECT DISTINCT r, p, size FROM m)) GROUP BY r
+    ), e AS (
+      SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM m) GROUP BY r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+      coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN e USING (r)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in 10 consecutive words of a test item."""
+    docs = read_table(spark, sf_dir, "documents")
+    return phrase_index.contamination(docs, read_table(spark, sf_dir, "benchmark"), words=10)
