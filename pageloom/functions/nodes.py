@@ -1,10 +1,10 @@
-"""The one HTML helper: page text to a flat node array (V4).
+"""The one HTML scanner, and the flat node array of a page (V4).
 
 Nodes come in page order. A node knows the index of its parent and of its last
-descendant, and its 1-based character range in the page. Those intervals are
-all Spark needs to evaluate element paths with array functions, so pattern
-choice, cleanup and assembly stay in Catalyst. Bulk text never leaves the JVM:
-text is returned only inside the few elements whose text is a field of its own.
+descendant, and its 1-based character range in the page. Bulk text never leaves
+the JVM: text is returned only inside the few elements whose text is a field of
+its own. Extraction doesn't need the array: ``paths`` finds what the site
+profiles ask for while the same scan goes on.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_entities
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -61,8 +62,11 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 _RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style")}
 
 
-def _attributes(source: str) -> dict[str, str]:
+def element_attributes(source: str) -> dict[str, str]:
+    """Known attributes of a start tag; of a repeated one the first counts."""
     found: dict[str, str] = {}
+    if not source.strip(" /\n\t\r"):
+        return found
     for name, value in _ATTRIBUTE.findall(source):
         if value[:1] in ("'", '"'):
             value = value[1:-1]
@@ -72,6 +76,27 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """``(begin, end, name, closes, attribute source)`` of every tag, in page order.
+
+    Comments and declarations have no name, and neither has the end of the page,
+    which comes last; text lies between the events. The content of scripts and
+    styles is part of their start tag.
+    """
+    at, size = 0, len(page)
+    while (token := _TOKEN.search(page, at)) is not None:
+        begin, at = token.span()
+        close, name, source, close2, name2, source2 = token.groups()
+        name = (name or name2 or "").lower()
+        closes = bool(close or close2)
+        source = source or source2 or ""
+        if name in _RAW_END and not closes and not source.endswith("/"):
+            raw_end = _RAW_END[name].search(page, at)
+            at = raw_end.start() if raw_end else size
+        yield begin, at, name, closes, source
+    yield size, size, "", False, ""
+
+
 def page_nodes(page: str) -> list[list]:
     """Rows ``[pos, last, parent, tag, start, stop, attributes, value]`` of a page.
 
@@ -83,37 +108,26 @@ def page_nodes(page: str) -> list[list]:
     open_tags: Counter[str] = Counter()
     pos = at = 0
 
-    def add_text(begin: int, end: int) -> None:
-        nonlocal pos
-        if stack and stack[-1][2] and end > begin:
-            text = html_entities.unescape(page[begin:end])
-            rows.append([pos, pos, stack[-1][1][0], "#text", begin + 1, end + 1, {}, text])
-            pos += 1
-
     def close(end: int) -> None:
         name, row, _ = stack.pop()
         open_tags[name] -= 1
         row[1], row[5] = pos - 1, end + 1
 
-    size = len(page)
-    while True:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            add_text(at, size)
-            break
-        add_text(at, token.start())
-        at = token.end()
-        name = (token["name"] or token["name2"] or "").lower()
+    for begin, end, name, closes, source in tags(page):
+        if stack and stack[-1][2] and begin > at:
+            text = html_entities.unescape(page[at:begin])
+            rows.append([pos, pos, stack[-1][1][0], "#text", at + 1, begin + 1, {}, text])
+            pos += 1
+        at = end
         if not name:
             continue
-        if token["close"] or token["close2"]:
+        if closes:
             if open_tags[name]:
                 while stack[-1][0] != name:
-                    close(token.start())
-                close(at)
+                    close(begin)
+                close(end)
             continue
-        source = token["attrs"] or token["attrs2"] or ""
-        attributes = _attributes(source) if source.strip(" /\n\t\r") else {}
+        attributes = element_attributes(source)
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         in_text = (
             bool(stack and stack[-1][2])
@@ -122,18 +136,15 @@ def page_nodes(page: str) -> list[list]:
             or bool(_TEXT_MARKS.search(marks))
         )
         parent = stack[-1][1][0] if stack else -1
-        row = [pos, pos, parent, name, token.start() + 1, at + 1, attributes, None]
+        row = [pos, pos, parent, name, begin + 1, end + 1, attributes, None]
         rows.append(row)
         pos += 1
         if name in VOID_TAGS or source.endswith("/"):
             continue
         stack.append((name, row, in_text))
         open_tags[name] += 1
-        if name in _RAW_END:
-            raw_end = _RAW_END[name].search(page, at)
-            at = raw_end.start() if raw_end else size
     while stack:
-        close(size)
+        close(len(page))
     return _kept(rows, pos)
 
 

@@ -1,4 +1,4 @@
-"""Field extraction (E1-E11, F5, F11): node arrays in, article rows out."""
+"""Field extraction (E1-E11, F5, F11): pages in, article rows out."""
 
 from __future__ import annotations
 
@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.config import JobConfig
-from pageloom.functions import dates, markup, select, text, urls
-from pageloom.functions.nodes import html_nodes
-from pageloom.profiles import (
-    DESCRIPTION,
-    HEADER_IMAGES,
-    PROFILES,
-    SiteProfile,
-    override,
-)
+from pageloom.functions import dates, markup, paths, text, urls
+from pageloom.profiles import PROFILES, SiteProfile, override
+from pageloom.session import staged
+
 
 def drop_unparsed(pages: DataFrame) -> DataFrame:
     """Pages the extraction can read; missing and unreadable bodies go."""
@@ -39,41 +34,34 @@ def interstitials(pages: DataFrame) -> DataFrame:
 
 
 def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
-    """Parseable pages with profile, node array and everything patterns found.
+    """Parseable pages with their profile and, in ``found``, what its paths select.
 
     Both Python columns come from one Arrow exchange; everything after it runs
     in the JVM.
     """
+    profile = urls.profile_of(F.col("url"))
     return (
         drop_unparsed(pages)
-        .withColumn("profile", urls.profile_of(F.col("url")))
+        .withColumn("profile", profile)
         .withColumns(
             {
-                "nodes": html_nodes(F.col("html")),
+                "found": paths.page_fields(F.col("html"), F.col("profile"), profiles),
                 "title_tag": text.html_unescape(text.title_tag(F.col("html"))),
             }
         )
-        .withColumn(
-            "patterns", select.pattern_table(profiles, F.col("profile"))
-        )
-        .withColumn("found", select.matches("patterns", "title_tag"))
-        .drop("patterns")
     )
 
 
 def title_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
     """First pattern whose trimmed text has more than one character."""
-    first = text.STRIP_SQL.format("get(m.texts, 0)")
-    title = F.expr(
-        f"""get(filter(transform(filter(found, m -> m.field = 'title'), m -> {first}),
-            t -> length(t) > 1), 0)"""
-    )
+    first = text.STRIP_SQL.format("coalesce(t, title_tag)")
+    title = F.expr(f"get(filter(transform(found.titles, t -> {first}), t -> length(t) > 1), 0)")
     return override(title, F.col("profile"), "title_override", tuple(profiles))
 
 
 def date_raw_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
     """Date text of the first pattern that matches."""
-    raw = F.expr(f"get({select.texts_of('date')}, 0)")
+    raw = F.col("found.date")
     for profile in profiles:
         regexes = [p.regex for p in profile.date if p.regex]
         if regexes:
@@ -90,20 +78,12 @@ def date_raw_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
 
 def tags_column() -> Column:
     """Trimmed text of every tag link; repeats and blanks stay."""
-    return F.expr(f"transform({select.texts_of('tags')}, t -> {text.STRIP_SQL.format('t')})")
+    return F.expr(f"transform(found.tags, t -> {text.STRIP_SQL.format('t')})")
 
 
 def image_refs_column() -> Column:
     """``ARRAY<STRUCT<src, alt, start, stop>>`` over all image patterns."""
-    return F.expr(
-        f"""transform(
-          filter(transform({select.nodes_of("images")}, i -> get(nodes, i)),
-                 n -> try_element_at(n.attrs, 'src') IS NOT NULL),
-          n -> named_struct(
-            'src', try_element_at(n.attrs, 'src'),
-            'alt', coalesce(try_element_at(n.attrs, 'alt'), ''),
-            'start', n.start, 'stop', n.stop))"""
-    )
+    return F.col("found.images")
 
 
 def ignored_url_column(url: Column, profiles: Sequence[SiteProfile] = PROFILES) -> Column:
@@ -167,29 +147,19 @@ def _cleanup(c: Column, profiles: Sequence[SiteProfile]) -> Column:
 def edits_column() -> Column:
     """Character ranges to drop (cleanup elements, scripts) or to turn into
     image placeholders."""
-    drop = "n -> named_struct('start', n.start, 'stop', n.stop, 'insert', '')"
     return F.expr(
         f"""concat(
-          transform(transform({select.nodes_of("content_cleanup")}, i -> get(nodes, i)), {drop}),
-          transform(filter(nodes, n -> n.tag IN ('script', 'style')), {drop}),
+          transform(found.drops, n -> named_struct('start', n.start, 'stop', n.stop, 'insert', '')),
           transform(found_images, i -> named_struct('start', i.start, 'stop', i.stop,
             'insert', concat('{markup.PLACEHOLDER}', i.hash, '#'))))"""
     )
 
 
-def content_candidates() -> Column:
-    """First element of every content pattern, in pattern order."""
-    return F.expr(
-        """transform(filter(found, m -> m.field = 'content'), m -> named_struct(
-             'start', get(nodes, m.found[0]).start, 'stop', get(nodes, m.found[0]).stop))"""
-    )
-
-
 def content_column(profiles: Sequence[SiteProfile] = PROFILES) -> Column:
     """First candidate that is not blank after cleanup; later ones are not
     even cleaned (E3)."""
     pieces = F.expr(
-        f"transform(candidates, c -> {markup.apply_edits_sql('html', 'c.start', 'c.stop', 'edits')})"
+        f"transform(found.content, c -> {markup.apply_edits_sql('html', 'c.start', 'c.stop', 'edits')})"
     )
     cleaned = F.aggregate(
         pieces,
@@ -220,23 +190,17 @@ def block_comments_sql(texts: str, cfg: JobConfig) -> str:
 
 def listed_comments_sql() -> str:
     """SQL: author/body pairs of the list layout, up to the shorter list."""
-
-    def joined(field: str) -> str:
-        texts = f"array_join({select.texts_below_sql('i')}, '')"
-        return f"transform({select.nodes_of(field)}, i -> {text.STRIP_SQL.format(texts)})"
-
-    authors, bodies = joined("comment_authors"), joined("comment_bodies")
+    author, body = (text.STRIP_SQL.format(c) for c in "ab")
     return rf"""array_join(
-        transform(filter(zip_with({authors}, {bodies}, (a, b) ->
-            concat('<h4>', replace(a, '\n', ' '), '</h4><p>', b, '</p>')),
-          c -> c IS NOT NULL), c -> c), '')"""
+        filter(zip_with(found.comment_authors, found.comment_bodies, (a, b) ->
+          concat('<h4>', replace({author}, '\n', ' '), '</h4><p>', {body}, '</p>')),
+        c -> c IS NOT NULL), '')"""
 
 
 def comment_texts_column() -> Column:
     """Non-blank texts of the comment blocks."""
     return F.expr(
-        f"filter(transform({select.texts_of('comment_blocks')},"
-        f" t -> {text.STRIP_SQL.format('t')}), t -> t <> '')"
+        f"filter(transform(found.comment_blocks, t -> {text.STRIP_SQL.format('t')}), t -> t <> '')"
     )
 
 
@@ -255,8 +219,8 @@ def comment_texts(
 
 def comments_column(cfg: JobConfig) -> Column:
     """Comment markup of a page, with its heading only when there are comments."""
-    heading = f"""transform(array({select.texts_of("comment_heading")}), h -> CASE
-        WHEN size(h) = 1 THEN concat('<hr/><h3>', h[0], '</h3>') ELSE '' END)[0]"""
+    heading = """(CASE WHEN size(found.comment_heading) = 1
+        THEN concat('<hr/><h3>', found.comment_heading[0], '</h3>') ELSE '' END)"""
     return F.expr(
         f"""transform(array(CASE
             WHEN size(comment_texts) > 0 THEN {block_comments_sql("comment_texts", cfg)}
@@ -267,12 +231,12 @@ def comments_column(cfg: JobConfig) -> Column:
 
 def header_images_column() -> Column:
     """Source of every header image."""
-    return F.expr(select.texts_of("header_images"))
+    return F.col("found.header_images")
 
 
 def description_column() -> Column:
     """First text of the header paragraph, blank without one."""
-    return F.expr(f"coalesce(get({select.texts_of('description')}, 0), '')")
+    return F.coalesce(F.col("found.description"), F.lit(""))
 
 
 def extract_fields(
@@ -286,7 +250,6 @@ def extract_fields(
         .withColumns(
             {
                 "edits": edits_column(),
-                "candidates": content_candidates(),
                 "comment_texts": comment_texts_column(),
             }
         )
@@ -305,7 +268,7 @@ def extract_fields(
         )
     )
     return fields.drop(
-        "nodes", "found", "title_tag", "edits", "candidates", "comment_texts", "found_images"
+        "found", "title_tag", "edits", "comment_texts", "found_images"
     )
 
 
@@ -328,16 +291,20 @@ def extract_articles(
 
     Each blog's own title and language come from columns ``blog_title`` and
     ``blog_language`` of the pages, best joined on before bodies are fetched
-    (``with_blog_meta``). ``blogs(blog, title, language)`` joins them on here;
-    without either the page speaks for itself. ``keep`` names further input
-    columns to carry along.
+    (``with_blog_meta``). ``blogs(blog, title, language)`` joins them on here,
+    from a table in the shared folder: its size is known then, so Spark broadcasts
+    it below its threshold, and only beyond that content is shuffled. Without
+    either the page speaks for itself. ``keep`` names further input columns to
+    carry along.
     """
     known = [c for c in ("blog_title", "blog_language") if c in pages.columns]
     fields = extract_fields(
         pages.select("blog", "seq", "url", "html", *known, *keep), cfg, profiles
     ).drop("html")
     if blogs is not None:
-        fields = with_blog_meta(fields.drop(*known), blogs)
+        fields = with_blog_meta(
+            fields.drop(*known), staged(blogs.select("blog", "title", "language"), "blog-meta")
+        )
     elif len(known) < 2:
         unknown = F.lit(None).cast("string")
         fields = fields.drop(*known).withColumns(
@@ -403,16 +370,11 @@ def blog_metadata(pages: DataFrame) -> DataFrame:
         picked.withColumn("profile", urls.profile_of(F.col("url")))
         .withColumns(
             {
-                "nodes": html_nodes(F.col("html")),
+                "found": paths.page_fields(F.col("html"), F.col("profile")),
                 "title": text.blog_title(F.col("html"), F.col("profile")),
                 "language": text.detect_language(F.col("html"), F.col("profile")),
             }
         )
-        .withColumn(
-            "patterns",
-            select.fixed_patterns(header_images=HEADER_IMAGES, description=DESCRIPTION),
-        )
-        .withColumn("found", select.matches("patterns"))
         .select(
             "blog",
             "profile",

@@ -13,20 +13,13 @@ from pyspark.sql import functions as F
 
 from pageloom import sinks
 from pageloom.config import JobConfig
-from pageloom.functions import dates, markup, select, text, urls
+from pageloom.functions import dates, markup, text, urls
 from pageloom.functions.nodes import html_nodes
 from pageloom.operators import books, comments, extract, history, images, inventory
 from pageloom.plans import fixtures as fx
 from pageloom.plans import run
 from pageloom.plans import sqltext as q
-from pageloom.profiles import (
-    BLOGSPOT,
-    DESCRIPTION,
-    HEADER_IMAGES,
-    override,
-    site_patterns,
-    with_profile,
-)
+from pageloom.profiles import BLOGSPOT, override, site_patterns, with_profile
 from pageloom.session import prepare_session, scratch_path, staged
 from pageloom.sources import images as image_source
 from pageloom.sources import pages as page_source
@@ -486,24 +479,12 @@ def e7(spark, sf_dir):
     )
 
 
-def _header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        post_pages(spark, sf_dir)
-        .withColumn("nodes", html_nodes(F.col("html")))
-        .withColumn(
-            "patterns",
-            select.fixed_patterns(header_images=HEADER_IMAGES, description=DESCRIPTION),
-        )
-        .withColumn("found", select.matches("patterns"))
-    )
-
-
 @query(
     "e8_header_images",
     "SELECT doc_id, '/head-' || source || '.png' AS header_images FROM documents",
 )
 def e8(spark, sf_dir):
-    return _header_fields(spark, sf_dir).select(
+    return extract.with_matches(post_pages(spark, sf_dir)).select(
         F.col("seq").alias("doc_id"),
         joined(extract.header_images_column()).alias("header_images"),
     )
@@ -511,7 +492,7 @@ def e8(spark, sf_dir):
 
 @query("e9_description", "SELECT doc_id, 'About ' || source AS description FROM documents")
 def e9(spark, sf_dir):
-    return _header_fields(spark, sf_dir).select(
+    return extract.with_matches(post_pages(spark, sf_dir)).select(
         F.col("seq").alias("doc_id"), extract.description_column().alias("description")
     )
 
@@ -1852,23 +1833,67 @@ def v3(spark, sf_dir):
     )
 
 
+def _node_facts(pages: DataFrame, key: str, wanted: tuple[str, ...]) -> DataFrame:
+    """Per page and tag: number, source by range, parents, inner nodes and attributes."""
+    rows = pages.withColumn("nodes", html_nodes(F.col("html"))).withColumn(
+        "tag", F.explode(F.array(*(F.lit(t) for t in wanted)))
+    )
+    rows = rows.withColumn("own", F.expr("filter(nodes, n -> n.tag = tag)")).filter("size(own) > 0")
+    parent = "CASE WHEN n.parent < 0 THEN cast(n.parent AS string) ELSE nodes[n.parent].tag END"
+    return rows.select(
+        F.col(key),
+        "tag",
+        F.expr("cast(size(own) AS bigint)").alias("n"),
+        F.expr(
+            "md5(array_join(transform(own, n -> substring(html, n.start, n.stop - n.start)), ''))"
+        ).alias("source_md5"),
+        F.expr(f"array_join(array_sort(array_distinct(transform(own, n -> {parent}))), ',')").alias("parents"),
+        F.expr("cast(aggregate(own, 0, (s, n) -> s + n.last - n.pos) AS bigint)").alias("inner_nodes"),
+        F.expr(
+            "array_join(transform(own, n -> array_join(transform(array_sort(map_entries(n.attrs)),"
+            " e -> concat(e.key, '=', e.value)), ' ')), '|')"
+        ).alias("attributes"),
+    )
+
+
 @query(
     "v4_html_nodes",
-    """SELECT page_id, t.tag, CAST(len(regexp_extract_all(html, t.pattern)) AS BIGINT) AS n
-    FROM pages, (VALUES ('a', '<a '), ('article', '<article>'), ('div', '<div '), ('h1', '<h1>'),
-      ('script', '<script>')) AS t(tag, pattern)
-    WHERE len(regexp_extract_all(html, t.pattern)) > 0""",
+    r"""SELECT page_id, tag, CAST(len(found) AS BIGINT) AS n, md5(array_to_string(found, '')) AS source_md5,
+      parents, CAST(len(found) * within AS BIGINT) AS inner_nodes,
+      CASE WHEN attr = '' THEN repeat('|', len(found) - 1)
+        ELSE array_to_string(list_transform(found, lambda x: attr || '='
+          || regexp_extract(x, attr || '="([^"]*)"', 1)), '|') END AS attributes
+    FROM (SELECT page_id, tag, parents, within, attr, regexp_extract_all(html, pattern) AS found
+      FROM pages, (VALUES ('a', '<a [^>]*>[^<]*</a>', '-2', 0, 'href'),
+        ('article', '(?s)<article>.*</article>', '-2', 2, ''),
+        ('div', '<div [^>]*>[^<]*</div>', '-2', 0, 'class'),
+        ('h1', '<h1>[^<]*</h1>', 'article', 1, ''),
+        ('script', '(?s)<script>.*?</script>', '-2', 0, '')) AS t(tag, pattern, parents, within, attr))
+    WHERE len(found) > 0""",
 )
 def v4(spark, sf_dir):
-    nodes = fx.pages(spark, sf_dir).select(
-        "page_id", F.explode(html_nodes(F.col("html"))).alias("node")
-    )
-    return (
-        nodes.select("page_id", F.col("node.tag").alias("tag"))
-        .filter(F.col("tag").isin("a", "article", "div", "h1", "script"))
-        .groupBy("page_id", "tag")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _node_facts(fx.pages(spark, sf_dir), "page_id", ("a", "article", "div", "h1", "script"))
+
+
+@query(
+    "v4_nodes_of_posts",
+    f"""WITH {q.POSTS} SELECT doc_id, tag, n::BIGINT AS n, parents, inner_nodes::BIGINT AS inner_nodes, attributes
+    FROM (SELECT doc_id, 'span' AS tag,
+        CASE WHEN date_text IS NULL OR doc_id % 4 % 2 = 0 THEN 1 ELSE 2 END AS n,
+        CASE WHEN date_text IS NULL OR doc_id % 4 % 2 = 0 THEN 'p' ELSE 'h2,p' END AS parents,
+        CASE WHEN date_text IS NULL OR doc_id % 4 % 2 = 0 THEN 2 ELSE 3 END AS inner_nodes,
+        CASE WHEN date_text IS NULL OR doc_id % 4 % 2 = 0 THEN '' ELSE '|' END AS attributes FROM posts
+      UNION ALL SELECT doc_id, 'p', 1, 'div', 3, 'class=description' FROM posts
+      UNION ALL SELECT doc_id, 'img', CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END,
+        CASE WHEN doc_id % 3 = 2 THEN 'span' ELSE 'div,span' END, 0,
+        'src=/head-' || source || '.png' || CASE doc_id % 3
+          WHEN 0 THEN '|alt=pic ' || doc_id % 50 || ' src=/img' || doc_id % 50 || '.jpg'
+          WHEN 1 THEN '|src=/pic.svg' ELSE '' END FROM posts)""",
+)
+def v4_posts(spark, sf_dir):
+    """Nested nodes: a parent, the last descendant and the attributes of each."""
+    posts = post_pages(spark, sf_dir).withColumnRenamed("seq", "doc_id")
+    return _node_facts(posts, "doc_id", ("span", "p", "img")).drop("source_md5")
 
 
 # --- whole run -----------------------------------------------------------------------

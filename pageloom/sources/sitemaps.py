@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import schemas
-from pageloom.functions import select, urls
-from pageloom.functions.nodes import html_nodes
+from pageloom.functions import paths, urls
 from pageloom.operators.inventory import fetch_bodies, stored_keys
 from pageloom.profiles import ARCHIVE_LINKS
 
@@ -114,12 +113,7 @@ def archive_link_url(href: Column, blog: Column, page_url: Column) -> Column:
 
 def archive_links(pages: DataFrame) -> DataFrame:
     """Every archive-widget link of ``pages(blog, seq, page_url, html)`` in order."""
-    found = (
-        pages.withColumn("nodes", html_nodes(F.col("html")))
-        .withColumn("patterns", select.fixed_patterns(archive=ARCHIVE_LINKS))
-        .withColumn("found", select.matches("patterns"))
-        .withColumn("links", F.expr(select.texts_of("archive")))
-    )
+    found = pages.withColumn("links", paths.path_texts(F.col("html"), ARCHIVE_LINKS))
     return found.select(
         "blog", "seq", "page_url", F.posexplode("links").alias("pos", "href")
     ).select(
