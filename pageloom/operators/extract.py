@@ -11,6 +11,7 @@ from pageloom.config import JobConfig
 from pageloom.functions import dates, markup, paths, text, urls
 from pageloom.profiles import PROFILES, SiteProfile, override
 from pageloom.session import staged
+from pageloom.sources.store import fetch_bodies
 
 
 def drop_unparsed(pages: DataFrame) -> DataFrame:
@@ -342,29 +343,26 @@ def extract_articles(
     )
 
 
-def blog_metadata(pages: DataFrame) -> DataFrame:
-    """One row per blog, from its root page or its first page with a title.
+def chosen_pages(pages: DataFrame) -> DataFrame:
+    """``(blog, seq)`` of the page that speaks for each blog, from narrow rows.
 
-    A blog without a titled page takes language and description from the last
-    page that can be read, and one without any such page still has its prefix.
-    The page is chosen on narrow columns; only chosen pages reach Python.
-    ``pages(blog, seq, url, html)``.
+    ``pages(blog, seq, url, readable, titled)``: the root page if it has a title,
+    else the first page with one, else the last readable page, else null.
     """
     is_root = F.trim(F.col("url"), F.lit("/")) == F.trim(F.col("blog"), F.lit("/"))
-    readable = text.is_parseable(F.col("html"))
-    titled = readable & (text.title_tag(F.col("html")) != "")
-    chosen = pages.groupBy("blog").agg(
+    return pages.groupBy("blog").agg(
         F.coalesce(
-            F.min(F.when(titled & is_root, F.col("seq"))),
-            F.min(F.when(titled, F.col("seq"))),
-            F.max(F.when(readable, F.col("seq"))),
+            F.min(F.when(F.col("titled") & is_root, F.col("seq"))),
+            F.min(F.when(F.col("titled"), F.col("seq"))),
+            F.max(F.when(F.col("readable"), F.col("seq"))),
         ).alias("seq")
     )
-    bodies = drop_unparsed(pages).select("blog", "seq", "url", "html")
-    picked = (
-        chosen.join(bodies, ["blog", "seq"], "left")
-        .dropDuplicates(["blog"])
-        .withColumns({"url": F.coalesce("url", "blog"), "html": F.coalesce("html", F.lit(""))})
+
+
+def page_metadata(picked: DataFrame) -> DataFrame:
+    """Metadata rows of ``picked(blog, url, html)``, one per blog; url and html may be null."""
+    picked = picked.withColumns(
+        {"url": F.coalesce("url", "blog"), "html": F.coalesce("html", F.lit(""))}
     )
     return (
         picked.withColumn("profile", urls.profile_of(F.col("url")))
@@ -385,3 +383,42 @@ def blog_metadata(pages: DataFrame) -> DataFrame:
             urls.file_prefix(F.col("blog")).alias("file_prefix"),
         )
     )
+
+
+def blog_metadata(pages: DataFrame) -> DataFrame:
+    """One row per blog, from its root page or its first page with a title.
+
+    A blog without a titled page takes language and description from the last
+    page that can be read, and one without any such page still has its prefix.
+    ``pages(blog, seq, url, html)``. The page is chosen on narrow columns, and the
+    choices are staged, so that Spark knows their size: below its threshold they are
+    broadcast to where the bodies lie. For a page store, whose bodies never move,
+    use :func:`store_metadata`.
+    """
+    readable = text.is_parseable(F.col("html"))
+    titled = readable & (text.title_tag(F.col("html")) != "")
+    narrow = pages.select("blog", "seq", "url", readable.alias("readable"), titled.alias("titled"))
+    chosen = staged(chosen_pages(narrow), "chosen-pages")
+    bodies = pages.join(chosen.filter("seq is not null"), ["blog", "seq"], "left_semi").filter(readable)
+    # Of pages that share a place, the first in order of URL and body counts.
+    found = bodies.groupBy("blog").agg(F.min(F.struct("url", "html")).alias("one")).select("blog", "one.*")
+    return page_metadata(chosen.select("blog").join(found, "blog", "left"))
+
+
+def store_metadata(store: DataFrame) -> DataFrame:
+    """:func:`blog_metadata` of an opened page store, in order of ``page_id``.
+
+    Pages are chosen without reading a body; chosen ones are fetched from their
+    buckets.
+    """
+    narrow = store.select("blog", F.col("page_id").alias("seq"), "url", "readable", "titled")
+    chosen = chosen_pages(narrow.filter("blog is not null"))
+    keys = store.filter("readable").select("blog", F.col("page_id").alias("seq"), "url", "url_md5")
+    wanted = staged(
+        chosen.join(keys, ["blog", "seq"], "left")
+        .groupBy("blog")
+        .agg(F.min(F.struct("url", "url_md5")).alias("one"))
+        .select("blog", "one.*"),
+        "chosen-pages",
+    )
+    return page_metadata(fetch_bodies(wanted, store, "left"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls
 from pageloom.operators.ranking import chunk_of, rank_by_seq, rank_within
+from pageloom.sources.store import fetch_bodies
 
 # Which sitemap entries are sitemaps, and which of those lead to
 # posts and pages rather than to taxonomies or users.
@@ -119,33 +120,13 @@ def skip_pages(inventory: DataFrame, skip: Column, seq: str = "seq") -> DataFram
     return ranked.filter(F.col("__n") > first).drop("__n")
 
 
-def stored_keys(store: DataFrame) -> DataFrame:
-    """One page id per URL hash; copies of a page collapse before any body moves."""
-    return store.groupBy("url_md5").agg(F.min("page_id").alias("page_id"))
-
-
-def fetch_bodies(keyed: DataFrame, store: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with ``url_md5`` and ``page_id`` and their stored body.
-
-    The one wide step of a run: each body is shuffled at most once, by the hash
-    of its URL and its id, which need not be unique in the store. A page asked
-    for very often makes one hot key on the narrow side, which adaptive execution
-    splits; few rows are broadcast instead.
-    """
-    key = ["url_md5", "page_id"]
-    return keyed.join(store.select(*key, "html").dropDuplicates(key), key, how)
-
-
 def lookup_pages(inventory: DataFrame, store: DataFrame) -> DataFrame:
     """Inventory with stored bodies, null where a page is missing.
 
-    Keys are matched on narrow columns before any body is touched. A store
-    without ``page_id``, as a page cache is, is told apart by its bodies' hashes.
+    ``store`` is an opened page store, ``inventory`` best staged (see
+    ``store.fetch_bodies``); bodies are neither shuffled nor sorted.
     """
-    if "page_id" not in store.columns:
-        found = lookup_pages(inventory, store.withColumn("page_id", F.xxhash64("html")))
-        return found.drop("page_id")
-    return fetch_bodies(inventory.join(stored_keys(store), "url_md5", "left"), store, "left")
+    return fetch_bodies(inventory, store, "left")
 
 
 def frontier(inventory: DataFrame, store: DataFrame) -> DataFrame:

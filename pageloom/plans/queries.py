@@ -24,6 +24,7 @@ from pageloom.session import prepare_session, scratch_path, staged
 from pageloom.sources import images as image_source
 from pageloom.sources import pages as page_source
 from pageloom.sources import sitemaps
+from pageloom.sources import store as page_store
 from pageloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,7 +263,7 @@ def s8(spark, sf_dir):
 def k1(spark, sf_dir):
     folder = scratch_path(spark, "articles")
     sinks.write_articles(extract.extract_articles(blog_pages(spark, sf_dir), CFG), folder)
-    rows = spark.read.parquet(folder)
+    rows = sinks.read_table(spark, folder)
     return rows.select("blog", "seq", "url", "title", F.md5("content").alias("content_md5"))
 
 
@@ -334,13 +335,13 @@ def k2(spark, sf_dir):
         folder,
     )
     counts = (
-        spark.read.parquet(f"{folder}/chapters").groupBy("blog").agg(F.count("*").alias("n_chapters"))
+        sinks.read_table(spark, f"{folder}/chapters").groupBy("blog").agg(F.count("*").alias("n_chapters"))
     )
     n_images = (
-        spark.read.parquet(f"{folder}/images").groupBy("blog").agg(F.count("*").alias("n_images"))
+        sinks.read_table(spark, f"{folder}/images").groupBy("blog").agg(F.count("*").alias("n_images"))
     )
     return (
-        spark.read.parquet(f"{folder}/books")
+        sinks.read_table(spark, f"{folder}/books")
         .join(counts, "blog")
         .join(n_images, "blog")
         .select("blog", "title", "file_name", "n_articles", "n_chapters", "n_images")
@@ -357,7 +358,7 @@ def k3(spark, sf_dir):
     folder = scratch_path(spark, "chapters-text")
     sinks.write_chapters_text(books.build_chapters(_post_articles(spark, sf_dir), CFG), folder)
     parts = F.split("value", "\t")
-    return spark.read.text(folder).select(
+    return sinks.read_text(spark, folder).select(
         parts[0].alias("blog"), parts[1].alias("href"), F.md5(parts[2]).alias("text_md5")
     )
 
@@ -549,7 +550,9 @@ def e10_posts(spark, sf_dir):
 )
 def e11(spark, sf_dir):
     """Every blog; those of some hosts have no title on any page."""
-    meta = extract.blog_metadata(_partly_titled(spark, sf_dir))
+    pages = _partly_titled(spark, sf_dir).withColumnRenamed("seq", "page_id")
+    store = page_store.write_store(pages, scratch_path(spark, "page-store"))
+    meta = extract.store_metadata(store)
     return meta.select(
         "blog",
         "title",
@@ -709,6 +712,14 @@ def _page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.build_inventory(top, entries)
 
 
+def _stored(spark: SparkSession, sf_dir: str, missing: int | None = None) -> DataFrame:
+    """A page store of all pages, or without every ``missing``-th as the frontier."""
+    pages = page_source.read_pages(spark, f"{sf_dir}/pages.parquet")
+    if missing is not None:
+        pages = pages.filter(F.col("page_id") % missing != 0)
+    return page_store.write_store(pages, scratch_path(spark, "page-store"))
+
+
 def _known_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.pages(spark, sf_dir).select(
         urls.blog_of(F.col("url")).alias("blog"),
@@ -724,10 +735,7 @@ def _known_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN page_id % 5 = 0 THEN '' ELSE md5(html) END AS html_md5 FROM pages""",
 )
 def j1(spark, sf_dir):
-    store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet").filter(
-        F.col("page_id") % 5 != 0
-    )
-    found = inventory.lookup_pages(_known_inventory(spark, sf_dir), store)
+    found = inventory.lookup_pages(_known_inventory(spark, sf_dir), _stored(spark, sf_dir, missing=5))
     return found.select("blog", "seq", "url", blank(F.md5("html")).alias("html_md5"))
 
 
@@ -742,15 +750,14 @@ def j1_from_cache(spark, sf_dir):
     stored = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet").filter(F.col("page_id") % 5 != 0)
     page_source.write_html_shards(stored, folder)
     cache = page_source.scan_html_shards(spark, folder)
-    found = inventory.lookup_pages(_known_inventory(spark, sf_dir), cache)
+    store = page_store.write_store(cache, scratch_path(spark, "page-store"))
+    found = inventory.lookup_pages(_known_inventory(spark, sf_dir), store)
     return found.select("blog", "seq", "url", blank(F.md5("html")).alias("html_md5"))
 
 
 @query("j2_frontier", f"SELECT {q.BLOG} AS blog, url FROM pages WHERE page_id % 5 = 0")
 def j2(spark, sf_dir):
-    store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet").filter(
-        F.col("page_id") % 5 != 0
-    )
+    store = _stored(spark, sf_dir, missing=5)
     return inventory.frontier(_known_inventory(spark, sf_dir), store).select("blog", "url")
 
 
@@ -1910,7 +1917,7 @@ def v4_posts(spark, sf_dir):
 def book_run(spark, sf_dir):
     """Sitemaps to chapters: inventory, skip 1, lookup, limit 5, extraction."""
     pages = staged(inventory.number_inventory(_page_inventory(spark, sf_dir)), "inventory")
-    store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    store = _stored(spark, sf_dir)
     cfg = JobConfig(skip="1", limit="5")
     plan = staged(run.chapter_plan(pages, store, cfg), "chapter-plan")
     made = run.chapter_rows(plan, store, cfg)
@@ -1928,7 +1935,7 @@ def _written_run(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     pages = post_pages(spark, sf_dir)
     articles = extract.extract_articles(pages, CFG)
     run.write_run(articles, extract.blog_metadata(pages), CFG, folder)
-    return spark.read.parquet(f"{folder}/{table}").drop("blog_bucket")
+    return sinks.read_table(spark, f"{folder}/{table}")
 
 
 @query(
@@ -1989,7 +1996,7 @@ def run_tags(spark, sf_dir):
 def run_own_limits(spark, sf_dir):
     """A run in which every blog has its own skip and limit, as typed."""
     pages = staged(inventory.number_inventory(_page_inventory(spark, sf_dir)), "inventory")
-    store = page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    store = _stored(spark, sf_dir)
     size = F.length("blog")
     seeds = pages.select("blog").distinct().select(
         "blog",

@@ -12,28 +12,10 @@ from pyspark.sql import functions as F
 
 from pageloom import sinks
 from pageloom.config import JobConfig
-from pageloom.functions import markup, text, urls
-from pageloom.operators import books, comments, extract, images, inventory
+from pageloom.functions import markup, urls
+from pageloom.operators import books, comments, extract, images
 from pageloom.session import staged
-
-# Images of one article that keep distinct positions in their blog.
-IMAGE_BITS = 16
-
-
-def readable_keys(store: DataFrame) -> DataFrame:
-    """URL hash and page id of stored pages that parse.
-
-    The check runs in the scan, so no body leaves it. As one hash stands for
-    one cached page, the copy with the smallest id decides.
-    """
-    return (
-        store.select("url_md5", "page_id", text.is_parseable(F.col("html")).alias("readable"))
-        .groupBy("url_md5")
-        .agg(F.min("page_id").alias("page_id"), F.min_by("readable", "page_id").alias("readable"))
-        .filter("readable")
-        .drop("readable")
-    )
-
+from pageloom.sources.store import fetch_bodies
 
 def blog_settings(seeds: DataFrame) -> DataFrame:
     """``(blog, first, most)`` of each blog's typed skip and limit.
@@ -58,7 +40,8 @@ def chapter_plan(
 ) -> DataFrame:
     """``blog, seq, url, url_md5, page_id`` of every chapter with its number and places.
 
-    ``pages(blog, seq, url, url_md5)`` is the numbered inventory. Pages that are
+    ``pages(blog, seq, url, url_md5)`` is the numbered inventory, ``store`` an opened
+    page store. Pages that are
     missing or unreadable never count towards the limit (W1, F5, W2, W3, W4).
     ``seeds`` gives blogs a skip and a limit of their own, in place of those of
     the job. ``blogs`` adds each blog's title and language while rows are still
@@ -75,8 +58,9 @@ def chapter_plan(
         limit = F.when(F.col("seeded"), F.col("most")).otherwise(most)
         wanted = wanted.join(own, "blog", "left").withColumns({"first": pick, "most": limit}).drop("seeded")
     wanted = wanted.filter(F.col("seq") > F.coalesce("first", F.lit(0))).drop("first")
-    # Written once: ranking reads these rows twice, the store's bodies once.
-    found = staged(wanted.join(readable_keys(store), "url_md5"), "readable")
+    # Written once: ranking reads these rows twice. No body is read for them.
+    readable = store.filter("readable").select("url_md5", "page_id")
+    found = staged(wanted.join(readable, "url_md5"), "readable")
     limit = F.greatest("most", F.lit(1))  # checked after a page has been read
     numbered = books.number_chapters(found)
     kept = numbered.filter(F.col("most").isNull() | (F.col("number") <= limit)).withColumn(
@@ -89,7 +73,7 @@ def chapter_plan(
 def chapter_rows(plan: DataFrame, store: DataFrame, cfg: JobConfig) -> DataFrame:
     """Article and chapter columns of a (staged) chapter plan."""
     places = ("number", "uid", "href", "toc_pos", "spine_pos")
-    pages = inventory.fetch_bodies(plan, store).withColumn("place", F.struct(*places))
+    pages = fetch_bodies(plan, store).withColumn("place", F.struct(*places))
     articles = extract.extract_articles(pages, cfg, keep=("place",))
     return articles.withColumn(
         "xhtml",
@@ -108,9 +92,8 @@ def book_rows(chapters: DataFrame, blogs: DataFrame) -> DataFrame:
 
 
 def image_rows(articles: DataFrame) -> DataFrame:
-    """Images of extracted articles with a position that is unique in the blog."""
-    place = F.shiftleft(F.col("seq"), IMAGE_BITS) + F.col("pos")
-    return images.article_images(articles).withColumn("pos", place)
+    """Images of extracted articles; ``pos`` is the article's and the image's place in it."""
+    return images.article_images(articles).withColumn("pos", F.struct("seq", "pos"))
 
 
 def header_rows(pages: DataFrame) -> DataFrame:

@@ -28,6 +28,16 @@ IMAGE = _table(
 
 PAGES = _table(page_id=LONG, url=STRING, html=STRING)
 
+PAGE_STORE = _table(
+    url_md5=STRING,
+    page_id=LONG,
+    blog=STRING,
+    url=STRING,
+    readable=BOOL,
+    titled=BOOL,
+    html=STRING,
+)
+
 SEEDS = _table(url=STRING, limit=STRING, skip=STRING)
 
 PAGE_INVENTORY = _table(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import paths, urls
-from pageloom.operators.inventory import fetch_bodies, stored_keys
 from pageloom.profiles import ARCHIVE_LINKS
+from pageloom.session import staged
+from pageloom.sources.store import fetch_bodies
 
 
 def sitemap_url(body: Column, blog: Column) -> Column:
@@ -88,16 +89,15 @@ def archive_index_pages(roots: DataFrame, store: DataFrame) -> DataFrame:
     """Stored pages that root pages refresh to: ``blog, seq, page_url, html``.
 
     For blogs without a sitemap. ``roots(blog, html)`` are root pages,
-    ``store(page_id, url_md5, html)`` the page store. Root pages give up their
-    body before the join; a blog whose root names no target has no row.
+    ``store`` an opened page store. Root pages give up their body before the
+    join; a blog whose root names no target has no row.
     """
     targets = (
         roots.select("blog", meta_refresh_url(F.col("html"), F.col("blog")).alias("page_url"))
         .filter(F.col("page_url").isNotNull())
         .withColumn("url_md5", urls.url_md5(F.col("page_url")))
     )
-    keyed = targets.join(stored_keys(store), "url_md5")
-    return fetch_bodies(keyed, store).select(
+    return fetch_bodies(staged(targets, "archive-targets"), store).select(
         "blog", F.lit(0).cast("bigint").alias("seq"), "page_url", "html"
     )
 

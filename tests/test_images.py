@@ -1,3 +1,4 @@
+import re
 import struct
 import zlib
 
@@ -54,17 +55,6 @@ def test_mime_by_leading_bytes(spark):
     assert {r.h: r.m for r in rows} == given
 
 
-def test_ignore_rules_give_the_same_in_one_and_many_passes(spark):
-    df = spark.createDataFrame([(f"https://s{i}.com/x.gif",) for i in range(30)], "url string")
-    rules = spark.createDataFrame([(rf"https://s{i}\.com",) for i in range(0, 30, 2)], "pattern string")
-    one = images.drop_ignored_by_table(df, rules)
-    many = images.drop_ignored_by_table(df, rules, max_chars=60)
-    plain = images.drop_ignored(df, [r.pattern for r in rules.collect()])
-    want = sorted(f"https://s{i}.com/x.gif" for i in range(1, 30, 2))
-    for got in (one, many, plain):
-        assert sorted(r.url for r in got.collect()) == want
-
-
 def test_cover_slots_cycle_when_there_are_few(spark):
     df = spark.createDataFrame(
         [("few", f"h{i}") for i in range(3)] + [("many", f"h{i}") for i in range(500)],
@@ -89,3 +79,72 @@ def test_manifest_numbers_count_repeats(spark):
         ("b", "img3", "images/y.jpg"),
         ("c", "img1", "images/x.jpg"),
     ]
+
+
+RULES = [
+    r"https:\/\/ads\.example\.com\/.*",
+    r"https://cdn.example.org/banner[0-9]+\.gif",
+    r"[http|https]+:\/\/zblogowani.pl[^\s]+",
+    r"https?://([a-z]+)\.\1\.net/",
+    r"(x)(y)z\2",
+    r"(https://)img\.net/",
+    r"https://exact\.example/a*b",
+    r"https://one.example/|https://two.example/",
+    r"https://plus.example/abc+",
+    None,
+]
+LINKS = [
+    "https://ads.example.com/1.gif", "https://adsxexample.com/1.gif", "https://cdn.example.org/banner7.gif",
+    "https://cdn.example.org/bannerx.gif", "http://zblogowani.pl/x", "https://foo.foo.net/", "https://foo.bar.net/",
+    "xyzy", "xyzx", "https://img.net/q", "https://exact.example/b", "https://exact.example/aab", "https://exact.example/c",
+    "https://one.example/", "https://two.example/x", "https://three.example/", "https://plus.example/abccc",
+    "https://plus.example/ab", None, "", "short", "see https://ads.example.com/1.gif",
+]
+
+
+def plain_kept(links, rules):
+    """Null URLs stay; a rule that holds must match at the start."""
+    return sorted(map(str, (u for u in links if u is None or not any(r and re.match(r, u) for r in rules))))
+
+
+def test_rules_of_a_table_equal_a_plain_loop(spark):
+    rules = spark.createDataFrame([(r,) for r in RULES * 2], "pattern string")
+    links = spark.createDataFrame([(u, k) for k, u in enumerate(LINKS + LINKS[:3])], "url string, n int")
+    got = images.drop_ignored_by_table(links, rules)
+    assert got.columns == ["url", "n"]
+    assert sorted(str(r.url) for r in got.collect()) == plain_kept(LINKS + LINKS[:3], RULES)
+    known = [r for r in RULES if r]
+    assert sorted(str(r.url) for r in images.drop_ignored(links, known).collect()) == plain_kept(
+        LINKS + LINKS[:3], RULES
+    )
+    few = images.ignored_urls(links, rules, pass_chars=30)
+    assert few.count() == len({u for u in LINKS if u is not None}) - len(set(plain_kept(LINKS, RULES)) - {"None"})
+    none = spark.createDataFrame([], "pattern string")
+    assert images.drop_ignored_by_table(links, none).count() == len(LINKS) + 3
+
+
+def test_anchors_of_rules(spark):
+    rules = spark.createDataFrame([(r,) for r in RULES], "pattern string")
+    got = {r.pattern: r.anchor for r in images.anchored_rules(rules).collect()}
+    assert got[RULES[0]] == "https://ads.example.com/"
+    assert got[RULES[6]] == "https://exact.exam"
+    assert [got[r] for r in (RULES[2], RULES[3], RULES[4], RULES[5], RULES[7])] == [None] * 5
+    assert None not in got
+
+
+def test_hundred_thousand_rules(spark):
+    rules = spark.range(100_000).select(
+        F.concat(F.lit(r"https:\/\/host"), F.col("id").cast("string"), F.lit(r"\.example\.com\/[a-z]+\.gif")).alias("pattern")
+    )
+    links = spark.range(60_000).select(
+        F.concat(F.lit("https://host"), (F.col("id") * 2).cast("string"), F.lit(".example.com/x.gif")).alias("url")
+    )
+    assert images.drop_ignored_by_table(links, rules).count() == 10_000
+
+
+def test_many_images_of_an_article_keep_their_order(spark):
+    far = [("b", 1, k, f"h{k}") for k in (0, 1, 65_536, 65_537)] + [("b", 2, 0, "h9"), ("b", 2, 1, "h1")]
+    rows = spark.createDataFrame(far, "blog string, seq long, pos long, hash string")
+    rows = rows.withColumn("pos", F.struct("seq", "pos")).withColumn("resized_fn", F.col("hash"))
+    got = {r.hash: r.uid for r in images.manifest_images(rows).collect()}
+    assert got == {"h0": "img1", "h1": "img2", "h65536": "img3", "h65537": "img4", "h9": "img5"}

@@ -11,7 +11,9 @@ from pageloom.config import JobConfig
 from pageloom.functions.urls import blog_of
 from pageloom.operators import books, comments, extract, history
 from pageloom.plans import run
+from pageloom.session import staged
 from pageloom.sources import pages
+from pageloom.sources.store import write_store
 
 
 def test_html_cache(spark, tmp_path):
@@ -54,19 +56,19 @@ def stored(spark, n=40):
 def test_sinks_round_trip(spark, tmp_path):
     articles = extract.extract_articles(pages.blog_pages(stored(spark)), JobConfig())
     sinks.write_articles(articles, f"{tmp_path}/articles")
-    back = spark.read.parquet(f"{tmp_path}/articles")
+    back = sinks.read_table(spark, f"{tmp_path}/articles")
     n = articles.count()
     assert back.count() == n
     one = sinks.read_blog(spark, f"{tmp_path}/articles", "https://hot.example.com")
     assert one.count() == back.filter("blog = 'https://hot.example.com'").count() > 0
-    chapters = books.build_chapters(back.drop("blog_bucket"), JobConfig())
+    chapters = books.build_chapters(back, JobConfig())
     sinks.write_chapters_text(chapters, f"{tmp_path}/text")
-    lines = [r.value for r in spark.read.text(f"{tmp_path}/text").collect()]
+    lines = [r.value for r in sinks.read_text(spark, f"{tmp_path}/text").collect()]
     assert len(lines) == n
     assert all(len(line.split("\t")) == 3 for line in lines)
 
 
-def test_whole_run(spark):
+def test_whole_run(spark, tmp_path):
     cfg = JobConfig(skip="1", limit="4")
     table = stored(spark, 60).withColumn("url_md5", F.md5("url"))
     inventory = table.select(
@@ -78,8 +80,9 @@ def test_whole_run(spark):
     metadata = inventory.select("blog").distinct().withColumns(
         {"title": F.lit("Meta"), "language": F.lit("pl")}
     )
-    plan = run.chapter_plan(numbered, table, cfg, metadata)
-    made = run.chapter_rows(plan, table, cfg)
+    store = write_store(table, f"{tmp_path}/store", 8)
+    plan = staged(run.chapter_plan(numbered, store, cfg, metadata), "plan")
+    made = run.chapter_rows(plan, store, cfg)
     expected = []
     by_blog = {}
     for r in sorted(table.collect(), key=lambda r: r.page_id):
