@@ -253,6 +253,54 @@ def s8(spark, sf_dir):
     return page_source.normalize_seeds(seeds).select("blog", big("port"))
 
 
+_IMAGE_KINDS = "png,gif,bmp,jpeg,webp,heic,png,jpeg,none"
+
+
+@query(
+    "s9_scan_images",
+    f"""SELECT md5(doc_id::VARCHAR) AS hash,
+      CASE WHEN k < 6 THEN w END AS w, CASE WHEN k < 6 THEN h END AS h,
+      'image/' || split_part('{_IMAGE_KINDS}', ',', k + 1) AS mime
+    FROM (SELECT doc_id, (doc_id % 9)::INTEGER AS k, (doc_id * 37 % 9000 + 1)::INTEGER AS w,
+      (doc_id * 11 % 7000 + 1)::INTEGER AS h FROM documents) WHERE k < 8""",
+)
+def s9(spark, sf_dir):
+    """Headers of six types with sizes made of each id; a cut, a broken and a foreign file."""
+    wide = {n: F.lpad(F.hex(n), 8, "0") for n in ("w", "h")}
+    short = {n: F.right(c, F.lit(4)) for n, c in wide.items()}
+
+    def little(c: Column, size: int) -> Column:
+        return F.concat(*(F.substring(c, 2 * k + 1, 2) for k in reversed(range(size))))
+
+    less = {n: F.right(F.lpad(F.hex(F.col(n) - 1), 8, "0"), F.lit(6)) for n in ("w", "h")}
+    png = ("89504E470D0A1A0A0000000D49484452", wide["w"], wide["h"], "0802000000")
+    kinds = (
+        png,
+        ("474946383961", little(short["w"], 2), little(short["h"], 2), "F70000"),
+        ("424D00000000000000003600000028000000", little(wide["w"], 4), little(wide["h"], 4), "01001800"),
+        # An application segment and a comment stand before the frame.
+        ("FFD8FFE000064A464946FFFE0004AAAAFFFFC2001108", short["h"], short["w"], "03011100FFD9"),
+        ("524946460000000057454250565038580A00000000000000", little(less["w"], 3), little(less["h"], 3)),
+        ("0000001866747970686569630000000068656963", "6D696631", "000000406D65746100000000",
+         "000000346970727000", "00002C6970636F", "0000001469737065", "00000000", "0000000100000001",
+         "0000001469737065", "00000000", wide["w"], wide["h"]),
+        (*png[:2], "0000"),
+        ("FFD8FFE000064A464946FFDA0002", short["h"]),
+        ("3C68746D6C3E", short["h"]),
+    )
+    parts = [F.concat(*(F.lit(p) if isinstance(p, str) else p for p in kind)) for kind in kinds]
+    sizes = fx.documents(spark, sf_dir).select(
+        "doc_id",
+        (F.col("doc_id") * 37 % 9000 + 1).cast("int").alias("w"),
+        (F.col("doc_id") * 11 % 7000 + 1).cast("int").alias("h"),
+    )
+    files = sizes.select(
+        F.concat(F.lit("/images/"), F.md5(F.col("doc_id").cast("string")), F.lit("_600.img")).alias("path"),
+        F.unhex(F.array(*parts)[(F.col("doc_id") % 9).cast("int")]).alias("content"),
+    )
+    return image_source.sized_images(files).select("hash", "w", "h", "mime")
+
+
 # --- sinks ----------------------------------------------------------------
 
 

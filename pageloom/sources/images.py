@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.imagesize import image_size
+
 # Leading bytes (hex) of image file types.
 IMAGE_MAGIC = (
     ("^FFD8FF", "image/jpeg"),
@@ -15,6 +17,8 @@ IMAGE_MAGIC = (
     ("^.{8}66747970(68656963|68656978|6D696631|6D736631)", "image/heic"),
     ("^(49492A00|4D4D002A)", "image/tiff"),
 )
+#: Types that tell their size in the first 64 bytes.
+SHORT_HEADERS = ("image/png", "image/gif", "image/bmp", "image/webp")
 MIN_DIMS_SUM = 100
 MIN_COVER_SIDE = 100
 
@@ -44,42 +48,29 @@ def cover_candidates(df: DataFrame) -> DataFrame:
     return df.filter((F.col("w") >= MIN_COVER_SIDE) & (F.col("h") >= MIN_COVER_SIDE))
 
 
-def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, hash, w, h, mime`` of readable stored images.
+def sized_images(files: DataFrame) -> DataFrame:
+    """``path, hash, w, h, mime`` of the images among ``files(path, content)``.
 
-    Files Spark cannot decode but whose bytes name an image type stay, with
-    null sizes; all other files are dropped.
+    Sizes are read from header bytes: of most types the first ones are all that
+    leaves the JVM. An image whose header is cut or broken stays, with null sizes;
+    files of no known image type are dropped.
     """
-    sized = (
-        spark.read.format("image")
-        .option("dropInvalid", True)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(
-            F.col("image.origin").alias("path"),
-            F.col("image.width").alias("w"),
-            F.col("image.height").alias("h"),
-        )
-    )
-    typed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", image_mime(F.col("content")).alias("mime"))
-        .filter(F.col("mime").isNotNull())
-    )
-
-    def plain(c: str) -> Column:
-        return F.regexp_replace(c, r"^file:/*", "/")
-
+    typed = files.select("path", "content", image_mime(F.col("content")).alias("mime"))
+    head = F.when(F.col("mime").isin(*SHORT_HEADERS), F.substring("content", 1, 64)).otherwise(F.col("content"))
     return (
-        typed.withColumn("path", plain("path"))
-        .join(sized.withColumn("path", plain("path")), "path", "left")
+        typed.filter(F.col("mime").isNotNull())
+        .withColumn("size", image_size(F.col("mime"), head))
         .select(
             "path",
             F.regexp_extract("path", r"([0-9a-f]{32})[^/]*$", 1).alias("hash"),
-            "w",
-            "h",
+            "size.w",
+            "size.h",
             "mime",
         )
     )
+
+
+def scan_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, hash, w, h, mime`` of stored images; each file is read once."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return sized_images(files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content"))

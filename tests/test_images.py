@@ -2,8 +2,11 @@ import re
 import struct
 import zlib
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pageloom.functions.imagesize import header_size
 from pageloom.operators import images
 from pageloom.sources import images as stored
 
@@ -148,3 +151,75 @@ def test_many_images_of_an_article_keep_their_order(spark):
     rows = rows.withColumn("pos", F.struct("seq", "pos")).withColumn("resized_fn", F.col("hash"))
     got = {r.hash: r.uid for r in images.manifest_images(rows).collect()}
     assert got == {"h0": "img1", "h1": "img2", "h65536": "img3", "h65537": "img4", "h9": "img5"}
+
+
+def jpeg(w, h, padding=0):
+    exif = b"\xff\xe1" + struct.pack(">H", 2 + padding) + b"e" * padding
+    return b"\xff\xd8" + exif + b"\xff\xff\xc0" + struct.pack(">HBHHB", 17, 8, h, w, 3) + b"\x01\x11\x00" * 3
+
+
+def heic(*sizes):
+    def box(kind, body):
+        return struct.pack(">I", 8 + len(body)) + kind + body
+
+    extents = b"".join(box(b"ispe", b"\0" * 4 + struct.pack(">II", *s)) for s in sizes)
+    meta = box(b"meta", b"\0" * 4 + box(b"hdlr", b"x" * 20) + box(b"iprp", box(b"ipco", extents)))
+    return box(b"ftyp", b"heic\0\0\0\0mif1") + meta + box(b"mdat", b"p" * 50)
+
+
+def tiff(w, h, order="<"):
+    entries = b"".join(struct.pack(order + "HHII", *e) for e in ((254, 4, 1, 0), (256, 4, 1, w), (257, 4, 1, h)))
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, 3) + entries
+
+
+FILES = {
+    "image/png": [(png(20, 30), (20, 30)), (png(20, 30)[:20], None)],
+    "image/gif": [(b"GIF89a" + struct.pack("<HH", 3, 4), (3, 4)), (b"GIF89a\1", None), (b"GIF87a\0\0\0\0", None)],
+    "image/bmp": [
+        (b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 7, -9), (7, 9)),
+        (b"BM" + b"\0" * 12 + struct.pack("<IHH", 12, 7, 8), (7, 8)),
+        (b"BM", None),
+    ],
+    "image/jpeg": [
+        (jpeg(640, 480), (640, 480)),
+        (jpeg(640, 480, 60_000), (640, 480)),
+        (jpeg(640, 480, 60_000)[:50_000], None),
+        (b"\xff\xd8\xff\xda\0\2", None),
+        (b"\xff\xd8\xffrubbish", None),
+        (b"\xff\xd8" + b"\xff" * 40, None),
+        (b"\xff\xd8\xff\xe0\0\0" * 3, None),
+    ],
+    "image/webp": [
+        (b"RIFF....WEBPVP8X" + b"\0" * 8 + b"\x0f\0\0\x1f\0\0", (16, 32)),
+        (b"RIFF....WEBPVP8L" + b"\0" * 4 + b"\x2f" + struct.pack("<I", 99 | 49 << 14), (100, 50)),
+        (b"RIFF....WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + struct.pack("<HH", 5, 6), (5, 6)),
+        (b"RIFF....WEBPVP8 ", None),
+        (b"RIFF....WEBPVP8X" + b"\0" * 9, None),
+    ],
+    "image/heic": [(heic((64, 64), (4000, 3000)), (4000, 3000)), (heic(), None), (heic((1, 1))[:60], None)],
+    "image/tiff": [(tiff(10, 11), (10, 11)), (tiff(10, 11, ">"), (10, 11)), (tiff(1, 1)[:12], None)],
+}
+
+
+def test_sizes_from_headers():
+    for mime, files in FILES.items():
+        for data, size in files:
+            assert header_size(mime, data) == size, (mime, data[:40])
+    assert header_size(None, b"x") is header_size("image/png", None) is header_size("image/png", b"") is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(sorted(FILES)), st.integers(0, 2), st.integers(0, 400), st.binary(max_size=60))
+def test_damaged_headers_never_raise(mime, which, cut, noise):
+    data = FILES[mime][which % len(FILES[mime])][0]
+    for damaged in (data[:cut], data[:cut] + noise, noise):
+        size = header_size(mime, damaged)
+        assert size is None or all(s > 0 for s in size)
+
+
+def test_images_of_all_types_are_told_by_their_bytes(spark):
+    rows = [(f"/x/{k}", data, mime, size) for mime, files in FILES.items() for k, (data, size) in enumerate(files)]
+    df = spark.createDataFrame([(f"{m}{p}", bytearray(d)) for p, d, m, _ in rows], "path string, content binary")
+    df = df.unionByName(spark.createDataFrame([("none", None), ("empty", bytearray())], df.schema))
+    got = {r.path: (r.mime, (r.w, r.h)) for r in stored.sized_images(df).collect()}
+    assert got == {f"{m}{p}": (m, s or (None, None)) for p, d, m, s in rows if m != "image/heic" or d[4:12] == b"ftypheic"}
