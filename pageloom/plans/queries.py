@@ -25,7 +25,7 @@ from pageloom.sources import images as image_source
 from pageloom.sources import pages as page_source
 from pageloom.sources import sitemaps
 from pageloom.sources import store as page_store
-from pageloom.streaming import incremental
+from pageloom.streaming import incremental, keyed, seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -298,7 +298,7 @@ def s9(spark, sf_dir):
         F.concat(F.lit("/images/"), F.md5(F.col("doc_id").cast("string")), F.lit("_600.img")).alias("path"),
         F.unhex(F.array(*parts)[(F.col("doc_id") % 9).cast("int")]).alias("content"),
     )
-    return image_source.sized_images(files).select("hash", "w", "h", "mime")
+    return image_source.sized_images(staged(files, "image-files")).select("hash", "w", "h", "mime")
 
 
 # --- sinks ----------------------------------------------------------------
@@ -1745,20 +1745,29 @@ def d5(spark, sf_dir):
     f"WITH {q.PAGES} SELECT blog, page_id AS seq, title, md5(content) AS content_md5 FROM pt",
 )
 def t1(spark, sf_dir):
+    """Articles of pages that arrive in three parts."""
     out, checkpoint = incremental.new_run(spark, "stream-articles")
-    pages = incremental.stream_pages(spark, sf_dir, "pages.parquet")
-    incremental.run_append(incremental.stream_articles(pages, CFG), out, checkpoint)
+
+    def process(folder: str) -> None:
+        pages = incremental.stream_pages(spark, folder)
+        incremental.run_append(incremental.stream_articles(pages, CFG), out, checkpoint)
+
+    _arriving(spark, sf_dir, "pages", "page_id", process)
     return spark.read.parquet(out).select("blog", "seq", "title", F.md5("content").alias("content_md5"))
 
 
 @query("t2_stream_dedupe", "SELECT DISTINCT md5(url) AS url_md5 FROM pages")
 def t2(spark, sf_dir):
-    """Every page arrives twice and passes once."""
+    """Pages arrive in three parts, twice in each and again in the part after; each passes once."""
     out, checkpoint = incremental.new_run(spark, "stream-dedupe")
-    pages = incremental.stream_pages(spark, sf_dir, "pages.parquet").drop("html")
-    twice = pages.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    incremental.run_append(incremental.stream_dedupe(twice).select("url_md5"), out, checkpoint)
-    return spark.read.parquet(out)
+
+    def process(folder: str) -> None:
+        pages = incremental.stream_pages(spark, folder).drop("html")
+        twice = pages.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+        incremental.run_dedupe(twice, out, checkpoint)
+
+    _arriving(spark, sf_dir, "pages", "page_id", process, again=True)
+    return seen.published_rows(spark, out).select("url_md5")
 
 
 @query(
@@ -1775,19 +1784,28 @@ def t3(spark, sf_dir):
         incremental.run_limit(pages, "3", out, checkpoint, CFG)
 
     _arriving(spark, sf_dir, "pages", "page_id", process)
-    return spark.read.parquet(f"{out}/articles").select("blog", "seq", "title")
+    return incremental.read_limit(spark, out, "articles").select("blog", "seq", "title")
 
 
 def _arriving(
-    spark: SparkSession, sf_dir: str, name: str, order: str, process: Callable[[str], None]
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    order: str,
+    process: Callable[[str], None],
+    again: bool = False,
 ) -> None:
-    """A table that arrives in three parts by an id; a stream goes on after each."""
+    """A table that arrives in three parts by an id; a stream goes on after each.
+
+    With ``again`` the rows of the part before arrive once more.
+    """
     folder = scratch_path(spark, f"arriving-{name}")
     whole = fx.table(spark, sf_dir, name)
     low, high = whole.agg(F.min(order), F.max(order)).first()
     for k in range(3):
         place = (F.col(order) - low) * 3
-        part = whole.filter((place >= k * (high - low + 1)) & (place < (k + 1) * (high - low + 1)))
+        first = (k - 1 if again else k) * (high - low + 1)
+        part = whole.filter((place >= first) & (place < (k + 1) * (high - low + 1)))
         part.write.mode("append").parquet(folder)
         process(folder)
 
@@ -1805,10 +1823,10 @@ def t4(spark, sf_dir):
 
     def process(folder: str) -> None:
         posts = fx.post_keys(spark.readStream.schema(schema).parquet(folder))
-        incremental.run_latest(incremental.stream_tag_counts(posts), out, checkpoint)
+        incremental.run_latest(incremental.stream_tag_counts(posts), out, checkpoint, ["blog", "tag"])
 
     _arriving(spark, sf_dir, "documents", "doc_id", process)
-    return incremental.read_latest(spark, out, ["blog", "tag"])
+    return keyed.read_latest(spark, out, ["blog", "tag"])
 
 
 @query(
@@ -1826,10 +1844,10 @@ def t5(spark, sf_dir):
             F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("blog"),
             F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp")).alias("date"),
         )
-        incremental.run_latest(incremental.stream_span(dated), out, checkpoint)
+        incremental.run_latest(incremental.stream_span(dated), out, checkpoint, ["blog"])
 
     _arriving(spark, sf_dir, "events", "event_id", process)
-    span = incremental.read_latest(spark, out, ["blog"])
+    span = keyed.read_latest(spark, out, ["blog"])
     return span.withColumn("start", stamp("start")).withColumn("end", stamp("end"))
 
 

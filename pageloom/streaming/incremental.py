@@ -3,7 +3,8 @@
 Every stream reads new page files, keeps its progress in a checkpoint folder
 and stops when it has caught up. Results are Parquet tables; nothing is
 gathered on the driver. A batch that is repeated after a failure overwrites its
-own output, so results do not depend on retries.
+own output, so results do not depend on retries. Tables that a batch changes are
+published at once (``keyed``, ``seen``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pageloom.functions import text, urls
 from pageloom.operators.extract import extract_articles
 from pageloom.operators.ranking import rank_by_seq
 from pageloom.session import scratch_path, staged
+from pageloom.streaming import keyed, seen
 
 
 def stream_pages(
@@ -45,8 +47,10 @@ def stream_articles(pages: DataFrame, cfg: JobConfig) -> DataFrame:
 def stream_dedupe(pages: DataFrame, event_time: str | None = None, delay: str = "7 days") -> DataFrame:
     """First arrival of every page.
 
-    With an event time the seen-set is bounded by the watermark; without one
-    the stream must remember every page hash.
+    With an event time the seen-set is bounded by the watermark. Without one the
+    stream's state would be a row a page for ever: use :func:`run_dedupe`, which
+    asks a Bloom filter and the published rows instead; this form is for short
+    streams.
     """
     if event_time is None:
         return pages.dropDuplicates(["url_md5"])
@@ -96,32 +100,25 @@ def _run_batches(
     query.awaitTermination()
 
 
-def run_latest(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Run a running aggregate; each batch writes the rows it changed.
+def run_latest(df: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> None:
+    """Run a running aggregate into a keyed table at ``out``.
 
-    Rows lie below ``out/rows/batch=<id>``; when they are complete, a one-row
-    table below ``out/done`` publishes the batch. What is stored grows with the
-    changes, not with the result times the batches. ``read_latest`` merges.
+    Each batch writes the rows it changed and publishes them; see ``keyed`` for how
+    they are merged. ``read_latest`` gives the newest row of each key.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        mark = batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("id"))
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+        keyed.write_changes(batch, out, keys, batch_id)
 
     _run_batches(df, handle, checkpoint, "update")
 
 
-def read_latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row of each key among published batches.
+def run_dedupe(pages: DataFrame, out: str, checkpoint: str) -> None:
+    """First arrival of every page, exact and without an event time.
 
-    Batch numbers, one row each, are broadcast.
+    Published rows are read with ``seen.published_rows``.
     """
-    done = spark.read.parquet(f"{out}/done").select(F.col("id").alias("batch"))
-    rows = spark.read.parquet(f"{out}/rows").join(F.broadcast(done), "batch", "left_semi")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*rest), "batch").alias("newest")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+    _run_batches(pages, lambda batch, batch_id: seen.add_batch(batch, out, batch_id), checkpoint, "append")
 
 
 def run_limit(
@@ -129,49 +126,55 @@ def run_limit(
 ) -> None:
     """First ``limit`` parseable pages of every blog over all batches.
 
-    With ``cfg`` their articles are extracted too, from the same batch, and
-    written below ``out/articles``; other pages never reach Python. The state is
-    a small table of pages kept per blog and batch. Inside a batch
-    rows are numbered by chunks, so a blog with most of the pages is not one
-    task's work; earlier batches only shift its numbers. A repeated batch
-    ignores its own earlier output and writes the same rows again.
+    With ``cfg`` their articles are extracted too, from the same batch; other pages
+    never reach Python. The state is a keyed table of pages kept per blog, one row a
+    blog. Inside a batch rows are numbered by chunks, so a blog with most of the
+    pages is not one task's work; earlier batches only shift its numbers. The
+    state's pointer publishes a batch's rows and articles too: ``read_limit`` never
+    sees part of a batch, and a repeated batch writes the same rows again.
     """
     spark = pages.sparkSession
-    rows_path, state_path = f"{out}/rows", f"{out}/state"
+    state_path = f"{out}/state"
     n = F.greatest(urls.parse_limit(F.lit(limit)), F.lit(1))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        last = keyed.last_batch(spark, state_path)
+        if batch_id <= last:
+            return
         narrow = batch.filter(text.is_parseable(F.col("html"))).select(
             "blog", "seq", "url", "url_md5"
         )
         numbered = rank_by_seq(staged(narrow, "batch"), "blog", "seq", "number")
-        if batch_id > 0:
-            kept = (
-                spark.read.parquet(state_path)
-                .filter(F.col("batch") < batch_id)
-                .groupBy("blog")
-                .agg(F.sum("n").alias("before"))
-            )
-            numbered = numbered.join(kept, "blog", "left").withColumn(
-                "number", F.col("number") + F.coalesce("before", F.lit(0))
-            ).drop("before")
+        before = spark.createDataFrame([], "blog string, n bigint")
+        if last >= 0:
+            before = keyed.read_latest(spark, state_path, ["blog"])
+        numbered = numbered.join(before.withColumnRenamed("n", "before"), "blog", "left").withColumn(
+            "number", F.col("number") + F.coalesce("before", F.lit(0))
+        )
         if limit.isdigit():
             numbered = numbered.filter(F.col("number") <= n)
-        target = f"{rows_path}/batch={batch_id}"
+        target = f"{out}/rows/batch={batch_id}"
         numbered.write.mode("overwrite").parquet(target)
+        kept = spark.read.schema(numbered.schema).parquet(target)
         if cfg is not None:
-            kept = spark.read.parquet(target).select("blog", "seq", "url_md5")
-            wanted = batch.join(kept, ["blog", "seq", "url_md5"], "left_semi")
+            wanted = batch.join(kept.select("blog", "seq", "url_md5"), ["blog", "seq", "url_md5"], "left_semi")
             extract_articles(wanted.drop("url_md5"), cfg).write.mode("overwrite").parquet(
                 f"{out}/articles/batch={batch_id}"
             )
-        spark.read.parquet(target).groupBy("blog").agg(
-            F.count(F.lit(1)).alias("n")
-        ).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        totals = kept.groupBy("blog").agg(F.max("number").cast("bigint").alias("n"))
+        keyed.write_changes(totals, state_path, ["blog"], batch_id)
 
     _run_batches(pages, handle, checkpoint, "append")
 
 
+def read_limit(spark: SparkSession, out: str, table: str = "rows") -> DataFrame:
+    """``rows`` or ``articles`` of published batches, with their ``batch``."""
+    last = keyed.last_batch(spark, f"{out}/state")
+    if last < 0:
+        raise ValueError(f"no published batch at {out}")
+    return spark.read.parquet(f"{out}/{table}").filter(F.col("batch") <= last)
+
+
 def new_run(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh output and checkpoint folders in the shared folder."""
     return scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
