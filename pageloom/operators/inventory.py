@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,16 @@ def is_post_sitemap(c: Column) -> Column:
     return hit
 
 
-def expand_index(index: DataFrame, entries: DataFrame) -> DataFrame:
+def expand_index(index: DataFrame, entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Followed index entries joined with the entries of their sitemap.
 
     ``index(blog, pos, loc)``, ``entries(doc_url, pos, loc, lastmod)``. Two
-    levels only; the filter runs below the join.
+    levels only; the filter runs below the join. ``keep`` names further columns of
+    the index to carry along.
     """
     followed = index.filter(is_sub_sitemap(F.col("loc")) & is_post_sitemap(F.col("loc")))
     return followed.select(
-        "blog", F.col("pos").alias("index_pos"), F.col("loc").alias("doc_url")
+        "blog", *keep, F.col("pos").alias("index_pos"), F.col("loc").alias("doc_url")
     ).join(
         entries.select(
             "doc_url",
@@ -61,11 +64,12 @@ def expand_index(index: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def build_inventory(top: DataFrame, entries: DataFrame) -> DataFrame:
+def build_inventory(top: DataFrame, entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Page URLs in reading order: direct entries, then each followed sitemap.
 
     ``top(blog, pos, loc, lastmod)`` are the entries of every blog's first
-    sitemap, whatever their kind; duplicates stay (U1).
+    sitemap, whatever their kind; duplicates stay (U1). ``keep`` names further
+    columns of ``top`` to carry along.
     """
     direct = top.filter(~is_sub_sitemap(F.col("loc"))).select(
         "blog",
@@ -73,13 +77,15 @@ def build_inventory(top: DataFrame, entries: DataFrame) -> DataFrame:
         F.col("pos").alias("entry_seq"),
         F.col("loc").alias("url"),
         "lastmod",
+        *keep,
     )
-    nested = drop_root(expand_index(top, entries)).select(
+    nested = drop_root(expand_index(top, entries, keep)).select(
         "blog",
         (F.col("index_pos") + 1).alias("sitemap_seq"),
         "entry_seq",
         "url",
         "lastmod",
+        *keep,
     )
     return direct.unionByName(nested).withColumn("url_md5", urls.url_md5(F.col("url")))
 

@@ -402,3 +402,54 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             "html",
         )
     )
+
+
+def blog_kind() -> Column:
+    """How a blog of the discovery check can be found, 0 to 4."""
+    return F.length("blog") % 5
+
+
+def discovery_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Seeds, robots files, sitemaps and root or archive pages of all page blogs.
+
+    By kind: robots name an index; robots name nothing and the usual place holds an
+    index; no robots and the usual place lists pages; robots name a sitemap that is
+    not stored, so an archive widget is left, which links every page twice; nothing.
+    """
+    stored = pages(spark, sf_dir).select(urls.blog_of(F.col("url")).alias("blog"), "page_id")
+    blogs = stored.select("blog").distinct()
+    named = F.concat(F.lit("Allow: /\nSitemap: "), "blog", F.lit("/custom.xml\n"))
+    robots = blogs.filter(blog_kind().isin(0, 1, 3)).select(
+        "blog", F.when(blog_kind() == 1, "User-agent: *\n").otherwise(named).alias("body")
+    )
+    indexes = sitemap_indexes(spark, sf_dir)
+    lists = page_sitemaps(spark, sf_dir)
+    first = lists.filter(blog_kind() == 2).groupBy("blog").agg(F.min_by("body", "part").alias("body"))
+    custom = F.concat("blog", F.lit("/custom.xml"))
+    usual = F.concat("blog", F.lit("/sitemap.xml"))
+    docs = (
+        indexes.filter(blog_kind() == 0)
+        .withColumn("doc_url", custom)
+        .unionByName(indexes.filter(blog_kind() == 1))
+        .unionByName(lists.filter(blog_kind() < 2).drop("part"))
+        .unionByName(first.withColumn("doc_url", usual))
+        .unionByName(
+            blogs.filter(blog_kind() == 3).select(
+                "blog", F.lit(None).cast("string").alias("body"), custom.alias("doc_url")
+            )
+        )
+    )
+    link = F.format_string('<li><a href="p%d.html">x</a><a href=\'p%d.html\'>y</a></li>', "page_id", "page_id")
+    widgets = (
+        stored.filter(blog_kind() == 3)
+        .withColumn("piece", link)
+        .groupBy("blog")
+        .agg(F.concat(F.lit('<div class="BlogArchive">'), _listed("page_id", F.col("piece")), F.lit("</div>")).alias("html"))
+        .select(F.concat("blog", F.lit("/pl/index.html")).alias("url"), "html")
+    )
+    refresh = '<meta http-equiv="refresh" content="0; url=pl/index.html">'
+    roots = blogs.filter(blog_kind() > 2).select(
+        F.concat("blog", F.lit("/")).alias("url"),
+        F.when(blog_kind() == 3, refresh).otherwise("<p>nothing").alias("html"),
+    )
+    return blogs, robots, docs, roots.unionByName(widgets)

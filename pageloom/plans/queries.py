@@ -17,7 +17,7 @@ from pageloom.functions import dates, markup, text, urls
 from pageloom.functions.nodes import html_nodes
 from pageloom.operators import books, comments, extract, history, images, inventory
 from pageloom.plans import fixtures as fx
-from pageloom.plans import run
+from pageloom.plans import discovery, run
 from pageloom.plans import sqltext as q
 from pageloom.profiles import BLOGSPOT, override, site_patterns, with_profile
 from pageloom.session import prepare_session, scratch_path, staged
@@ -1969,6 +1969,29 @@ def v4_posts(spark, sf_dir):
     return _node_facts(posts, "doc_id", ("span", "p", "img")).drop("source_md5")
 
 
+@query(
+    "run_discovery",
+    f"""WITH {q.LISTED}, parts AS (
+      SELECT blog, part, row_number() OVER (PARTITION BY blog ORDER BY part) AS step
+      FROM (SELECT DISTINCT blog, part FROM listed)
+    ), k AS (SELECT l.*, p.step, length(l.blog) % 5 AS kind FROM listed l
+      JOIN parts p ON l.blog = p.blog AND l.part = p.part
+    ), found AS (
+      SELECT blog, CASE kind WHEN 0 THEN 'robots' ELSE 'default' END AS origin, step, pos, url
+      FROM k WHERE kind < 2 OR (kind = 2 AND step = 1)
+      UNION ALL SELECT DISTINCT blog, 'default', 0, 0, blog || '/' FROM k WHERE kind = 2
+      UNION ALL SELECT blog, 'widget', 0, page_id, blog || '/pl/p' || page_id || '.html' FROM k WHERE kind = 3)
+    SELECT blog, origin, row_number() OVER (PARTITION BY blog ORDER BY step, pos) AS seq, url FROM found""",
+)
+def run_discovery(spark, sf_dir):
+    """Blogs of all kinds from their seeds to a numbered inventory."""
+    blogs, robots, docs, pages = fx.discovery_inputs(spark, sf_dir)
+    store = page_store.write_store(pages, scratch_path(spark, "page-store"))
+    found = discovery.discover(blogs, robots, docs, store)
+    numbered = inventory.number_inventory(staged(found, "discovered"))
+    return numbered.select("blog", "origin", "seq", "url")
+
+
 # --- whole run -----------------------------------------------------------------------
 
 

@@ -12,8 +12,8 @@ from pageloom.session import staged
 from pageloom.sources.store import fetch_bodies
 
 
-def sitemap_url(body: Column, blog: Column) -> Column:
-    """First ``Sitemap:`` line of a robots file, else the usual place."""
+def named_sitemap(body: Column) -> Column:
+    """First ``Sitemap:`` line of a robots file, null without one."""
     lines = F.transform(
         F.split(body, r"\r?\n|\r"), lambda line: F.regexp_replace(line, r"#.*$", "")
     )
@@ -21,7 +21,12 @@ def sitemap_url(body: Column, blog: Column) -> Column:
     named = F.filter(lines, lambda line: line.rlike(entry))
     value = F.regexp_extract(F.try_element_at(named, F.lit(1)), entry, 1)
     decoded = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(decoded, value, F.concat(blog, F.lit("/sitemap.xml")))
+    return F.coalesce(decoded, value)
+
+
+def sitemap_url(body: Column, blog: Column) -> Column:
+    """First ``Sitemap:`` line of a robots file, else the usual place."""
+    return F.coalesce(named_sitemap(body), F.concat(blog, F.lit("/sitemap.xml")))
 
 
 def scan_robots(robots: DataFrame) -> DataFrame:
