@@ -108,24 +108,30 @@ def number_chapters(articles: DataFrame) -> DataFrame:
     )
 
 
-def order_chapters(articles: DataFrame, by: str = "date") -> DataFrame:
+def order_chapters(articles: DataFrame, by: str = "date", large: int | None = None) -> DataFrame:
     """Chapter order ``number`` by date, oldest first, or by reversed sitemap
     order (O1). Undated articles come last, later sitemap entries first.
 
-    Ranking reads its rows several times, so they are staged first.
+    Ranking reads its rows several times, so they are staged first. Blogs of more
+    than ``large`` rows are ranked in chunks (``ranking.LARGE_KEY``).
     """
     articles = staged(articles, "to-order")
     latest_first = F.col("seq").desc()
     back = -chunk_of(F.col("seq"))
     if by == "sitemap":
-        return rank_within(articles, ["blog"], [latest_first], [back], "number")
+        return rank_within(articles, ["blog"], [latest_first], [back], "number", large=large)
     never = F.lit("9999-12-31 00:00:00").cast("timestamp")
     known = F.coalesce(F.col("date").cast("timestamp"), never)
     # Hours per blog, seconds per hour and instants per second are all bounded.
     instant = F.struct(known.alias("known"), back.alias("back"))
     levels = [F.date_trunc("hour", known), F.date_trunc("second", known), instant]
     return rank_within(
-        articles, ["blog"], [F.col("date").asc_nulls_last(), latest_first], levels, "number"
+        articles,
+        ["blog"],
+        [F.col("date").asc_nulls_last(), latest_first],
+        levels,
+        "number",
+        large=large,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pageloom.config import JobConfig
@@ -14,9 +14,21 @@ from pageloom.session import staged
 from pageloom.sources.store import fetch_bodies
 
 
-def drop_unparsed(pages: DataFrame) -> DataFrame:
-    """Pages the extraction can read; missing and unreadable bodies go."""
-    return pages.filter(text.is_parseable(F.col("html")))
+def drop_unparsed(pages: DataFrame, losses: Observation | None = None) -> DataFrame:
+    """Pages the extraction can read; missing and unreadable bodies go.
+
+    ``losses`` counts ``pages``, and those dropped as ``missing`` or ``unreadable``, while
+    the rows go by.
+    """
+    if losses is None:
+        return pages.filter(text.is_parseable(F.col("html")))
+    read = pages.withColumn("__readable", text.is_parseable(F.col("html"))).observe(
+        losses,
+        F.count(F.lit(1)).alias("pages"),
+        F.count_if(F.col("html").isNull()).alias("missing"),
+        F.count_if(F.col("html").isNotNull() & ~F.col("__readable")).alias("unreadable"),
+    )
+    return read.filter("__readable").drop("__readable")
 
 
 def count_unparsed(pages: DataFrame) -> DataFrame:
@@ -34,7 +46,11 @@ def interstitials(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -> DataFrame:
+def with_matches(
+    pages: DataFrame,
+    profiles: Sequence[SiteProfile] = PROFILES,
+    losses: Observation | None = None,
+) -> DataFrame:
     """Parseable pages with their profile and, in ``found``, what its paths select.
 
     Both Python columns come from one Arrow exchange; everything after it runs
@@ -42,7 +58,7 @@ def with_matches(pages: DataFrame, profiles: Sequence[SiteProfile] = PROFILES) -
     """
     profile = urls.profile_of(F.col("url"))
     return (
-        drop_unparsed(pages)
+        drop_unparsed(pages, losses)
         .withColumn("profile", profile)
         .withColumns(
             {
@@ -241,11 +257,14 @@ def description_column() -> Column:
 
 
 def extract_fields(
-    pages: DataFrame, cfg: JobConfig, profiles: Sequence[SiteProfile] = PROFILES
+    pages: DataFrame,
+    cfg: JobConfig,
+    profiles: Sequence[SiteProfile] = PROFILES,
+    losses: Observation | None = None,
 ) -> DataFrame:
     """Every page field of ``pages(blog, ..., url, html)``; no shuffle."""
     fields = (
-        with_matches(pages, profiles)
+        with_matches(pages, profiles, losses)
         .withColumn("image_refs", image_refs_column())
         .withColumn("found_images", resolved_images(F.col("image_refs"), F.col("blog"), cfg))
         .withColumns(
@@ -273,6 +292,25 @@ def extract_fields(
     )
 
 
+class Losses:
+    """Counters of one extraction, filled by the first action on its rows.
+
+    They are taken while rows go by, so nothing is read twice. A task that Spark runs
+    again may be counted again.
+    """
+
+    def __init__(self) -> None:
+        self.pages, self.articles = Observation(), Observation()
+
+    def counts(self) -> dict[str, int]:
+        """``pages, missing, unreadable, articles, unknown_dates, dates_from_url, empty``.
+
+        ``unknown_dates`` are date texts that no format reads, ``dates_from_url`` pages
+        without any; waits for the action.
+        """
+        return {**self.pages.get, **self.articles.get}
+
+
 def with_blog_meta(rows: DataFrame, blogs: DataFrame) -> DataFrame:
     """Rows with their blog's title and language."""
     meta = blogs.select(
@@ -287,6 +325,7 @@ def extract_articles(
     blogs: DataFrame | None = None,
     profiles: Sequence[SiteProfile] = PROFILES,
     keep: Sequence[str] = (),
+    losses: Losses | None = None,
 ) -> DataFrame:
     """Article rows of ``pages(blog, seq, url, html)``.
 
@@ -296,11 +335,14 @@ def extract_articles(
     from a table in the shared folder: its size is known then, so Spark broadcasts
     it below its threshold, and only beyond that content is shuffled. Without
     either the page speaks for itself. ``keep`` names further input columns to
-    carry along.
+    carry along. ``losses`` counts what is lost on the way, in the same pass.
     """
     known = [c for c in ("blog_title", "blog_language") if c in pages.columns]
     fields = extract_fields(
-        pages.select("blog", "seq", "url", "html", *known, *keep), cfg, profiles
+        pages.select("blog", "seq", "url", "html", *known, *keep),
+        cfg,
+        profiles,
+        losses.pages if losses else None,
     ).drop("html")
     if blogs is not None:
         fields = with_blog_meta(
@@ -314,12 +356,19 @@ def extract_articles(
     fields = fields.withColumn("language", F.coalesce("blog_language", "page_language"))
     date_as_title = [p.name for p in profiles if p.date_as_title]
     date_language = override(F.col("language"), F.col("profile"), "language_override", tuple(profiles))
-    return (
-        fields.withColumn(
-            "date",
-            dates.article_date(F.col("date_raw"), date_language, F.col("url"), cfg.as_of),
+    dated = fields.withColumn(
+        "date", dates.article_date(F.col("date_raw"), date_language, F.col("url"), cfg.as_of)
+    )
+    if losses is not None:
+        dated = dated.observe(
+            losses.articles,
+            F.count(F.lit(1)).alias("articles"),
+            F.count_if(F.col("date_raw").isNotNull() & F.col("date").isNull()).alias("unknown_dates"),
+            F.count_if(F.col("date_raw").isNull()).alias("dates_from_url"),
+            F.count_if(F.coalesce(F.col("content"), F.lit("")) == "").alias("empty"),
         )
-        .withColumn(
+    return (
+        dated.withColumn(
             "title",
             F.when(
                 F.col("profile").isin(*date_as_title),

@@ -30,10 +30,10 @@ def chunk_of(seq: Column) -> Column:
     return F.shiftright(seq, CHUNK_BITS)
 
 
-def large_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def large_keys(df: DataFrame, keys: Sequence[str], large: int | None = None) -> DataFrame:
     """Keys to cut into chunks; few by arithmetic, so they may be broadcast."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return sizes.filter(F.col("__rows") > LARGE_KEY).select(*keys, F.lit(True).alias("__large"))
+    return sizes.filter(F.col("__rows") > (LARGE_KEY if large is None else large)).select(*keys, F.lit(True).alias("__large"))
 
 
 def _fixed(kind: T.DataType) -> Column:
@@ -51,9 +51,11 @@ def rank_within(
     levels: Sequence[Column],
     out: str = "number",
     total: str | None = None,
+    large: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1..n per ``keys`` in ``order``, and n itself as ``total``.
 
+    Keys of more than ``large`` rows (``LARGE_KEY``) are cut into chunks.
     ``levels`` are columns, coarse to fine, whose ascending order agrees with
     ``order``; rows of a large key equal in all levels form one chunk. Rows with
     a null key are a group like any other; levels are never null. ``df`` is read three times (large keys, chunk sizes,
@@ -64,9 +66,9 @@ def rank_within(
     # As one struct the keys compare null to null, in windows and joins alike.
     df = df.withColumn("__key", F.struct(*keys))
     keys = ["__key"]
-    large = large_keys(df.select(*keys), keys)
+    cut = large_keys(df.select(*keys), keys, large)
     leveled = df.withColumns(dict(zip(names, levels)))
-    chunked = leveled.join(F.broadcast(large), keys, "left").withColumns(
+    chunked = leveled.join(F.broadcast(cut), keys, "left").withColumns(
         {
             name: F.when(F.col("__large"), F.col(name)).otherwise(
                 _fixed(leveled.schema[name].dataType)

@@ -452,6 +452,30 @@ def e2(spark, sf_dir):
     )
 
 
+@query(
+    "e2_date_regex",
+    """SELECT doc_id, (1 + doc_id % 28) || ' ' || ['Mai', 'Juni', 'April'][doc_id % 3 + 1] || ' '
+      || (2000 + doc_id % 20) AS date_raw FROM documents""",
+)
+def e2_regex(spark, sf_dir):
+    """Dates of the one profile that finds them by expressions of three groups, in whole texts."""
+    lead = F.array(*(F.lit(t) for t in ("letzte Änderung: ", "letzte Aktualisierung ", "last update:  ")))
+    month = F.array(*(F.lit(m) for m in ("Mai", "Juni", "April")))
+    k = (F.col("doc_id") % 3).cast("int")
+    day, year = (1 + F.col("doc_id") % 28).cast("string"), (2000 + F.col("doc_id") % 20).cast("string")
+    pages = fx.documents(spark, sf_dir).select(
+        F.lit("https://zeissikonveb.de").alias("blog"),
+        F.col("doc_id").alias("seq"),
+        F.concat(F.lit("https://zeissikonveb.de/p"), "doc_id").alias("url"),
+        F.concat(
+            F.lit('<div id="Section1">'), text.escape_html(F.col("text")), F.lit("</div><p>"), lead[k], day,
+            F.lit(". "), month[k], F.lit(" "), year, F.lit("</p>"),
+        ).alias("html"),
+    )
+    found = extract.with_matches(pages)
+    return found.select(F.col("seq").alias("doc_id"), extract.date_raw_column().alias("date_raw"))
+
+
 @query("e3_content", f"WITH {q.PAGES} SELECT page_id, content FROM pg")
 def e3(spark, sf_dir):
     fields = extract.extract_fields(blog_pages(spark, sf_dir), CFG)
@@ -1196,6 +1220,17 @@ def o1(spark, sf_dir):
     return books.order_chapters(fx.dated_posts(spark, sf_dir)).select("blog", "seq", "number")
 
 
+@query(
+    "o1_chunked",
+    f"""WITH {q.EVENTS} SELECT blog, seq, row_number() OVER (
+      PARTITION BY blog ORDER BY date ASC NULLS LAST, seq DESC) AS number FROM ev""",
+)
+def o1_chunked(spark, sf_dir):
+    """The same order with every blog cut into chunks, as only very large ones are."""
+    ordered = books.order_chapters(fx.dated_posts(spark, sf_dir), large=0)
+    return ordered.select("blog", "seq", "number")
+
+
 @query(
     "o1_order_by_sitemap",
     f"""WITH {q.EVENTS} SELECT blog, seq, row_number() OVER (
@@ -1440,16 +1475,27 @@ def x11(spark, sf_dir):
 
 @query(
     "x12_fix_html_tags",
-    """SELECT doc_id, '<meta content="0;url=' || source || '" /><link href="' || source
-      || '.css" /><img src="' || source || '.png" /><br/><a href="x">' || lang || '</a>' AS fixed
-    FROM documents""",
+    r"""SELECT page_id, md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(html, '(href|charset)="([^"]*)"', '\1=\2', 'g'),
+        '([a-zA-Z0-9\-]+)=([a-zA-Z0-9\./\-:#_]+)([>\s])', '\1="\2"\3', 'g'),
+      '<meta content=([^>]+)>', '<meta content=\1 />', 'g'),
+      '<link href=([^>]+)>', '<link href=\1 />', 'g'),
+      '<img ([^>]+)>', '<img \1 />', 'g'), '//>', '/>'), '<br>', '<br/>')) AS fixed_md5,
+      len(regexp_extract_all(html, 'href="[a-zA-Z0-9./#:_-]+">'))::BIGINT AS mended
+    FROM (SELECT page_id, replace(html, '</head>', '<meta content=0;url=x><link href=a.css>'
+      || '<img src=b.png></head>') AS html FROM pages)""",
 )
 def x12(spark, sf_dir):
-    raw = F.concat(
-        F.lit('<meta content="0;url='), "source", F.lit('"><link href='), "source",
-        F.lit('.css><img src='), "source", F.lit(".png><br><a href=x>"), "lang", F.lit("</a>"),
+    """Whole pages whose attributes have lost their quotes."""
+    planted = F.replace(
+        "html", F.lit("</head>"), F.lit("<meta content=0;url=x><link href=a.css><img src=b.png></head>")
+    )
+    bare = F.regexp_replace(planted, r'(href|charset)="([^"]*)"', "$1=$2")
+    fixed = text.fix_html_tags(bare)
+    mended = F.regexp_count(fixed, F.lit('<a href="[a-zA-Z0-9./#:_-]+">'))
+    return fx.pages(spark, sf_dir).select(
+        "page_id", F.md5(fixed).alias("fixed_md5"), mended.cast("bigint").alias("mended")
     )
-    return fx.documents(spark, sf_dir).select("doc_id", text.fix_html_tags(raw).alias("fixed"))
 
 
 @query(
@@ -1469,17 +1515,17 @@ def x13(spark, sf_dir):
 
 @query(
     "x14_content_cleanup",
-    """SELECT doc_id, 'A' || source || 'B' AS cleaned FROM documents""",
+    "SELECT page_id, md5(html) AS cleaned_md5 FROM pages",
 )
 def x14(spark, sf_dir):
-    raw = F.concat(
-        F.lit('A<div style="x"> <br/> <span style="y"><i>Dyskretna Reklama</i></span>'),
-        "source",
-        F.lit('<span style="z"><br /><i>Koniec Dyskretnej Reklamy</i></span></div><br>B'),
-    )
+    """Whole pages with an advert block of one to three parts in the article; it goes, the page stays."""
+    begin = '<div style="x"> <br/> <span style="y"><i>Dyskretna Reklama</i></span>'
+    end = '<span style="z"><br /><i>Koniec Dyskretnej Reklamy</i></span></div> + <br>'
+    block = F.expr(f"repeat('{begin}{end}', cast(1 + page_id % 3 AS int))")
+    raw = F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), block))
     rules = [p.regex for p in BLOGSPOT.content_cleanup if p.regex]
-    return fx.documents(spark, sf_dir).select(
-        "doc_id", markup.remove_patterns(raw, rules).alias("cleaned")
+    return fx.pages(spark, sf_dir).select(
+        "page_id", F.md5(markup.remove_patterns(raw, rules)).alias("cleaned_md5")
     )
 
 
@@ -1698,6 +1744,37 @@ def d2(spark, sf_dir):
     return rows.select("doc_id", stamp(dates.parse_article_date(raw)).alias("date"))
 
 
+@query(
+    "d2_date_losses",
+    """SELECT unnest(['articles', 'dates_from_url', 'empty', 'missing', 'pages', 'unknown_dates',
+        'unreadable']) AS counter,
+      unnest([count(*) FILTER (k NOT IN (3, 7)), count(*) FILTER (k = 5), 0,
+        count(*) FILTER (k = 3), count(*), count(*) FILTER (k = 1), count(*) FILTER (k = 7)])::BIGINT AS n
+    FROM (SELECT doc_id % 10 AS k FROM documents)""",
+)
+def d2_losses(spark, sf_dir):
+    """What an extraction of whole texts loses, counted while its rows are written."""
+    k = F.col("doc_id") % 10
+    date = F.when(k == 5, "").otherwise(
+        F.concat(
+            F.lit('<meta property="article:published_time" content="'),
+            F.when(k == 1, "some day").otherwise("2020-05-06"),
+            F.lit('"/>'),
+        )
+    )
+    body = F.concat(date, F.lit("<article><p>x</p>"), text.escape_html(F.col("text")), F.lit("</article>"))
+    pages = fx.documents(spark, sf_dir).select(
+        F.lit("https://a.example.com").alias("blog"),
+        F.col("doc_id").alias("seq"),
+        F.concat(F.lit("https://a.example.com/2020/05/p"), "doc_id").alias("url"),
+        F.when(k == 7, F.concat(F.lit("\x01"), body)).when(k != 3, body).alias("html"),
+    )
+    losses = extract.Losses()
+    staged(extract.extract_articles(pages, CFG, losses=losses), "articles")
+    counts = sorted(losses.counts().items())
+    return spark.createDataFrame(counts, "counter string, n bigint")
+
+
 @query(
     "d3_date_from_url",
     f"""WITH {q.POSTS} SELECT url, strftime(make_timestamp(y, m, 1, 0, 0, 0), '%Y-%m-%d %H:%M:%S') AS date

@@ -59,6 +59,24 @@ def test_missing_and_unreadable_pages_are_dropped(spark):
     assert (counts.pages, counts.dropped) == (4, 2)
 
 
+def test_losses_are_counted_while_rows_go_by(spark):
+    df = pages(
+        spark,
+        ("https://a.com/1", '<meta property="article:published_time" content="soon"/><article>x</article>'),
+        ("https://a.com/2", None),
+        ("https://a.com/3", "bad \x01 mark"),
+        ("https://a.com/2020/04/x", "<p>no content"),
+    )
+    losses = extract.Losses()
+    made = extract.extract_articles(df, CFG, losses=losses)
+    assert len(made.collect()) == 2
+    assert losses.counts() == {
+        "pages": 4, "missing": 1, "unreadable": 1, "articles": 2, "unknown_dates": 1, "dates_from_url": 1, "empty": 1
+    }
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+
+
 @pytest.mark.parametrize(
     "html, title",
     [
