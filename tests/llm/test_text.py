@@ -7,6 +7,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -84,10 +85,59 @@ def test_simple8b_round_trip():
     ids = np.array([1] * 40 + [2**32 - 1] + [0] * 40, dtype="<u4")
     words, escapes = token_files.pack(ids)
     assert escapes.tolist() == [2**32 - 1] and len(words) <= 4
-    sizes, back = token_files.read_block(token_files.write_block([ids.tobytes(), b"", ids[:3].tobytes()]))
+    both = np.concatenate((ids, ids[:3]))
+    sizes, back = token_files.read_block(token_files.write_block(np.array([81, 0, 3]), both))
     assert sizes.tolist() == [81, 0, 3] and back.tolist() == [*ids.tolist(), *ids[:3].tolist()]
 
 
+def test_ranges_start_at_the_sampled_word(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 59, 5000, 40_000):
+        ids = (rng.integers(0, 2**32, n) >> rng.integers(8, 32, n)).astype("<u4")
+        ids[rng.random(n) < 0.05] = 2**32 - 1  # escapes
+        sizes = np.diff(np.sort(np.concatenate(([0, n], rng.integers(0, n + 1, 6)))))
+        block = token_files.write_block(sizes, ids)
+        for a, b in [(0, n), (n // 2, n // 2 + 7), (n - 1, n + 5), (-3, 2), (5, 5)] + rng.integers(
+            0, n + 1, (60, 2)
+        ).tolist():
+            assert (token_files.read_range(block, a, b) == ids[max(a, 0) : max(b, 0)]).all()
+        ends = np.cumsum(sizes)
+        for k, (end, size) in enumerate(zip(ends, sizes)):
+            assert (token_files.read_document(block, k) == ids[end - size : end]).all()
+    seen = []
+    unpack = token_files.unpack
+    monkeypatch.setattr(token_files, "unpack", lambda words, *rest: seen.append(len(words)) or unpack(words, *rest))
+    token_files.read_range(block, 20_000, 20_010)
+    assert seen[0] <= 2 * token_files.SAMPLE
+
+
+def test_pieces_of_any_text_give_the_library_s_ids(monkeypatch):
+    rng = np.random.default_rng(6)
+    alphabet = [
+        "a", "Z", "don't", "'s", "'ll", " ", "  ", "\n", "\n\n", "\t", ",", ".", "1", "é", "日", "\u00a0", "\u2003",
+        "\u3000", "\u0301", "“", "<|endoftext|>", "<|end", "|>", "\r\n", "\x1c", "\x85", "_", "😀", " q", "\u2028",
+    ]
+    some = ["".join(rng.choice(alphabet, rng.integers(0, 12))) for _ in range(8000)] + [None, ""]
+    lib, coder = library(BYTE_FILE), token_files.PieceEncoder(BYTE_FILE)
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 2000)  # forgotten many times
+    column = pa.array(some, pa.string())
+    for at in range(0, len(some), 100):
+        ids, sizes = coder.encode(column.slice(at, 100))
+        ends = np.cumsum(sizes)
+        for text, size, end in zip(some[at : at + 100], sizes, ends):
+            assert ids[end - size : end].tolist() == lib.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_single_documents_are_read_from_their_block(spark, tmp_path):
+    rows = [(k, " ".join(texts()[k % 20 : k % 20 + 2]) or "x") for k in range(60)] + [(None, "q"), (7, "seven again")]
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTE_FILE, 2, path)
+    lib = library(BYTE_FILE)
+    got = token_files.read_documents(spark, path, [7, 59, 1000]).collect()
+    want = [(k, [*lib.encode(t, add_special_tokens=False).ids, 2]) for k, t in rows if k in (7, 59)]
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted(want)
+
+
 def test_token_files_hold_the_library_s_ids(spark):
     rows = [(7 * k % 1009, t, "x") for k, t in enumerate(texts())] + [(-3, "first", ""), (None, "none", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
