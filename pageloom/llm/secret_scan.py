@@ -222,9 +222,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     Candidates that fail evenness have bin -1: they count, but are never found.
     """
     out = []
+    # Both go from left to right, so each base span is passed once.
+    taken: list[list[int]] = []
+    for s, _, e in sorted(base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    at = 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at < len(taken) and taken[at][0] < end:
             continue
         tested = battery(m.group())
         if tested is None:
