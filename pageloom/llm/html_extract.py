@@ -135,21 +135,59 @@ class Element:
     aside: bool
     main: bool
     article: bool
-    path: str
 
 
 @dataclass(slots=True)
 class Block:
-    """A block of text with the elements around it."""
+    """A block of text with the element straight around it."""
 
-    path: str
-    chain: tuple[int, ...]
+    element: int
     aside: bool
     linked: int = 0
     parts: list[str] = field(default_factory=list)
     text: str = ""
 
 
+class Tree:
+    """All elements of a page by number, in order of their start; 0 is the page.
+
+    An element knows its parent only, and its path by a number that elements of the
+    same tags from the root share. What holds for chains of elements is found in one
+    pass over the numbers, since a parent has a smaller one than its children.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.path, self.depth = [-1], [""], [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, tag: str) -> int:
+        """A new element's number."""
+        key = (self.path[parent], tag)
+        self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def sums(self, values: Iterable[tuple[int, float]]) -> list[float]:
+        """Sum of ``(element, value)`` pairs over each element and all inside it."""
+        total = [0.0] * len(self.parent)
+        for element, value in values:
+            total[element] += value
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def under(self, marks: Iterable[int]) -> list[bool]:
+        """Whether each element is one of ``marks`` or inside one."""
+        out = [False] * len(self.parent)
+        for m in marks:
+            out[m] = True
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+
 def _declared_aside(attrs: str) -> bool:
     """Whether role or visibility say that an element isn't article text."""
     if "hidden" in attrs or "none" in attrs:
@@ -189,59 +227,60 @@ def _named(tag: str, attrs: str, in_main: bool, in_article: bool) -> str:
     return "thread" if "thread" in kinds else "aside" if "aside" in kinds else ""
 
 
-def _rule_out(blocks: list[Block], named: dict[int, str], marked: set[int]) -> None:
+def _rule_out(blocks: list[Block], tree: Tree, named: dict[int, str], marked: set[int]) -> None:
     """Put the blocks of named elements aside, unless a name turns out to be that of a wrapper.
 
     A named element is a wrapper if no marked article lies beside it and it holds
     a marked article or most of the page's weight. A thread, which may outweigh
-    its article, has to hold all seeds.
+    its article, has to hold all seeds. Outer elements are decided before inner ones.
     """
     within = [b for b in blocks if not b.aside]
-    around: dict[int, tuple[int, ...]] = {}
-    held: dict[int, float] = {}
-    seeds: Counter[int] = Counter()
-    fused = scores(within)
+    fused = scores(within, tree)
     line = THRESHOLD * sum(fused) / max(1, len(fused))
     all_seeds = sum(score >= line for score in fused)
     total = sum(score * len(block.text) for block, score in zip(within, fused))
-    for block, score in zip(within, fused):
-        for k, element in enumerate(block.chain):
-            if element in named:
-                held[element] = held.get(element, 0.0) + score * len(block.text)
-                seeds[element] += score >= line
-            if element in named or element in marked:
-                around.setdefault(element, block.chain[:k])
-    ruled = set(held)
-    holders = {e for a in marked if a in around for e in (*around[a], a)}
-
-    def plain_articles() -> set[int]:
-        return {a for a in marked if a in around and a not in ruled and ruled.isdisjoint(around[a])}
-
-    plain = plain_articles()
-    for e in sorted(held, key=lambda e: (-held[e], e)):
-        if not ruled.isdisjoint(around[e]):
+    weight = tree.sums((b.element, score * len(b.text)) for b, score in zip(within, fused))
+    seeds = tree.sums((b.element, score >= line) for b, score in zip(within, fused))
+    filled = tree.sums((b.element, 1) for b in within)
+    ruled = {e for e in named if filled[e]}
+    articles = [a for a in sorted(marked) if filled[a]]
+    holds_article = tree.sums((a, 1) for a in articles)
+    # Marked articles around each element, and the ruled element next around it or itself.
+    around, nearest = [0] * len(tree.parent), [0] * len(tree.parent)
+    is_article = set(articles)
+    for e in range(1, len(tree.parent)):
+        up = tree.parent[e]
+        around[e] = around[up] + (up in is_article)
+        nearest[e] = e if e in ruled else nearest[up]
+    inner = Counter(nearest[a] for a in articles)
+    plain = inner[0]  # articles that nothing ruled holds
+    for e in sorted(ruled, key=lambda e: (-weight[e], e)):
+        if nearest[tree.parent[e]] in ruled:
             continue
-        if len(plain) > len(plain.intersection(around[e])):  # an article lies beside it
+        if plain > around[e]:  # an article lies beside it
             continue
         if named[e] == "thread":
-            wrapper = held[e] > 0 and seeds[e] == all_seeds
+            wrapper = weight[e] > 0 and seeds[e] == all_seeds
         else:
-            wrapper = e in holders or held[e] > MOST * total
+            wrapper = holds_article[e] > 0 or weight[e] > MOST * total
         if wrapper:
             ruled.discard(e)
-            plain = plain_articles()
+            plain += inner[e]
+    aside = tree.under(ruled)
     for block in within:
-        block.aside = not ruled.isdisjoint(block.chain)
+        block.aside = aside[block.element]
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, with white space collapsed, none empty."""
+def read_blocks(page: str) -> tuple[list[Block], Tree]:
+    """Blocks of a page in order, with white space collapsed, none empty; and its elements."""
     stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
+    tree = Tree()
     blocks: list[Block] = []
     named: dict[int, str] = {}
     marked: set[int] = set()
     current: Block | None = None
-    number = links = at = 0
+    links = at = 0
 
     def text(raw: str) -> None:
         nonlocal current
@@ -251,7 +290,7 @@ def read_blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             top = stack[-1] if stack else None
-            current = Block(top.path if top else "", tuple(e.number for e in stack), bool(top and top.aside))
+            current = Block(top.number if top else 0, bool(top and top.aside))
             blocks.append(current)
         current.parts.append(raw)
         if links:
@@ -259,10 +298,13 @@ def read_blocks(page: str) -> list[Block]:
 
     def close(depth: int) -> None:
         nonlocal current
+        open_tags.subtract(e.tag for e in stack[depth:])
         del stack[depth:]
         current = None
 
     def implied(kinds: Iterable[str]) -> None:
+        if not any(open_tags[kind] for kind in kinds):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth].tag in kinds:
                 close(depth)
@@ -283,13 +325,10 @@ def read_blocks(page: str) -> list[Block]:
         if end:
             if tag in VOID:
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-            else:
-                if not inline:
-                    current = None
+            if open_tags[tag]:
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth].tag == tag))
+            elif not inline:
+                current = None
             continue
         declared = tag not in FRAME and bool(attrs) and not attrs.isspace() and _declared_aside(attrs)
         if inline and not declared:
@@ -312,36 +351,37 @@ def read_blocks(page: str) -> list[Block]:
         inside, in_main, in_article = (top.aside, top.main, top.article) if top else (False, False, False)
         header = tag in HEADER_TAGS and not in_main and not ARTICLE_NAME.search(attrs)
         aside = inside or declared or tag in ASIDE_TAGS or header
-        number += 1
-        path = f"{top.path if top else ''}/{tag}"
+        number = tree.add(top.number if top else 0, tag)
         main = tag in MAIN and not aside
         if main:
             marked.add(number)
         if attrs and not aside and (kind := _named(tag, attrs, in_main or main, in_article)):
             named[number] = kind
-        stack.append(Element(tag, number, aside, in_main or main, in_article or (main and tag == "article"), path))
+        stack.append(Element(tag, number, aside, in_main or main, in_article or (main and tag == "article")))
+        open_tags[tag] += 1
         current = None
     text(page[at:])
     for block in blocks:
         block.text = " ".join(unescape("".join(block.parts)).split())
     blocks = [b for b in blocks if b.text]
     if named:
-        _rule_out(blocks, named, marked)
-    return blocks
+        _rule_out(blocks, tree, named, marked)
+    return blocks, tree
 
 
-def scores(blocks: list[Block]) -> list[float]:
+def scores(blocks: list[Block], tree: Tree) -> list[float]:
     """Smoothed and fused path ratios of each block."""
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for b in blocks:
-        t = totals.setdefault(b.path, [0, 0, 0, 0])
+        t = totals.setdefault(tree.path[b.element], [0, 0, 0, 0])
         t[0] += 1
         t[1] += len(b.text)
         t[2] += len(PUNCTUATION.findall(b.text))
         t[3] += min(b.linked, len(b.text))
-    length = [totals[b.path][1] / totals[b.path][0] for b in blocks]
-    marks = [totals[b.path][2] / totals[b.path][0] for b in blocks]
-    plain = [1 - totals[b.path][3] / totals[b.path][1] for b in blocks]
+    mine = [totals[tree.path[b.element]] for b in blocks]
+    length = [t[1] / t[0] for t in mine]
+    marks = [t[2] / t[0] for t in mine]
+    plain = [1 - t[3] / t[1] for t in mine]
 
     def smooth(x: list[float]) -> list[float]:
         own, beside = KERNEL
@@ -361,56 +401,51 @@ def scores(blocks: list[Block]) -> list[float]:
 
 def main_text(page: str) -> str:
     """The article of a page as one line; empty where there is none."""
-    blocks = [b for b in read_blocks(page) if not b.aside]
+    blocks, tree = read_blocks(page)
+    blocks = [b for b in blocks if not b.aside]
     if not blocks:
         return ""
-    fused = scores(blocks)
+    fused = scores(blocks, tree)
     line = THRESHOLD * sum(fused) / len(fused)
-    weight: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    total = 0.0
-    for block, score in zip(blocks, fused):
-        if score < line:
-            continue
-        w = score * len(block.text)
-        total += w
-        for k, element in enumerate(block.chain):
-            weight[element] = weight.get(element, 0.0) + w
-            depth[element] = k
-    holders = [e for e, w in weight.items() if w >= COVER * total]
-    node = max(holders, key=lambda e: depth[e], default=None)
+    seeds = [(b.element, score * len(b.text)) for b, score in zip(blocks, fused) if score >= line]
+    weight = tree.sums(seeds)
+    least = COVER * sum(w for _, w in seeds)
+    held = {e for e, _ in seeds}
+    # The deepest element that holds the seeds.
+    holders = (e for e in range(1, len(weight)) if weight[e] >= least and (weight[e] > 0 or e in held))
+    node = max(holders, key=lambda e: tree.depth[e], default=0)
     # A leaf that holds everything stands for its siblings too.
-    home = next((b for b in blocks if node in b.chain), None)
-    if home is not None:
-        at = home.chain.index(node)
-        tags = home.path.split("/")[1:]
-        if tags[at] not in MAIN and not any(b.chain[-1] != node and node in b.chain for b in blocks):
-            at -= 1
-        node = home.chain[at] if at >= 0 and tags[at] not in FRAME else None
-    if node is None:
-        kept = _range_of_page(blocks, fused, line)
+    if node and tree.tag[node] not in MAIN:
+        inside = tree.under([node])
+        if not any(inside[b.element] and b.element != node for b in blocks):
+            node = tree.parent[node]
+    if tree.tag[node] in FRAME or not node:
+        kept = _range_of_page(blocks, tree, fused, line)
     else:
-        kept = [b for b in blocks if node in b.chain]
+        inside = tree.under([node])
+        kept = [b for b in blocks if inside[b.element]]
     return " ".join(b.text for b in kept)
 
 
-def _range_of_page(blocks: list[Block], fused: list[float], line: float) -> list[Block]:
+def _range_of_page(blocks: list[Block], tree: Tree, fused: list[float], line: float) -> list[Block]:
     """Blocks from the first seed to the last of a page whose text has no element of its own.
 
     Blocks go by groups, the elements straight in the page. The range takes in
     whole groups, and the groups of running text that adjoin it. Paths made of
     links are left out, but for headings between seeds.
     """
-    tags = [b.path.split("/")[1:] for b in blocks]
-    skip = [next((k for k, t in enumerate(names) if t not in FRAME), len(names)) for names in tags]
-    group = [b.chain[k] if k < len(b.chain) else -1 for b, k in zip(blocks, skip)]
-    straight = [k == len(names) or names[k] in RUNNING for names, k in zip(tags, skip)]
+    outermost = [0] * len(tree.parent)  # that is no frame
+    for e in range(1, len(outermost)):
+        outermost[e] = outermost[tree.parent[e]] or (0 if tree.tag[e] in FRAME else e)
+    group = [outermost[b.element] for b in blocks]
+    straight = [not g or tree.tag[g] in RUNNING for g in group]
     # made of links on the whole page and in the group, as a list may share its path with a menu
-    excess: dict[tuple[str, int | None], float] = {}
-    for b, g in zip(blocks, group):
-        for key in ((b.path, None), (b.path, g)):
+    paths = [tree.path[b.element] for b in blocks]
+    excess: dict[tuple[int, int | None], float] = {}
+    for b, path, g in zip(blocks, paths, group):
+        for key in ((path, None), (path, g)):
             excess[key] = excess.get(key, 0.0) + min(b.linked, len(b.text)) - LINKED * len(b.text)
-    links = [excess[b.path, None] > 0 and excess[b.path, g] > 0 for b, g in zip(blocks, group)]
+    links = [excess[path, None] > 0 and excess[path, g] > 0 for path, g in zip(paths, group)]
     seeds = [k for k, score in enumerate(fused) if score >= line]
     first, last = seeds[0], seeds[-1]
     low, high = first, last
@@ -424,7 +459,7 @@ def _range_of_page(blocks: list[Block], fused: list[float], line: float) -> list
         b
         for k, b in enumerate(blocks)
         if low <= k <= high
-        and (not links[k] or fused[k] >= line or (first < k < last and tags[k] and tags[k][-1] in HEADINGS))
+        and (not links[k] or fused[k] >= line or (first < k < last and tree.tag[b.element] in HEADINGS))
     ]
 
 
