@@ -7,7 +7,8 @@ in cells of a kd-tree fitted on a bounded sample; each cell, cut into chunks
 where it is large, has its own kd-tree. A query takes points in order of their
 projected distance and verifies them by their cosine, until the next projected
 distance would be, for a point nearer than the found ones, beyond the
-chi-squared quantile ``SURE``. First each query searches its own cell, then
+chi-squared quantile ``SURE``. Points that tie are kept until their ids decide.
+First each query searches its own cell, then
 every other cell that this same test can't rule out.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ CELLS = 1024
 CELL_ROWS = 8192
 #: Queries that search a chunk together, about.
 QUERY_ROWS = 2048
+#: Cosines and squared distances this close may be equal ones.
+TIED = 1e-12
 #: Points of a leaf of a chunk's tree.
 LEAF = 128
 
@@ -134,7 +138,7 @@ class ChunkTree:
 def search(
     tree: ChunkTree, units: np.ndarray, point: np.ndarray, query: np.ndarray, count: int, reach: float, limit: float
 ) -> np.ndarray:
-    """Rows of about the ``2 * count`` nearest units found.
+    """Rows of about the ``2 * count`` nearest units found, and of all that tie with the last.
 
     ``reach`` is the squared distance of the ``count``-th nearest known so far,
     ``limit`` the chi-squared quantile of the stopping test.
@@ -147,7 +151,8 @@ def search(
         value = units[block] @ query
         rows, near = np.concatenate((rows, block)), np.concatenate((near, value))
         if len(rows) > 2 * count:
-            keep = np.argpartition(-near, 2 * count)[: 2 * count]
+            last = -np.partition(-near, 2 * count - 1)[2 * count - 1]
+            keep = near >= last - TIED
             rows, near = rows[keep], near[keep]
         if len(rows) >= count:
             kth = -np.partition(-near, count - 1)[count - 1]
@@ -264,7 +269,7 @@ def nearest_rows(
             source, cells_found, reaches = [], [], []
             for k in range(batch.num_rows):
                 best = batch.column("__best")[k].as_py()
-                known = max(0.0, 2 - 2 * best[count]) + 1e-12 if best and len(best) > count else 4.0
+                known = max(0.0, 2 - 2 * best[count]) + TIED if best and len(best) > count else 4.0
                 names, low, high = by_width[batch.column("__width")[k].as_py()]
                 visit = names[box_distances(at[k], low, high) <= limit * known]
                 visit = visit[visit != batch.column("__cell")[k].as_py()]
@@ -358,11 +363,15 @@ def searched(
                 tree = ChunkTree(at[here])
                 inside = units[here]
                 reach = part["__reach"].to_numpy()
+                lowest = pc.list_element(part["__ids"].combine_chunks().filter(pa.array(~asks)), 0).to_numpy()
+                first = np.zeros(len(asks), dtype=lowest.dtype)
+                first[here] = lowest
                 rows, asked, scores = [], [], []
                 for q in there:
                     found = here[search(tree, inside, at[q], units[q], count + 1, reach[q], limit)]
                     exact = cosines(vectors[found], np.broadcast_to(vectors[q], (len(found), width)))
-                    keep = np.argsort(-exact, kind="stable")[: count + 1]
+                    # Of points that tie, those of the smallest ids.
+                    keep = np.lexsort((first[found], -exact))[: count + 1]
                     rows.append(found[keep])
                     scores.append(exact[keep])
                     asked.append(np.full(len(keep), q))

@@ -170,3 +170,20 @@ def test_projected_points_come_in_order():
 def test_chi_squared_quantile():
     draws = (np.random.default_rng(0).normal(size=(200_000, 8)) ** 2).sum(axis=1)
     assert abs(np.quantile(draws, 0.99) - nearest.chi_squared_quantile(0.99, 8)) < 0.2
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    """Multiples of one vector, and binary vectors at one cosine."""
+    rng = np.random.default_rng(4)
+    order = rng.permutation(40) + 1
+    rows = [(0, [1.0, 2.0, 3.0, 4.0])] + [(int(i), [float(k + 1) * c for c in (1, 2, 3, 4)]) for k, i in enumerate(order)]
+    rows += [(100 + k, [float(x) for x in rng.normal(size=4)]) for k in range(1, 40)]
+    width = 12
+    rows += [(200, [1.0] * width)]
+    rows += [(int(i), [0.0 if j == k % width else 1.0 for j in range(width)]) for k, i in enumerate(rng.permutation(60) + 201)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.nearest_rows(df, lambda c: c.isin(0, 200)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got[0]) == [(k, k) for k in range(1, 6)]
+    assert sorted(got[200]) == [(k, 200 + k) for k in range(1, 6)]
