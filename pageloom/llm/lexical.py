@@ -9,8 +9,8 @@ coordinates, can't reach the score of the query's ``count``-th best document so
 far. Inside a bucket only documents are looked at that hold one of the focus
 words, without which the rest can't reach it either; what they gain on those,
 and at most can gain on the rest by coordinates and by Cauchy-Schwarz, filters
-them again. Survivors are scored anew in 64-bit integers. Every 16th bucket is
-searched first, so that the others start with a score to reach.
+them again. Survivors are scored anew in 64-bit integers. One document in 16, by a
+hash, is searched first, so that the others start with a score to reach.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pageloom.llm.words import numbered, slices, word_lists
 #: Documents of a bucket at most, and the shortest vector's share of the longest.
 BUCKET_ROWS = 4096
 BUCKET_SPAN = 0.9
-#: One bucket in so many is searched first.
+#: One document in so many is searched first.
 SCOUTS = 16
 #: Fixed values of the score: scale of impacts and weights, saturation, length share in percent.
 SCALE, WEIGHT, DAMP, SHARE = 1_000_000_000, 1000, 20, 50
@@ -133,11 +133,16 @@ def norm_buckets(impacts: DataFrame, span: float, rows: int) -> DataFrame:
     """Buckets ``(longest, scout, ids, lengths, terms, counts, docs, impacts)``, longest first.
 
     Documents are range-sorted by length; many of one length are spread by a hash.
-    A bucket lists its words with, for each, the documents that hold it.
+    A bucket lists its words with, for each, the documents that hold it. One document
+    in ``SCOUTS``, by the hash, lies in buckets of its own, the scouts.
     """
     id_type = impacts.schema["id"].dataType.simpleString()
     spread = F.xxhash64("id", "terms", "impacts")
-    ordered = impacts.repartitionByRange(F.desc("length"), spread).sortWithinPartitions(F.desc("length"))
+    ordered = (
+        impacts.withColumn("scout", F.pmod(spread, F.lit(SCOUTS)) == 0)
+        .repartitionByRange("scout", F.desc("length"), spread)
+        .sortWithinPartitions("scout", F.desc("length"))
+    )
 
     def bucket(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -148,11 +153,10 @@ def norm_buckets(impacts: DataFrame, span: float, rows: int) -> DataFrame:
         words, counts = np.unique(terms, return_counts=True)
         lengths = table["length"].to_numpy()
         ids = table["id"].combine_chunks()
-        blob = table.num_rows * 1_000_003 + int(values.sum()) + int(terms.sum())
         return pa.RecordBatch.from_pydict(
             {
                 "longest": pa.array([lengths.max()]),
-                "scout": pa.array([blob % SCOUTS == 0]),
+                "scout": parts[0].column("scout").slice(0, 1),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 "lengths": pa.array([lengths.tobytes()]),
                 "terms": pa.array([words.astype(np.int32).tobytes()]),
@@ -164,15 +168,17 @@ def norm_buckets(impacts: DataFrame, span: float, rows: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count, longest = 0, 0.0
+        count, longest, scout = 0, 0.0, False
         for batch in batches:
             lengths = batch.column("length").to_numpy()
+            scouts = batch.column("scout").to_numpy(zero_copy_only=False)
             at = 0
             while at < len(lengths):
                 if not count:
-                    longest = lengths[at]
+                    longest, scout = lengths[at], scouts[at]
                 room = lengths[at : at + rows - count]
-                fits = int(np.count_nonzero(room >= span * longest))
+                like = (room >= span * longest) & (scouts[at : at + rows - count] == scout)
+                fits = len(room) if like.all() else int(np.argmin(like))
                 if fits:
                     held.append(batch.slice(at, fits))
                     count, at = count + fits, at + fits
