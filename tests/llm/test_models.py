@@ -187,3 +187,87 @@ def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert sorted(got[0]) == [(k, k) for k in range(1, 6)]
     assert sorted(got[200]) == [(k, 200 + k) for k in range(1, 6)]
+
+
+def plain_ordinal_loss(p, x, grades, count):
+    """Mean log loss of ordered cuts, row by row; ``p`` holds weights, the first cut and gaps."""
+    w, first, raw = p[: x.shape[1]], p[x.shape[1]], p[x.shape[1] + 1 :]
+    cuts = [first]
+    for r in raw:
+        cuts.append(cuts[-1] + np.log1p(np.exp(r)))
+    total = 0.0
+    for row, grade in zip(x, grades):
+        for k in range(count):
+            above = 1 / (1 + np.exp(cuts[k] - row @ w))
+            total -= np.log(above if grade > k else 1 - above)
+    return total / len(grades), np.array(cuts)
+
+
+def test_ordinal_fit_equals_a_plain_descent():
+    rng = np.random.default_rng(5)
+    n, width = 150, 3
+    x = rng.integers(0, 3, (n, width)).astype(float)
+    drive = x @ np.array([1.2, 0.6, -0.3]) + rng.logistic(size=n)
+    grades = (drive[:, None] > np.array([0.5, 2.0, 3.0])).sum(axis=1)
+    rows, terms = np.nonzero(x)
+    weights, cuts = toxicity.fit_cumulative(rows, terms, x[rows, terms], grades, width)
+    p = np.zeros(width + toxicity.GRADES)
+    loss, _ = plain_ordinal_loss(p, x, grades, toxicity.GRADES)
+    step = 1.0
+    for _ in range(120):
+        slope = np.array(
+            [
+                (plain_ordinal_loss(p + 1e-5 * e, x, grades, toxicity.GRADES)[0] - loss) / 1e-5
+                for e in np.eye(len(p))
+            ]
+        )
+        while (there := plain_ordinal_loss(p - step * slope, x, grades, toxicity.GRADES)[0]) > loss and step > 1e-6:
+            step /= 2
+        p, loss, step = p - step * slope, min(loss, there), step * 2
+    _, plain_cuts = plain_ordinal_loss(p, x, grades, toxicity.GRADES)
+
+    def severity(w, at):
+        return (1 / (1 + np.exp(at[None, :] - (x @ w)[:, None]))).sum(axis=1)
+
+    assert np.abs(severity(weights, cuts) - severity(p[:width], plain_cuts)).max() < 0.15
+
+
+def test_risk_of_the_classifier_is_least(spark):
+    """Sums of a pass against a plain loop, and no near weights with a smaller risk."""
+    rng = np.random.default_rng(8)
+    n = 400
+    good = rng.random(n) < 0.3
+    f = rng.normal(size=(n, len(quality.FEATURES)))
+    f[:, 0] += good * 1.5
+    f[:, 1] -= good
+    rows = [([float(v) for v in r], bool(g), 1 if g else None) for r, g in zip(f, good)]
+    df = spark.createDataFrame(rows, "__f array<double>, __good boolean, __q int").repartition(3)
+    borders = [np.array([-0.5, 0.5]) if k < 2 else np.zeros(0) for k in range(len(quality.FEATURES))]
+    x = np.zeros((n, 1 + sum(len(b) + 1 for b in borders)))
+    for k in range(n):
+        x[k, 0], at = 1, 1
+        for j, cuts in enumerate(borders):
+            x[k, at + sum(f[k, j] >= c for c in cuts)] = 1
+            at += len(cuts) + 1
+    w = rng.normal(size=x.shape[1])
+    found = quality.sums(df, borders, w)
+    g = x @ w
+    s = 1 / (1 + np.exp(-g))
+    assert (found["rows"], found["good"]) == (n, good.sum())
+    assert found["loss_u"] == pytest.approx(sum(np.log1p(np.exp(v)) for v in g))
+    assert found["loss_p"] == pytest.approx(sum(np.log1p(np.exp(v)) for v in g[good]))
+    assert found["grad_u"] == pytest.approx(sum(a * b for a, b in zip(s, x)))
+    assert found["curve"] == pytest.approx(sum(a * (1 - a) * np.outer(b, b) for a, b in zip(s, x)))
+    prior = 0.4
+    best = quality.train(df, borders, prior)
+    keep = np.full(x.shape[1], quality.DECAY)
+    keep[0] = 1e-8
+
+    def risk(v):
+        z = x @ v
+        return np.logaddexp(0, z).mean() - prior * z[good].mean() + 0.5 * (keep * v * v).sum()
+
+    z = x @ best
+    assert np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[good]).mean() >= 0
+    least = risk(best)
+    assert all(risk(best + rng.normal(size=len(best)) * size) >= least - 1e-4 for size in (0.05, 0.3, 1) for _ in range(50))
