@@ -6,6 +6,7 @@ import re
 import time
 import uuid
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -420,6 +421,39 @@ def test_mix_equals_brute_force(spark, monkeypatch):
         assert abs(taken - target[s]) <= max([n for r, n in zip(rows, size) if r[2] == s])
 
 
+@pytest.mark.parametrize("share", [1.5, 0.7])
+def test_very_many_equal_rows_are_mixed(spark, share):
+    """Equal rows hold most of a table, and the mix ends between some of them."""
+    rows = [(7, "a b c", "hot")] * 50_000 + [(None, "d e", None)] * 500
+    rows += [(k, "w " * (k % 9), "cold") for k in range(300)] + [(k, "w " * 40, "few") for k in range(300)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, place int")
+    _, _, _, copies = brute.mix(rows, share=share)
+    want, alike = Counter(), Counter(rows)
+    for r, n in zip(rows, copies):
+        want[r] += n
+    assert any(0 < want[r] % n for r, n in alike.items())
+    out = mixing.mixed(df.repartition(5), share=share).groupBy("doc_id", "text", "source", "place").count()
+    got, times = Counter(), defaultdict(set)
+    for r in out.collect():
+        got[tuple(r)[:3]] += r["count"]
+        times[tuple(r)[:3]].add(r["count"])
+    assert got == Counter({r: n for r, n in want.items() if n})
+    assert all(len(t) <= 2 for t in times.values())
+    plan = mixing.mix(df, share=share)[0]
+    assert plan.count() == len(rows)
+    assert plan.agg(F.sum("copies")).first()[0] == sum(copies)
+
+
+def test_names_of_columns_are_free_in_the_mix(spark):
+    rows = mix_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    other = df.toDF("id", "body", "site")
+    names = dict(id_col="id", text_col="body", source_col="site")
+    assert sorted(map(str, mixing.mixed(df).collect())) == sorted(
+        str(r) for r in mixing.mixed(other, **names).toDF(*df.columns).collect()
+    )
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df)[0].count() == 0 and mixing.mixed(df).count() == 0
