@@ -8,12 +8,18 @@ the unlabelled set. With class prior ``pi`` the risk of a linear score ``g`` is
 for the logistic loss: the second part stands for the negatives and is kept from
 turning negative. Without the floor the risk is convex, and each Newton step
 takes one pass over the corpus, in which tasks sum gradients and curvature; a
-step that would cross the floor is halved. The prior is the share of good
-documents among the labelled ones that may be learnt from.
+step that would cross the floor is halved.
+
+No label of a bad document enters the risk or the prior. That is estimated from the scores of a
+first fit: were there scores that good documents alone have, the share of all
+documents above such a score would be ``pi`` times that of the positives, so
+``pi`` is the ratio of the two shares where the ratio, widened by the error of
+shares of so many rows, is smallest. A fit knows its own positives from others
+alike, so each half of the rows is scored by a fit of the other half for this.
 
 The floor keeps the scores of both kinds close together, so they are stretched at
 the end: a logistic curve with two parameters is fitted on the labelled rows that
-may be learnt from.
+may be learnt from, the only use of labels of bad documents. It changes no order.
 
 Features are shares and ratios of the whole text, each cut into bins at
 quantiles of the corpus, so that a linear score can follow any shape.
@@ -42,8 +48,11 @@ STEPS = 12
 HALVINGS = 4
 #: Groups in which the tasks' sums are added before they reach the driver.
 SUM_GROUPS = 32
-#: Steps of a score's unit that labelled rows are counted in.
+#: Steps of a score's unit that rows are counted in.
 GRID = 50
+#: Prior of the first fit; chance that the error of a share is larger than allowed for.
+FIRST_PRIOR = 0.5
+DOUBT = 0.1
 #: Score from which on a document counts as good.
 GOOD = 0.3
 #: Share of ids that are held out: one in so many.
@@ -217,6 +226,60 @@ def linear_scores(column: pa.Array, borders: list[np.ndarray], weights: np.ndarr
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def count_scores(
+    rows: DataFrame, borders: list[np.ndarray], weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(g, positives, everyone)``: rows by ``g`` in rising steps of ``1 / GRID``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = np.clip(linear_scores(batch.column("__f"), borders, weights), -50, 50)
+            place = pa.array(np.rint(g * GRID).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([place, batch.column("__good")], names=["place", "good"])
+
+    placed = rows.select("__f", "__good").mapInArrow(run, "place bigint, good boolean")
+    # at most 100 * GRID places
+    found = (
+        placed.groupBy("place")
+        .agg(F.count_if("good").alias("positives"), F.count(F.lit(1)).alias("everyone"))
+        .orderBy("place")
+        .collect()
+    )
+    g, positives, everyone = np.array([tuple(r) for r in found], dtype=float).reshape(-1, 3).T
+    return g / GRID, positives, everyone
+
+
+def across_halves(
+    rows: DataFrame, borders: list[np.ndarray], prior: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``count_scores`` of all rows, each half scored by a fit of the other.
+
+    The halves go by features, so that copies lie in one half.
+    """
+    halves = [rows.filter(F.pmod(F.xxhash64("__f"), F.lit(2)) == k) for k in (0, 1)]
+    total: dict[float, np.ndarray] = {}
+    for mine, other in (halves, halves[::-1]):
+        for place, *n in zip(*count_scores(other, borders, train(mine, borders, prior))):
+            total[place] = total.get(place, 0.0) + np.array(n)
+    g = np.array(sorted(total))
+    counts = np.array([total[place] for place in g]).reshape(-1, 2)
+    return g, counts[:, 0], counts[:, 1]
+
+
+def estimate_prior(positives: np.ndarray, everyone: np.ndarray) -> float:
+    """Share of good documents, from counts of positives and of all rows by rising score."""
+    n_p, n_u = positives.sum(), everyone.sum()
+    if not n_p:
+        return FIRST_PRIOR
+    above_p = np.cumsum(positives[::-1]) / n_p
+    above_u = np.cumsum(everyone[::-1]) / n_u
+    some = above_p > 0
+    above_p, above_u = above_p[some], above_u[some]
+    error = np.sqrt(np.log(4 / DOUBT) / 2) * (n_p**-0.5 + n_u**-0.5)
+    best = np.argmin((above_u + error) / above_p)
+    return float(min(above_u[best] / above_p[best], 1.0))
+
+
 def stretch(rows: DataFrame, borders: list[np.ndarray], weights: np.ndarray) -> tuple[float, float]:
     """``(slope, shift)`` of the curve from ``g`` to the chance of a good document.
 
@@ -258,7 +321,7 @@ def score_documents(
     """One row per document: ``id_col, held_out, score, predicted``.
 
     ``score`` is the chance that a document is good, ``predicted`` is 1 from
-    ``GOOD`` on. ``labels`` holds ``doc_id`` and ``quality``; labels of the
+    ``GOOD`` on. ``labels`` holds ``doc_id`` and ``quality``, labels of the
     held-out fold are never read, nor an id's contradicting labels. Without
     positives every score is 0.5. Null and empty texts have all features zero;
     rows with null or repeated ids are scored as they are. Other columns are
@@ -278,11 +341,12 @@ def score_documents(
         ),
         "quality-rows",
     )
-    prior = rows.agg(F.avg("__q")).first()[0]
     names = [f"f{k}" for k in range(len(FEATURES))]
     flat = rows.select(*(F.col("__f")[k].alias(n) for k, n in enumerate(names)))
     borders = [np.unique(b) for b in flat.approxQuantile(names, list(QUANTILES), QUANTILE_ERROR)]
-    weights = train(rows, borders, float(prior or 0.5))
+    _, positives, everyone = across_halves(rows, borders, FIRST_PRIOR)
+    prior = estimate_prior(positives, everyone)
+    weights = train(rows, borders, prior)
     slope, shift = stretch(rows, borders, weights)
     kind = featured.schema["__id"].dataType.simpleString()
 

@@ -114,6 +114,19 @@ def test_held_out_labels_change_nothing(spark):
     assert quality.score_documents(docs.filter("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+def test_prior_is_found_from_positives_and_all(prior):
+    rng = np.random.default_rng(9)
+    n, n_p = 20_000, 4000
+    good = rng.random(n) < prior
+    places = np.rint(np.where(good, rng.normal(2, 1, n), rng.normal(-2, 1, n)) * 10).astype(int)
+    positives = np.rint(rng.normal(2, 1, n_p) * 10).astype(int)
+    span = range(-80, 81)
+    found = [np.array([(x == k).sum() for k in span], dtype=float) for x in (positives, places)]
+    seen = found[1] > 0
+    assert abs(quality.estimate_prior(found[0][seen], found[1][seen]) - prior) < 0.06
+
+
 def ann_rows(n=700, width=24):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, width))
