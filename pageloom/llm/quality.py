@@ -10,12 +10,12 @@ turning negative. Without the floor the risk is convex, and each Newton step
 takes one pass over the corpus, in which tasks sum gradients and curvature; a
 step that would cross the floor is halved.
 
-No label of a bad document enters the risk or the prior. That is estimated from the scores of a
-first fit: were there scores that good documents alone have, the share of all
-documents above such a score would be ``pi`` times that of the positives, so
-``pi`` is the ratio of the two shares where the ratio, widened by the error of
-shares of so many rows, is smallest. A fit knows its own positives from others
-alike, so each half of the rows is scored by a fit of the other half for this.
+No label of a bad document enters the risk or the prior. That is estimated from
+the scores of a first fit: were there scores that good documents alone have, the
+share of all documents above such a score would be ``pi`` times that of the
+positives, so ``pi`` is the ratio of the two shares where the ratio, widened by
+the error of shares of so many rows, is smallest. A fit knows its own positives
+from others alike, so each half of the rows is scored by a fit of the other half.
 
 The floor keeps the scores of both kinds close together, so they are stretched at
 the end: a logistic curve with two parameters is fitted on the labelled rows that
