@@ -47,7 +47,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Query) -> Query:
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare_session(spark), sf_dir)
+            return fn(prepare_session(spark, pages=True), sf_dir)
 
         call.__doc__ = fn.__doc__
         call.__name__ = name

@@ -16,6 +16,10 @@ LOCAL_MASTER = re.compile(r"local(\[.*\])?$")
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Bytes of whole pages that go to a Python worker at a time, which holds two such batches.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+PAGE_BATCH = str(4 << 20)
+
 _shipped: set[str] = set()
 
 
@@ -31,13 +35,27 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def prepare_session(spark: SparkSession) -> SparkSession:
+def batch_pages(spark: SparkSession, pages: bool) -> None:
+    """Small Arrow batches for queries that read ``pages`` row by row, else the session's own.
+
+    A size that the user sets on the session is only replaced for the former.
+    """
+    if pages:
+        spark.conf.set(ARROW_BYTES, PAGE_BATCH)
+    elif spark.conf.get(ARROW_BYTES) == PAGE_BATCH:
+        own = spark.sparkContext.getConf().get(ARROW_BYTES)
+        spark.conf.set(ARROW_BYTES, own) if own else spark.conf.unset(ARROW_BYTES)
+
+
+def prepare_session(spark: SparkSession, pages: bool = False) -> SparkSession:
     """Runtime settings the engine relies on; safe to call repeatedly.
 
-    Only settings that change results (the time zone) or that let Spark re-plan
-    skewed stages are touched. Shuffle width stays the cluster's choice.
+    Only settings that change results (the time zone), that let Spark re-plan
+    skewed stages or that bound what a Python worker holds of whole ``pages`` are
+    touched. Shuffle width stays the cluster's choice.
     """
     ship_package(spark)
+    batch_pages(spark, pages)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -1,5 +1,8 @@
 """The path matcher against a plain evaluation over the node array."""
 
+import tracemalloc
+
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,6 +99,34 @@ def test_start_tags_are_forgotten_when_too_many(monkeypatch):
     assert len(tree._known) <= 3
 
 
+def test_long_start_tags_are_not_kept():
+    tree = paths.PathTree((path(Step("img"), take="@src"),))
+    page = "".join(f'<img src="data:{k},{"x" * 5_000}">' for k in range(50)) * 2
+    assert len(tree.search(page)[0]) == 100
+    assert sum(len(key[3]) for key in tree._known) < 10_000
+
+
+def test_a_batch_is_read_slice_by_slice(monkeypatch):
+    """What Python holds of an Arrow batch is a part of it, whatever the batch's size."""
+    monkeypatch.setattr(paths.F, "arrow_udf", lambda kind: lambda fn: fn)
+    long = '<h1 class="entry-title">ž{}</h1>' + "ž " * 50_000
+    pages = pa.array([None, "", *(long.format(k) for k in range(300)), None, "<h1>", ""])
+    names = pa.array(["default"] * 5 + [None, "unknown"] + ["default"] * (len(pages) - 7))
+    tracemalloc.start()
+    try:
+        found = paths.page_fields(pages, names)
+        texts = paths.path_texts(pages, (path(Step("h1"), take="text"),))
+        assert tracemalloc.get_traced_memory()[1] < pages.nbytes / 4
+    finally:
+        tracemalloc.stop()
+    reader = paths.PageReader(profiles.DEFAULT)
+    kind = paths.to_arrow_type(paths.FIELDS_OF_PAGE)
+    rows = zip(pages.to_pylist(), names.to_pylist())
+    assert found == pa.array([None if p is None or n != "default" else reader.read(p) for p, n in rows], kind)
+    assert texts.to_pylist() == [None, [], *([f"ž{k}"] for k in range(300)), None, [], []]
+    assert paths.page_fields(pages[:0], names[:0]) == pa.array([], kind)
+
+
 def test_page_values():
     page = (
         '<title>x</title><h1 class="entry-title"> A </h1><div class="entry-content">c<img src="i.png"><img alt="n">'
