@@ -42,7 +42,7 @@ def batch_pages(spark: SparkSession, pages: bool) -> None:
     """
     if pages:
         spark.conf.set(ARROW_BYTES, PAGE_BATCH)
-    elif spark.conf.get(ARROW_BYTES) == PAGE_BATCH:
+    elif spark.conf.get(ARROW_BYTES, None) == PAGE_BATCH:
         own = spark.sparkContext.getConf().get(ARROW_BYTES)
         spark.conf.set(ARROW_BYTES, own) if own else spark.conf.unset(ARROW_BYTES)
 
